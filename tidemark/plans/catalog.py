@@ -11,7 +11,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.operators import grades, ranking
+from tidemark.operators import grades, lapse, ranking
+from tidemark.plans import params as P
+from tidemark.sources.tables import read_table
 from tidemark.sources.views import orders_view
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,3 +48,101 @@ def q_grade_by_spend(spark, sf_dir):
 @register("grade_by_count")
 def q_grade_by_count(spark, sf_dir):
     return grades.grade_by_count(orders_view(spark, sf_dir))
+
+
+# ---- lapse and activity ------------------------------------------------------
+
+def _lapsed(spark, sf_dir):
+    return lapse.lapsed(orders_view(spark, sf_dir), P.LAPSE_ACTIVE, P.LAPSE_SILENT)
+
+
+def _still(spark, sf_dir):
+    return lapse.still_lapsed(_lapsed(spark, sf_dir), orders_view(spark, sf_dir), P.LAPSE_LATER)
+
+
+@register("lapsed")
+def q_lapsed(spark, sf_dir):
+    return _lapsed(spark, sf_dir)
+
+
+@register("still_lapsed")
+def q_still_lapsed(spark, sf_dir):
+    return _still(spark, sf_dir)
+
+
+@register("lapse_counts")
+def q_lapse_counts(spark, sf_dir):
+    return lapse.lapse_counts(_lapsed(spark, sf_dir), _still(spark, sf_dir))
+
+
+def _periods(spark, sf_dir):
+    return lapse.active_periods(orders_view(spark, sf_dir), P.PATTERN_SPAN, _lapsed(spark, sf_dir),
+                                P.PATTERN_GRAIN)
+
+
+@register("active_periods")
+def q_active_periods(spark, sf_dir):
+    return _periods(spark, sf_dir)
+
+
+@register("purchase_pattern")
+def q_purchase_pattern(spark, sf_dir):
+    return lapse.purchase_pattern(_periods(spark, sf_dir), P.PATTERN_K)
+
+
+@register("consistent_buyers")
+def q_consistent_buyers(spark, sf_dir):
+    return lapse.consistent_buyers(_periods(spark, sf_dir), P.PATTERN_K)
+
+
+@register("recent_buyers")
+def q_recent_buyers(spark, sf_dir):
+    return lapse.recent_buyers(orders_view(spark, sf_dir), P.RECENT_SPAN)
+
+
+def _churned(spark, sf_dir, grades_df):
+    o = orders_view(spark, sf_dir)
+    return lapse.churned_consistent(lapse.consistent_buyers(_periods(spark, sf_dir), P.PATTERN_K),
+                                    lapse.recent_buyers(o, P.RECENT_SPAN), grades_df)
+
+
+@register("churned_consistent")
+def q_churned_consistent(spark, sf_dir):
+    return _churned(spark, sf_dir, grades.grade_by_spend(orders_view(spark, sf_dir)))
+
+
+def _status(spark, sf_dir):
+    g = grades.grade_by_spend(orders_view(spark, sf_dir))
+    recent = lapse.recent_buyers(orders_view(spark, sf_dir), P.RECENT_SPAN)
+    return lapse.activity_status(_churned(spark, sf_dir, g), recent, g)
+
+
+@register("activity_status")
+def q_activity_status(spark, sf_dir):
+    return _status(spark, sf_dir)
+
+
+@register("with_last_order")
+def q_with_last_order(spark, sf_dir):
+    return lapse.with_last_order(_status(spark, sf_dir), orders_view(spark, sf_dir))
+
+
+def _consistent_counts(spark, sf_dir):
+    return lapse.consistent_counts(orders_view(spark, sf_dir), P.CONSISTENT_SPAN, P.CONSISTENT_GRAIN,
+                                   P.CONSISTENT_K)
+
+
+@register("consistent_counts")
+def q_consistent_counts(spark, sf_dir):
+    return _consistent_counts(spark, sf_dir)
+
+
+@register("cohort_trend")
+def q_cohort_trend(spark, sf_dir):
+    return lapse.cohort_trend(orders_view(spark, sf_dir), _consistent_counts(spark, sf_dir), P.TREND_SINCE)
+
+
+@register("ts_format_audit")
+def q_ts_format_audit(spark, sf_dir):
+    ev = read_table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
+    return lapse.ts_format_audit(ev, "ts")
