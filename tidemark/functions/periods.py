@@ -34,15 +34,15 @@ def period_start(label: Column | str, grain: str = "month") -> Column:
     """First day (DATE) of the period named by ``label``; NULL or bad text gives NULL."""
     c = F.col(label) if isinstance(label, str) else label
     if grain == "day":
-        return F.try_to_date(c, F.lit("yyyy-MM-dd"))
+        return F.try_to_date(c, "yyyy-MM-dd")
     if grain == "month":
-        return F.try_to_date(F.concat(c, F.lit("-01")), F.lit("yyyy-MM-dd"))
+        return F.try_to_date(F.concat(c, F.lit("-01")), "yyyy-MM-dd")
     if grain == "quarter":
         q = F.substring(c, 7, 1).try_cast("int")
         month = F.lpad(((q - 1) * 3 + 1).cast("string"), 2, "0")
-        return F.try_to_date(F.concat(F.substring(c, 1, 4), F.lit("-"), month, F.lit("-01")), F.lit("yyyy-MM-dd"))
+        return F.try_to_date(F.concat(F.substring(c, 1, 4), F.lit("-"), month, F.lit("-01")), "yyyy-MM-dd")
     if grain == "year":
-        return F.try_to_date(F.concat(c, F.lit("-01-01")), F.lit("yyyy-MM-dd"))
+        return F.try_to_date(F.concat(c, F.lit("-01-01")), "yyyy-MM-dd")
     raise ValueError(f"unknown grain {grain!r}")
 
 

@@ -11,10 +11,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.operators import grades, lapse, ranking
+from tidemark.operators import churn, grades, lapse, ranking
 from tidemark.plans import params as P
 from tidemark.sources.tables import read_table
-from tidemark.sources.views import orders_view
+from tidemark.sources.views import events_view, orders_view
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -146,3 +146,61 @@ def q_cohort_trend(spark, sf_dir):
 def q_ts_format_audit(spark, sf_dir):
     ev = read_table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
     return lapse.ts_format_audit(ev, "ts")
+
+
+# ---- periods, potential churners, churn by pattern ---------------------------
+
+@register("user_periods")
+def q_user_periods(spark, sf_dir):
+    return churn.user_periods(orders_view(spark, sf_dir), "month")
+
+
+@register("order_span")
+def q_order_span(spark, sf_dir):
+    return churn.order_span(orders_view(spark, sf_dir), "month")
+
+
+@register("potential_churners")
+def q_potential_churners(spark, sf_dir):
+    return churn.potential_churners(orders_view(spark, sf_dir), P.CHURN_GAP)
+
+
+@register("potential_churners_cut")
+def q_potential_churners_cut(spark, sf_dir):
+    return churn.potential_churners(orders_view(spark, sf_dir), P.CHURN_GAP, cut=P.CHURN_CUT)
+
+
+@register("potential_churners_2m")
+def q_potential_churners_2m(spark, sf_dir):
+    return churn.potential_churners(orders_view(spark, sf_dir), P.CHURN_GAP, cut=P.CHURN_CUT,
+                                    quiet_after_last=P.CHURN_QUIET)
+
+
+@register("user_period_counts")
+def q_user_period_counts(spark, sf_dir):
+    return churn.user_period_counts(orders_view(spark, sf_dir), P.PIVOT_SPAN, "month")
+
+
+@register("period_pivot")
+def q_period_pivot(spark, sf_dir):
+    return churn.period_pivot(orders_view(spark, sf_dir), P.PIVOT_SPAN, P.PIVOT_PERIODS, "month")
+
+
+@register("churn_by_grade_3q")
+def q_churn_by_grade_3q(spark, sf_dir):
+    o = orders_view(spark, sf_dir)
+    return churn.churn_by_grade(o, grades.grade_by_spend(o), P.CHURN_SPAN, P.CHURN_3Q_ACTIVE,
+                                P.CHURN_3Q_SILENT, P.CHURN_GRAIN)
+
+
+@register("churn_by_grade_1_then_many")
+def q_churn_by_grade_1_then_many(spark, sf_dir):
+    o = orders_view(spark, sf_dir)
+    return churn.churn_by_grade(o, grades.grade_by_spend(o), P.CHURN_SPAN, P.CHURN_1M_ACTIVE,
+                                P.CHURN_1M_SILENT, P.CHURN_GRAIN)
+
+
+@register("churn_curve")
+def q_churn_curve(spark, sf_dir):
+    return churn.churn_curve(events_view(spark, sf_dir), P.CURVE_SPAN, P.CURVE_ACTIVE, P.CURVE_FOLLOW,
+                             P.CURVE_GRAIN)

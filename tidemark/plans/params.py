@@ -24,3 +24,26 @@ CONSISTENT_SPAN = Span("1997-01-01", "1997-10-01", closed=False)
 CONSISTENT_GRAIN = "quarter"
 CONSISTENT_K = 3
 TREND_SINCE = "1997-01-01"
+
+# Potential churners (OP21-OP22): data limited to before a cut, as in the source.
+CHURN_GAP = 3
+CHURN_CUT = "1998-01-01"
+CHURN_QUIET = 2
+
+# Orders per user and period, pivot (OP23-OP24): four months.
+PIVOT_SPAN = Span("1997-01-01", "1997-05-01", closed=False)
+PIVOT_PERIODS = ["1997-01", "1997-02", "1997-03", "1997-04"]
+
+# Churn by grade (OP25): quarters of 1997 on orders.
+CHURN_SPAN = Span("1997-01-01", "1998-01-01", closed=False)
+CHURN_GRAIN = "quarter"
+CHURN_3Q_ACTIVE = ["1997-Q1", "1997-Q2", "1997-Q3"]
+CHURN_3Q_SILENT = ["1997-Q4"]
+CHURN_1M_ACTIVE = ["1997-Q1"]
+CHURN_1M_SILENT = ["1997-Q2", "1997-Q3", "1997-Q4"]
+
+# Churn curve (OP26): days of January 2024 on events.
+CURVE_SPAN = Span("2024-01-02", "2024-01-08", closed=False)
+CURVE_GRAIN = "day"
+CURVE_ACTIVE = ["2024-01-02", "2024-01-03", "2024-01-04"]
+CURVE_FOLLOW = ["2024-01-05", "2024-01-06", "2024-01-07"]
