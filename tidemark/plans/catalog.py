@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.operators import churn, grades, lapse, ranking
+from tidemark.operators import acquisition, churn, gaps, grades, lapse, ranking
 from tidemark.plans import params as P
 from tidemark.sources.tables import read_table
 from tidemark.sources.views import events_view, orders_view
@@ -204,3 +204,121 @@ def q_churn_by_grade_1_then_many(spark, sf_dir):
 def q_churn_curve(spark, sf_dir):
     return churn.churn_curve(events_view(spark, sf_dir), P.CURVE_SPAN, P.CURVE_ACTIVE, P.CURVE_FOLLOW,
                              P.CURVE_GRAIN)
+
+
+# ---- acquisition ---------------------------------------------------------------
+
+def _first(spark, sf_dir):
+    return acquisition.first_orders(orders_view(spark, sf_dir), P.FIRST_SPAN)
+
+
+def _new(spark, sf_dir):
+    return acquisition.new_customers(_first(spark, sf_dir), P.NEW_SINCE)
+
+
+def _existing(spark, sf_dir):
+    return acquisition.existing_activity(orders_view(spark, sf_dir), _new(spark, sf_dir), P.ACTIVITY_SPAN)
+
+
+def _monthly(spark, sf_dir):
+    return acquisition.monthly_totals(orders_view(spark, sf_dir), P.ACTIVITY_SPAN)
+
+
+@register("first_orders")
+def q_first_orders(spark, sf_dir):
+    return _first(spark, sf_dir)
+
+
+@register("new_customers")
+def q_new_customers(spark, sf_dir):
+    return _new(spark, sf_dir)
+
+
+@register("existing_activity")
+def q_existing_activity(spark, sf_dir):
+    return _existing(spark, sf_dir)
+
+
+@register("monthly_totals")
+def q_monthly_totals(spark, sf_dir):
+    return _monthly(spark, sf_dir)
+
+
+@register("acquisition_report")
+def q_acquisition_report(spark, sf_dir):
+    return acquisition.acquisition_report(_new(spark, sf_dir), _existing(spark, sf_dir), _monthly(spark, sf_dir))
+
+
+@register("existing_outside_window")
+def q_existing_outside_window(spark, sf_dir):
+    return acquisition.existing_outside_window(orders_view(spark, sf_dir), _first(spark, sf_dir), P.ACTIVITY_SPAN)
+
+
+def _rate(spark, sf_dir):
+    return acquisition.new_customer_rate(orders_view(spark, sf_dir), P.RATE_FIRST_SPAN, P.RATE_SINCE,
+                                         P.RATE_MONTHLY_SPAN)
+
+
+@register("new_customer_rate")
+def q_new_customer_rate(spark, sf_dir):
+    return _rate(spark, sf_dir)
+
+
+# ---- first gap -----------------------------------------------------------------
+
+def _purchases(spark, sf_dir):
+    return events_view(spark, sf_dir, "purchase")
+
+
+def _cohort_first(spark, sf_dir):
+    first = acquisition.first_orders(_purchases(spark, sf_dir), P.GAP_COHORT_FIRST_SPAN, P.GAP_GRAIN)
+    cohort = first.filter(first.first_order_month == P.GAP_COHORT_DAY).select("user_id")
+    return first.join(cohort, "user_id", "left_semi")
+
+
+def _window_first(spark, sf_dir):
+    return acquisition.first_orders(_purchases(spark, sf_dir), P.GAP_WINDOW_FIRST_SPAN, P.GAP_GRAIN)
+
+
+def _gaps_window(spark, sf_dir):
+    return gaps.first_gap(_window_first(spark, sf_dir), _purchases(spark, sf_dir), P.GAP_WINDOW_SPAN,
+                          P.GAP_WINDOW_TARGETS, P.GAP_GRAIN)
+
+
+@register("first_gap_cohort")
+def q_first_gap_cohort(spark, sf_dir):
+    return gaps.first_gap(_cohort_first(spark, sf_dir), _purchases(spark, sf_dir), P.GAP_COHORT_SPAN,
+                          P.GAP_COHORT_TARGETS, P.GAP_GRAIN)
+
+
+@register("first_gap_window")
+def q_first_gap_window(spark, sf_dir):
+    return _gaps_window(spark, sf_dir)
+
+
+@register("first_gap_fanout")
+def q_first_gap_fanout(spark, sf_dir):
+    return gaps.first_gap_fanout(_window_first(spark, sf_dir), _purchases(spark, sf_dir), P.GAP_WINDOW_SPAN,
+                                 P.GAP_WINDOW_TARGETS, P.GAP_GRAIN)
+
+
+@register("gap_counts")
+def q_gap_counts(spark, sf_dir):
+    return gaps.gap_counts(_gaps_window(spark, sf_dir))
+
+
+@register("first_gap_graded")
+def q_first_gap_graded(spark, sf_dir):
+    return gaps.with_grade(_gaps_window(spark, sf_dir), grades.grade_by_spend(orders_view(spark, sf_dir)))
+
+
+@register("first_gap_spine")
+def q_first_gap_spine(spark, sf_dir):
+    spine = gaps.first_gap_spine(_window_first(spark, sf_dir), _purchases(spark, sf_dir), P.GAP_WINDOW_SPAN,
+                                 P.GAP_WINDOW_TARGETS, P.GAP_GRAIN)
+    return gaps.with_grade(spine, grades.grade_by_spend(orders_view(spark, sf_dir)))
+
+
+@register("month_text_to_date")
+def q_month_text_to_date(spark, sf_dir):
+    return gaps.month_text_to_date(_rate(spark, sf_dir), ["month"], "month")

@@ -47,3 +47,23 @@ CURVE_SPAN = Span("2024-01-02", "2024-01-08", closed=False)
 CURVE_GRAIN = "day"
 CURVE_ACTIVE = ["2024-01-02", "2024-01-03", "2024-01-04"]
 CURVE_FOLLOW = ["2024-01-05", "2024-01-06", "2024-01-07"]
+
+# Acquisition (OP27-OP32): first orders over a long span, new since a month.
+FIRST_SPAN = Span("1995-01-01", "1997-12-31")
+NEW_SINCE = "1996-06"
+ACTIVITY_SPAN = Span("1996-06-01", "1997-12-31")
+# New-customer rate (OP33).
+RATE_FIRST_SPAN = Span("1995-01-01", "1998-12-31")
+RATE_SINCE = "1996-06"
+RATE_MONTHLY_SPAN = Span("1996-06-01", "1998-12-31")
+
+# First gap (OP34-OP38): purchase events by day.
+GAP_GRAIN = "day"
+GAP_COHORT_FIRST_SPAN = Span("2024-01-01", "2024-01-31")
+GAP_COHORT_DAY = "2024-01-02"
+GAP_COHORT_SPAN = Span("2024-01-02", "2024-01-10", closed=False)
+GAP_COHORT_TARGETS = ["2024-01-03", "2024-01-04", "2024-01-05", "2024-01-06", "2024-01-07", "2024-01-08",
+                      "2024-01-09"]
+GAP_WINDOW_FIRST_SPAN = Span("2024-01-01", "2024-01-05", closed=False)
+GAP_WINDOW_SPAN = Span("2024-01-05", "2024-01-09", closed=False)
+GAP_WINDOW_TARGETS = ["2024-01-05", "2024-01-06", "2024-01-07", "2024-01-08"]
