@@ -11,10 +11,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.operators import acquisition, churn, gaps, grades, lapse, ranking
+from tidemark.operators import acquisition, churn, gaps, grades, lapse, ranking, sales
 from tidemark.plans import params as P
 from tidemark.sources.tables import read_table
-from tidemark.sources.views import events_view, orders_view
+from pyspark.sql import functions as F
+
+from tidemark.sources.views import events_view, orders_view, profiles_view, sales_view
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -322,3 +324,128 @@ def q_first_gap_spine(spark, sf_dir):
 @register("month_text_to_date")
 def q_month_text_to_date(spark, sf_dir):
     return gaps.month_text_to_date(_rate(spark, sf_dir), ["month"], "month")
+
+
+# ---- sales analytics -------------------------------------------------------------
+
+@register("clean_number")
+def q_clean_number(spark, sf_dir):
+    o = read_table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("order_id"),
+        F.format_number("o_totalprice", 2).alias("price_text"),
+        F.col("o_orderpriority").alias("priority_text"))
+    o = sales.clean_number_column(o, "price_text", "price")
+    return sales.clean_number_column(o, "priority_text", "priority_number")
+
+
+@register("profile")
+def q_profile(spark, sf_dir):
+    return sales.profile(sales_view(spark, sf_dir), "price")
+
+
+@register("volume_before_after")
+def q_volume_before_after(spark, sf_dir):
+    return sales.volume_before_after(sales_view(spark, sf_dir), P.SALES_CUT)
+
+
+@register("mean_before_after")
+def q_mean_before_after(spark, sf_dir):
+    return sales.mean_before_after(sales_view(spark, sf_dir), "price", P.SALES_CUT)
+
+
+@register("trim_extremes")
+def q_trim_extremes(spark, sf_dir):
+    return sales.trim_extremes(sales_view(spark, sf_dir), "price")
+
+
+@register("size_price_points")
+def q_size_price_points(spark, sf_dir):
+    return sales.size_price_points(sales_view(spark, sf_dir))
+
+
+@register("monthly_mean_by_category")
+def q_monthly_mean_by_category(spark, sf_dir):
+    return sales.monthly_mean_by_category(sales_view(spark, sf_dir))
+
+
+@register("category_counts")
+def q_category_counts(spark, sf_dir):
+    return sales.category_counts(sales_view(spark, sf_dir))
+
+
+@register("monthly_price_and_count")
+def q_monthly_price_and_count(spark, sf_dir):
+    return sales.monthly_price_and_count(sales_view(spark, sf_dir), P.SALES_CATEGORY)
+
+
+@register("compare_before_after")
+def q_compare_before_after(spark, sf_dir):
+    return sales.compare_before_after(sales_view(spark, sf_dir), P.SALES_CUT, "category_size")
+
+
+@register("top_companies")
+def q_top_companies(spark, sf_dir):
+    return sales.top_groups_by_mean(sales_view(spark, sf_dir), ["company"], P.TOP_K)
+
+
+@register("top_artist_company")
+def q_top_artist_company(spark, sf_dir):
+    return sales.top_groups_by_mean(sales_view(spark, sf_dir), ["artist", "company"], P.TOP_K, P.TOP_MIN_COUNT)
+
+
+@register("yearly_summary")
+def q_yearly_summary(spark, sf_dir):
+    return sales.yearly_summary(orders_view(spark, sf_dir), P.YEARLY_SPAN, "ts", "amount")
+
+
+def _sources(spark, sf_dir):
+    return sales.union_sources({
+        "orders": (read_table(spark, sf_dir, "orders"), "o_orderdate", "o_totalprice"),
+        "lineitem": (read_table(spark, sf_dir, "lineitem"), "l_shipdate", "l_extendedprice"),
+        "events": (read_table(spark, sf_dir, "events"), "ts", "value"),
+    })
+
+
+@register("yearly_summary_by_group")
+def q_yearly_summary_by_group(spark, sf_dir):
+    return sales.yearly_summary(_sources(spark, sf_dir), P.MULTI_SPAN, by="artist")
+
+
+@register("years_union")
+def q_years_union(spark, sf_dir):
+    return sales.years_union(_sources(spark, sf_dir), P.MULTI_SPAN)
+
+
+@register("top_artists")
+def q_top_artists(spark, sf_dir):
+    return sales.top_by_total(sales_view(spark, sf_dir), "artist", P.TOP_TOTAL_K)
+
+
+@register("money_text")
+def q_money_text(spark, sf_dir):
+    return sales.with_money_text(sales.top_by_total(sales_view(spark, sf_dir), "artist", P.TOP_TOTAL_K), "total")
+
+
+def _profile_of_top(spark, sf_dir):
+    top = sales.top_by_total(sales_view(spark, sf_dir), "company", P.TOP_TOTAL_K)
+    return sales.profile_of_top(profiles_view(spark, sf_dir), top, "company")
+
+
+@register("profile_of_top")
+def q_profile_of_top(spark, sf_dir):
+    return _profile_of_top(spark, sf_dir)
+
+
+@register("mean_by_birth")
+def q_mean_by_birth(spark, sf_dir):
+    return sales.mean_by(_profile_of_top(spark, sf_dir), ["country_birth"])
+
+
+@register("mean_by_activity")
+def q_mean_by_activity(spark, sf_dir):
+    return sales.mean_by(_profile_of_top(spark, sf_dir), ["country_of_activity"])
+
+
+@register("mean_by_both")
+def q_mean_by_both(spark, sf_dir):
+    return sales.mean_by(_profile_of_top(spark, sf_dir), ["country_birth", "country_of_activity"])

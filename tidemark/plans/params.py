@@ -67,3 +67,12 @@ GAP_COHORT_TARGETS = ["2024-01-03", "2024-01-04", "2024-01-05", "2024-01-06", "2
 GAP_WINDOW_FIRST_SPAN = Span("2024-01-01", "2024-01-05", closed=False)
 GAP_WINDOW_SPAN = Span("2024-01-05", "2024-01-09", closed=False)
 GAP_WINDOW_TARGETS = ["2024-01-05", "2024-01-06", "2024-01-07", "2024-01-08"]
+
+# Sales analytics (OP40-OP58) on lineitem x part x supplier.
+SALES_CUT = "1998-07-01"
+SALES_CATEGORY = "MEDIUM"
+TOP_K = 10
+TOP_MIN_COUNT = 10
+YEARLY_SPAN = Span("1995-06-01", "2000-12-31")
+MULTI_SPAN = Span("1995-06-01", "2024-12-31")
+TOP_TOTAL_K = 20
