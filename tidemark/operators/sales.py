@@ -176,15 +176,16 @@ def yearly_summary(sales: DataFrame, span: Span, date_col: str = "date", value:
     """OP52 / OP53: per year (and ``by``): non-null count, mean, and percent change
     against the previous *present* year of the same group.
 
-    A NULL mean is not filled forward: NULL in gives NULL out. The window
-    is partitioned by ``by``; without it, it holds one row per year.
+    A NULL mean is not filled forward: NULL in gives NULL out, and a zero
+    previous value gives NULL (pandas gave inf). The window is partitioned
+    by ``by``; without it, it holds one row per year.
     """
     rows = span.apply(sales.filter(F.col(date_col).isNotNull()), date_col)
     keys = ([by] if by else []) + [F.year(date_col).cast("long").alias("year")]
     agg = rows.groupBy(*keys).agg(F.count(value).alias("transaction_count"),
                                   money_mean(value, decimals).alias("avg_price"))
     w = (Window.partitionBy(by) if by else Window.partitionBy()).orderBy("year")
-    change = lambda c: ((F.col(c) / F.lag(c).over(w)) - 1) * 100
+    change = lambda c: (F.try_divide(F.col(c), F.lag(c).over(w)) - 1) * 100
     return agg.select(*agg.columns, change("transaction_count").alias("transaction_count_change_pct"),
                       change("avg_price").alias("avg_price_change_pct"))
 

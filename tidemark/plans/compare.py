@@ -41,14 +41,26 @@ def _norm(v, digits: int):
     return v
 
 
-def compare(spark_df: DataFrame, con, sql: str, digits: int = 10) -> dict:
+# Spark simple type name -> DuckDB type name of the same values.
+_TYPE_MAP = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "date": "DATE",
+             "timestamp_ntz": "TIMESTAMP", "timestamp": "TIMESTAMP WITH TIME ZONE", "boolean": "BOOLEAN",
+             "float": "FLOAT", "smallint": "SMALLINT", "tinyint": "TINYINT"}
+
+
+def compare(spark_df: DataFrame, con, sql: str, digits: int = 17) -> dict:
     rel = con.sql(sql)
     d_cols = list(rel.columns)
+    d_types = dict(zip(d_cols, [str(t) for t in rel.types]))
     d_rows = rel.fetchall()
     s_cols = spark_df.columns
+    s_types = dict(spark_df.dtypes)
     s_rows = [tuple(r) for r in spark_df.collect()]
     out = {"spark_rows": len(s_rows), "oracle_rows": len(d_rows),
            "columns_match": sorted(s_cols) == sorted(d_cols)}
+    type_diffs = {c: (s_types[c], d_types.get(c)) for c in s_cols
+                  if c in d_types and _TYPE_MAP.get(s_types[c], s_types[c]) != d_types[c]}
+    if type_diffs:
+        out["type_diffs"] = type_diffs
     if not out["columns_match"]:
         out["spark_columns"], out["oracle_columns"] = s_cols, d_cols
         out["match"] = False
