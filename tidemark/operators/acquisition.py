@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.periods import Span, period_key
-from tidemark.operators.relational import not_in, period_activity
+from tidemark.operators.relational import not_in, per_user_period, period_activity, roll_up_periods
 
 
 def first_orders(orders: DataFrame, span: Span, grain: str = "month", key: str = "user_id") -> DataFrame:
@@ -25,9 +25,13 @@ def new_customers(first: DataFrame, since: str) -> DataFrame:
 
 def existing_activity(orders: DataFrame, new: DataFrame, span: Span, grain: str = "month",
                       key: str = "user_id") -> DataFrame:
-    """OP29: ``order_month, active_customers, total_orders`` of users NOT IN ``new``."""
-    rows = not_in(span.apply(orders, "ts"), new.select(key), key)
-    return period_activity(rows, grain)
+    """OP29: ``order_month, active_customers, total_orders`` of users NOT IN ``new``.
+
+    Orders are reduced to (month, user) rows before the anti join, so the
+    join moves at most one row per user and month, whatever a user's volume.
+    """
+    per_user = not_in(per_user_period(span.apply(orders, "ts"), grain, key=key), new.select(key), key)
+    return roll_up_periods(per_user, key=key)
 
 
 def monthly_totals(orders: DataFrame, span: Span, grain: str = "month") -> DataFrame:

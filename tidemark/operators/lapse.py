@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.periods import Span, period_key
 from tidemark.functions.text import TS_TEXT_PATTERN
-from tidemark.operators.relational import not_in, period_activity, users_in
+from tidemark.operators.relational import not_in, per_user_period, roll_up_periods, users_in
 
 # Labels used by the source analyses.
 CONSISTENT = "Consistent Buyer"
@@ -51,10 +51,13 @@ def lapse_counts(lapsed_users: DataFrame, still: DataFrame) -> DataFrame:
 
 def active_periods(orders: DataFrame, span: Span, cohort: DataFrame, grain: str = "month",
                    key: str = "user_id", name: str = "active_months") -> DataFrame:
-    """OP08: distinct periods with an order in ``span`` per cohort user; users with none are absent."""
-    rows = span.apply(orders, "ts").join(cohort.select(key), key, "left_semi")
-    per = rows.select(key, period_key("ts", grain).alias("_p")).distinct()
-    return per.groupBy(key).agg(F.count("_p").alias(name))
+    """OP08: distinct periods with an order in ``span`` per cohort user; users with none are absent.
+
+    (user, period) pairs are formed before the semi join, so the join sees
+    at most one row per user and period.
+    """
+    per = span.apply(orders, "ts").select(key, period_key("ts", grain).alias("_p")).distinct()
+    return per.join(cohort.select(key), key, "left_semi").groupBy(key).agg(F.count("_p").alias(name))
 
 
 def purchase_pattern(periods: DataFrame, k: int = 3, name: str = "active_months") -> DataFrame:
@@ -115,8 +118,8 @@ def consistent_counts(orders: DataFrame, span: Span, grain: str = "month", k: in
 def cohort_trend(orders: DataFrame, cohort: DataFrame, since: str, grain: str = "month",
                  key: str = "user_id") -> DataFrame:
     """OP17: ``order_month, active_customers, total_orders`` of cohort users from ``since`` on."""
-    rows = Span(since, None).apply(orders, "ts").join(cohort.select(key), key, "left_semi")
-    return period_activity(rows, grain)
+    per_user = per_user_period(Span(since, None).apply(orders, "ts"), grain, key=key)
+    return roll_up_periods(per_user.join(cohort.select(key), key, "left_semi"), key=key)
 
 
 def ts_format_audit(df: DataFrame, column: str = "ts", pattern: str = TS_TEXT_PATTERN) -> DataFrame:

@@ -38,6 +38,23 @@ def not_in(left: DataFrame, right: DataFrame, key: str = "user_id", right_key: s
             .drop("_s"))
 
 
+def per_user_period(orders: DataFrame, grain: str = "month", period_col: str = "order_month",
+                    key: str = "user_id", ts: str = "ts", order_id: str = "order_id") -> DataFrame:
+    """One row per (period, user) with ``_n`` = ``COUNT(order_id)``.
+
+    Map-side partial aggregation reduces a hot user to one row per period
+    per task before anything is shuffled or joined on the user.
+    """
+    return orders.groupBy(period_key(ts, grain).alias(period_col), key).agg(F.count(order_id).alias("_n"))
+
+
+def roll_up_periods(per_user: DataFrame, period_col: str = "order_month", users_col: str = "active_customers",
+                    orders_col: str = "total_orders", key: str = "user_id") -> DataFrame:
+    """Per period: distinct users and total orders from ``per_user_period`` rows."""
+    return per_user.groupBy(period_col).agg(F.count(key).alias(users_col),
+                                            F.sum("_n").cast("long").alias(orders_col))
+
+
 def period_activity(orders: DataFrame, grain: str = "month", period_col: str = "order_month",
                     users_col: str = "active_customers", orders_col: str = "total_orders",
                     key: str = "user_id", ts: str = "ts", order_id: str = "order_id") -> DataFrame:
@@ -46,7 +63,5 @@ def period_activity(orders: DataFrame, grain: str = "month", period_col: str = "
     Reduced first to one row per (period, user) so the distinct count needs
     no Expand and a hot user costs one row per period.
     """
-    per_user = (orders.groupBy(period_key(ts, grain).alias(period_col), key)
-                .agg(F.count(order_id).alias("_n")))
-    return per_user.groupBy(period_col).agg(F.count(key).alias(users_col),
-                                            F.sum("_n").cast("long").alias(orders_col))
+    return roll_up_periods(per_user_period(orders, grain, period_col, key, ts, order_id),
+                           period_col, users_col, orders_col, key)
