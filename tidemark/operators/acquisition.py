@@ -73,8 +73,9 @@ def new_customer_rate(orders: DataFrame, first_span: Span, since: str, monthly_s
                       grain: str = "month", key: str = "user_id") -> DataFrame:
     """OP33: ``month, new_customers, total_customers, new_customer_rate`` (percent)."""
     first = first_orders(orders, first_span, grain, key)
+    # first_orders has one row per user, so a plain count is the distinct count
     per_month = (new_customers(first, since).groupBy("first_order_month")
-                 .agg(F.count_distinct(key).alias("new_customers")))
+                 .agg(F.count(key).alias("new_customers")))
     totals = monthly_totals(orders, monthly_span, grain).select(F.col("order_month").alias("_m"), "total_customers")
     return (per_month.join(totals, per_month.first_order_month == totals._m)
             .select(F.col("first_order_month").alias("month"), "new_customers", "total_customers",

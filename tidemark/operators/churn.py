@@ -119,6 +119,7 @@ def churn_curve(orders: DataFrame, span: Span, active: Sequence[str], follow: Se
     piv = period_pivot(orders, span, list(active) + list(follow), grain, key)
     initial = piv.filter(F.col(key).isNotNull() & _all([F.col(pivot_column(p)) > 0 for p in active]))
     label = F.coalesce(*[F.when(F.col(pivot_column(p)) == 0, F.lit(p)) for p in follow], F.lit(STILL_ACTIVE))
+    # the pivot has one row per user, so a plain count is the distinct count
     return (initial.select(key, label.alias("churned_month"))
             .groupBy("churned_month")
-            .agg(F.count_distinct(key).alias("churned_customer_count")))
+            .agg(F.count(key).alias("churned_customer_count")))
