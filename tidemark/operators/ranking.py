@@ -5,9 +5,9 @@ one task. Here the rank is computed distributed:
 
 1. range-partition the rows on the sort key and sort inside each partition;
 2. tag each row with its partition id and its position in the partition,
-   and checkpoint the result to the reliable checkpoint folder, so the
-   partition contents can never change between the two passes below (a
-   lost executor recomputes from the checkpoint, not from a new sample);
+   and write the result as Parquet into the shared checkpoint folder, so
+   the partition contents can never change between the passes below (a
+   lost executor re-reads the files, it does not re-sample the ranges);
 3. count rows per partition -- one row per partition, so the running
    offset over these counts is a tiny single-task window and its broadcast
    is bounded by the partition count;
@@ -19,6 +19,8 @@ the ranks are reproducible.
 
 from __future__ import annotations
 
+import os
+import uuid
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
@@ -31,32 +33,57 @@ from tidemark.session import checkpoint_dir
 QUARTILE_FRACTIONS = {"p75": Decimal("0.25"), "p50": Decimal("0.50"), "p25": Decimal("0.75")}
 
 
-def global_row_number(df: DataFrame, order: list[Column], name: str = "rank",
-                      total_name: str | None = None, num_partitions: int | None = None) -> DataFrame:
-    """Append a 1-based exact row number in ``order`` (and optionally the row total)."""
+def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
+    """Write ``df`` as Parquet under the shared checkpoint folder and read it back.
+
+    This cuts the lineage like ``checkpoint()`` (a lost executor re-reads the
+    files instead of recomputing, so values that depend on partitioning stay
+    fixed), and later passes read only the columns they need.
+    """
     spark = df.sparkSession
-    checkpoint_dir(spark)
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = os.path.join(checkpoint_dir(spark), "tidemark", f"{label}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def range_tagged(df: DataFrame, order: list[Column], num_partitions: int | None = None) -> DataFrame:
+    """Range-partition and sort on ``order``; tag rows with ``_part`` and ``_pos``; materialize."""
+    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tagged = (
         df.repartitionByRange(n, *order)
         .sortWithinPartitions(*order)
         .withColumn("_part", F.spark_partition_id())
         .withColumn("_pos", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33))
-        .checkpoint(eager=True)
     )
+    return materialize(tagged, "ranked")
+
+
+def partition_offsets(tagged: DataFrame) -> DataFrame:
+    """``_part, _offset, _total``: rows before each range partition. One row per partition."""
     sizes = tagged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(
+    return sizes.select(
         "_part",
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"),
         F.sum("_n").over(Window.partitionBy(F.lit(0))).alias("_total"),
     )
-    out = tagged.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_offset") + F.col("_pos") + 1)
+
+
+def with_rank(tagged: DataFrame, name: str = "rank", total_name: str | None = None) -> DataFrame:
+    """Rank = partition offset + position + 1; the offsets table is bounded by the partition count."""
+    out = (tagged.join(F.broadcast(partition_offsets(tagged)), "_part")
+           .withColumn(name, F.col("_offset") + F.col("_pos") + 1))
     if total_name:
         out = out.withColumn(total_name, F.col("_total"))
     return out.drop("_part", "_pos", "_offset", "_total")
 
 
+def global_row_number(df: DataFrame, order: list[Column], name: str = "rank",
+                      total_name: str | None = None, num_partitions: int | None = None) -> DataFrame:
+    """Append a 1-based exact row number in ``order`` (and optionally the row total)."""
+    return with_rank(range_tagged(df, order, num_partitions), name, total_name)
+
+
 def user_totals(orders: DataFrame, measure: str = "total_spent", how: str = "sum",
                 value: str = "amount", key: str = "user_id", money_decimals: int | None = 2) -> DataFrame:
     """Per-user ``SUM(value)`` (rounded to cents) or ``COUNT(order_id)``."""
@@ -71,15 +98,20 @@ def user_totals(orders: DataFrame, measure: str = "total_spent", how: str = "sum
     return orders.groupBy(key).agg(agg.alias(measure))
 
 
+def ranked_totals(orders: DataFrame, measure: str = "total_spent", how: str = "sum",
+                  key: str = "user_id") -> DataFrame:
+    """Per-user totals, range-partitioned by (measure DESC, key) and materialized with ``_part, _pos``."""
+    totals = user_totals(orders, measure, how, key=key)
+    return range_tagged(totals, [F.col(measure).desc(), F.col(key).asc()])
+
+
 def rank_users(orders: DataFrame, measure: str = "total_spent", how: str = "sum",
                key: str = "user_id") -> DataFrame:
     """OP01: ``user_id, <measure>, rank, total_count``; rank 1 = largest measure.
 
     Ties are broken by ``user_id`` ascending.
     """
-    totals = user_totals(orders, measure, how, key=key)
-    return global_row_number(totals, [F.col(measure).desc(), F.col(key).asc()],
-                             name="rank", total_name="total_count")
+    return with_rank(ranked_totals(orders, measure, how, key), "rank", "total_count")
 
 
 def _cut_rank(total: Column, frac: Decimal) -> Column:
