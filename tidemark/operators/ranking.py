@@ -43,7 +43,7 @@ def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     spark = df.sparkSession
     path = os.path.join(checkpoint_dir(spark), "tidemark", f"{label}-{uuid.uuid4().hex}")
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def range_tagged(df: DataFrame, order: list[Column], num_partitions: int | None = None) -> DataFrame:
