@@ -34,3 +34,22 @@ def test_rank_is_range_partitioned_not_single_partition(spark):
     # the only single-partition window in the rank runs over per-partition counts
     plan = _plan(QUERIES["rank_users"](spark, SF01))
     assert "Window [" in plan and "_n" in plan
+
+
+@pytest.mark.parametrize("name,join", [("existing_activity", "SortMergeJoin LeftAnti"),
+                                       ("cohort_trend", "SortMergeJoin LeftSemi"),
+                                       ("active_periods", "SortMergeJoin LeftSemi")])
+def test_join_on_user_sees_aggregated_rows_when_not_broadcast(spark, name, join):
+    """At scale the cohort side is too big to broadcast; the orders side must
+    then reach the join already reduced to (period, user) rows."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = QUERIES[name](spark, SF01)
+        tree = df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted").split("\n\n\n")[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    lines = tree.splitlines()
+    i = next(k for k, line in enumerate(lines) if join in line)
+    left = [line.strip(" :+-") for line in lines[i + 1:i + 4]]
+    assert left[0].startswith("Sort") and left[1].startswith("Exchange") and left[2].startswith("HashAggregate"), tree
