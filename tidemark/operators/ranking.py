@@ -47,10 +47,16 @@ def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
 
 
 def range_tagged(df: DataFrame, order: list[Column], num_partitions: int | None = None) -> DataFrame:
-    """Range-partition and sort on ``order``; tag rows with ``_part`` and ``_pos``; materialize."""
-    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """Range-partition and sort on ``order``; tag rows with ``_part`` and ``_pos``; materialize.
+
+    Without ``num_partitions`` the range shuffle starts from
+    ``spark.sql.shuffle.partitions`` and AQE coalesces neighbouring ranges to
+    its advisory size; coalescing only merges adjacent ranges and the sort
+    runs after it, so positions stay in global order.
+    """
+    ranged = df.repartitionByRange(num_partitions, *order) if num_partitions else df.repartitionByRange(*order)
     tagged = (
-        df.repartitionByRange(n, *order)
+        ranged
         .sortWithinPartitions(*order)
         .withColumn("_part", F.spark_partition_id())
         .withColumn("_pos", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33))

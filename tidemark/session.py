@@ -29,6 +29,9 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     }
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    if master and master.startswith("local"):
+        # local mode runs every task inside the driver JVM
+        conf["spark.driver.memory"] = os.environ.get("TIDEMARK_DRIVER_MEMORY", "16g")
     for k, v in conf.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
