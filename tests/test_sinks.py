@@ -46,3 +46,17 @@ def test_insert_with_column_list_and_stage(spark):
     staged.unpersist()
     sinks.drop_table(spark, "ins_v", temporary=True)
     sinks.drop_table(spark, "ins_t")
+
+
+def test_partitioned_table_prunes_by_month(spark):
+    from conftest import SF01
+    from tidemark.sources.views import orders_view
+
+    o = orders_view(spark, SF01).withColumn("order_month", F.date_format("ts", "yyyy-MM"))
+    sinks.drop_table(spark, "orders_by_month")
+    sinks.persist_table(o, "orders_by_month", partition_by=["order_month"])
+    q = spark.table("orders_by_month").filter(F.col("order_month") == "1997-03")
+    plan = q._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(order_month" in plan
+    assert q.count() == o.filter(F.col("order_month") == "1997-03").count()
+    sinks.drop_table(spark, "orders_by_month")

@@ -22,9 +22,17 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return staged
 
 
-def persist_table(df: DataFrame, name: str, mode: str = "errorifexists", fmt: str = "parquet") -> None:
-    """SRC7 / SRC14: ``CREATE TABLE name AS SELECT``; ``mode="overwrite"`` is drop-then-create."""
-    df.write.format(fmt).mode(mode).saveAsTable(name)
+def persist_table(df: DataFrame, name: str, mode: str = "errorifexists", fmt: str = "parquet",
+                  partition_by: Sequence[str] | None = None) -> None:
+    """SRC7 / SRC14: ``CREATE TABLE name AS SELECT``; ``mode="overwrite"`` is drop-then-create.
+
+    ``partition_by`` (for example a month column of an order table) lets later
+    date-range filters prune whole folders instead of reading every file.
+    """
+    writer = df.write.format(fmt).mode(mode)
+    if partition_by:
+        writer = writer.partitionBy(*partition_by)
+    writer.saveAsTable(name)
 
 
 def drop_table(spark: SparkSession, name: str, temporary: bool = False) -> None:

@@ -76,3 +76,25 @@ def profiles_view(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("s_acctbal").alias("number_museum"),
         )
     )
+
+
+def register_sql_views(spark: SparkSession, sf_dir: str) -> list[str]:
+    """Temp views with the source analyses' table names, for Spark SQL users.
+
+    ``orders_completed (user_id, id, masked_id, discounted_price, created_at)``
+    and ``customer_grades (user_id, total_spent, spending_grade)``. The grades
+    view is lazy; its rank step writes its totals once per query that uses it.
+    Spark SQL spells date patterns as ``date_format(ts, 'yyyy-MM')``.
+    """
+    from tidemark.operators.grades import grade_by_spend
+
+    orders = read_table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("user_id"),
+        F.col("o_orderkey").alias("id"),
+        F.col("o_orderkey").cast("string").alias("masked_id"),
+        F.col("o_totalprice").alias("discounted_price"),
+        F.col("o_orderdate").alias("created_at"),
+    )
+    orders.createOrReplaceTempView("orders_completed")
+    grade_by_spend(orders_view(spark, sf_dir)).createOrReplaceTempView("customer_grades")
+    return ["orders_completed", "customer_grades"]
