@@ -62,3 +62,12 @@ def test_count_histogram_thresholds_equal_rank_thresholds(spark):
     by_hist = ranking.thresholds_from_histogram(ranking.user_totals(o, "total_orders", "count"),
                                                 "total_orders").collect()[0]
     assert by_rank.asDict() == by_hist.asDict()
+
+
+def test_clean_materialized(spark):
+    from tidemark.session import clean_materialized
+
+    o = _orders(spark, [(0, 5), (1, 7)])
+    ranking.rank_users(o).collect()
+    assert clean_materialized(spark) is True
+    assert clean_materialized(spark) is False

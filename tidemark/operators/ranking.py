@@ -19,14 +19,13 @@ the ranks are reproducible.
 
 from __future__ import annotations
 
-import os
 import uuid
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.session import checkpoint_dir
+from tidemark.session import MATERIALIZED, checkpoint_dir
 
 # Quartile cut points as fractions of the user count, counted
 # from the top (rank floor(n * f) holds the threshold).
@@ -41,7 +40,7 @@ def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     fixed), and later passes read only the columns they need.
     """
     spark = df.sparkSession
-    path = os.path.join(checkpoint_dir(spark), "tidemark", f"{label}-{uuid.uuid4().hex}")
+    path = f"{checkpoint_dir(spark)}/{MATERIALIZED}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

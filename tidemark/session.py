@@ -61,3 +61,19 @@ def checkpoint_dir(spark: SparkSession) -> str:
     path = tempfile.mkdtemp(prefix="tidemark-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(path)
     return sc.getCheckpointDir()
+
+
+MATERIALIZED = "tidemark"
+
+
+def clean_materialized(spark: SparkSession) -> bool:
+    """Delete the tables tidemark wrote under the checkpoint folder.
+
+    Spark cleans only its own RDD checkpoints. Call this when no DataFrame
+    returned by a rank or grade operator is still in use (for example at the
+    end of a job); it works on any Hadoop file system the folder lives on.
+    """
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(checkpoint_dir(spark) + "/" + MATERIALIZED)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return bool(fs.delete(path, True)) if fs.exists(path) else False
