@@ -57,3 +57,13 @@ def test_churn_by_grade(spark):
     got = {r.spending_grade: r.churned_customer_count for r in churn.churn_by_grade(
         o, g, Span("2024-03-01", "2024-07-01", closed=False), ["2024-03", "2024-04", "2024-05"], ["2024-06"]).collect()}
     assert got == {"VIP": 1, "Gold": 1}
+
+
+def test_aliases(spark):
+    from tidemark.operators import gaps, lapse, sales
+    o = _o(spark, [(1, "2024-11-05"), (2, "2024-05-05")])
+    assert churn.potential_churners_2m(o).count() == 2
+    assert callable(gaps.first_gap_graded) and callable(lapse.churned_consistent_by_grade)
+    a = spark.createDataFrame([(ts("2020-01-05"), 1.0), (ts("2021-01-05"), 3.0)], "d timestamp_ntz, p double")
+    ys = sales.yearly_summary_multi({"A": (a, "d", "p")}, Span("2019-01-01", "2024-12-31"))
+    assert sorted((r.year, r.avg_price_change_pct) for r in ys.collect()) == [(2020, None), (2021, 200.0)]

@@ -123,3 +123,9 @@ def churn_curve(orders: DataFrame, span: Span, active: Sequence[str], follow: Se
     return (initial.select(key, label.alias("churned_month"))
             .groupBy("churned_month")
             .agg(F.count(key).alias("churned_customer_count")))
+
+
+def potential_churners_2m(orders: DataFrame, gap: int = 3, cut: str | None = None, quiet: int = 2,
+                          grain: str = "month", **kw) -> DataFrame:
+    """OP22: potential churners that also have no order in the ``quiet`` periods after the last one."""
+    return potential_churners(orders, gap, cut, grain, quiet_after_last=quiet, **kw)

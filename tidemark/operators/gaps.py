@@ -96,3 +96,8 @@ def month_text_to_date(df: DataFrame, columns: Sequence[str], grain: str = "mont
     for c in columns:
         out = out.withColumn(c, period_start(F.col(c), grain))
     return out
+
+
+def first_gap_graded(gaps: DataFrame, grades: DataFrame, key: str = "user_id") -> DataFrame:
+    """OP37: ``user_id, first_order_month, churned_month, spending_grade``."""
+    return with_grade(gaps, grades, key)

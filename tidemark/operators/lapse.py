@@ -125,3 +125,8 @@ def cohort_trend(orders: DataFrame, cohort: DataFrame, since: str, grain: str =
 def ts_format_audit(df: DataFrame, column: str = "ts", pattern: str = TS_TEXT_PATTERN) -> DataFrame:
     """OP18: rows whose timestamp text is not 'YYYY-MM-DD hh:mm:ss' (NULL rows are not returned)."""
     return df.filter(~F.col(column).cast("string").rlike(pattern))
+
+
+def churned_consistent_by_grade(consistent: DataFrame, recent: DataFrame, grades: DataFrame) -> DataFrame:
+    """OP12 under its descriptive name."""
+    return churned_consistent(consistent, recent, grades)

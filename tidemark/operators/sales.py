@@ -244,3 +244,10 @@ def mean_by(profiles: DataFrame, by: Sequence[str], value: str = "number_museum"
         rows = rows.filter(F.col(c).isNotNull())
     return (rows.groupBy(*by).agg(money_mean(value, decimals).alias(value))
             .orderBy(F.col(value).desc(), *[F.col(c) for c in by]))
+
+
+def yearly_summary_multi(sources: Mapping[str, tuple[DataFrame, str, str]], span: Span,
+                         name: str = "artist") -> DataFrame:
+    """OP53: per-source yearly summary from sources with their own date and price columns;
+    the percent change is computed within each source."""
+    return yearly_summary(union_sources(sources, name), span, by=name)
