@@ -98,3 +98,12 @@ def test_profile_of_top_and_mean_by(spark):
     assert sorted((r.name, r.country_birth) for r in p.collect()) == [("h1", "미상"), ("h2", "KR")]
     by_act = [tuple(r) for r in sales.mean_by(p, ["country_of_activity"]).collect()]
     assert by_act == [("KR", 2.0)]  # NULL activity country dropped
+
+
+def test_null_group_keys_dropped(spark):
+    d = ts("2024-01-01")
+    df = _s(spark, [("a", None, 99.0, d, "m", 1.0), ("a", "h1", 10.0, d, "m", 1.0)])
+    assert [r.company for r in sales.top_groups_by_mean(df, ["company"], k=5).collect()] == ["h1"]
+    by = spark.createDataFrame([(None, d, 1.0), ("A", d, 2.0)], "artist string, date timestamp_ntz, price double")
+    ys = sales.yearly_summary(by, Span("2020-01-01", "2024-12-31"), by="artist")
+    assert [(r.artist, r.avg_price) for r in ys.collect()] == [("A", 2.0)]

@@ -161,10 +161,14 @@ def top_groups_by_mean(sales: DataFrame, by: Sequence[str], k: int = 10, min_cou
                        value: str = "price", decimals: int = 2) -> DataFrame:
     """OP50 / OP51: ``<by>, mean_price, transaction_count`` (non-null prices), top ``k`` by mean.
 
-    A group without prices sorts last; ties are broken by the keys. The
-    top-k is a distributed take-ordered (k rows per task, then one merge).
+    A group without prices sorts last; ties are broken by the keys; rows
+    with a NULL key are dropped, as pandas grouping drops them. The top-k is
+    a distributed take-ordered (k rows per task, then one merge).
     """
-    agg = sales.groupBy(*by).agg(money_mean(value, decimals).alias("mean_price"),
+    rows = sales
+    for c in by:
+        rows = rows.filter(F.col(c).isNotNull())
+    agg = rows.groupBy(*by).agg(money_mean(value, decimals).alias("mean_price"),
                                  F.count(value).alias("transaction_count"))
     if min_count is not None:
         agg = agg.filter(F.col("transaction_count") >= min_count)
@@ -181,6 +185,8 @@ def yearly_summary(sales: DataFrame, span: Span, date_col: str = "date", value:
     by ``by``; without it, it holds one row per year.
     """
     rows = span.apply(sales.filter(F.col(date_col).isNotNull()), date_col)
+    if by:
+        rows = rows.filter(F.col(by).isNotNull())
     keys = ([by] if by else []) + [F.year(date_col).cast("long").alias("year")]
     agg = rows.groupBy(*keys).agg(F.count(value).alias("transaction_count"),
                                   money_mean(value, decimals).alias("avg_price"))
