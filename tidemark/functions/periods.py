@@ -91,3 +91,50 @@ class Span:
 
     def apply(self, df: DataFrame, column: str = "ts") -> DataFrame:
         return df.filter(self.predicate(df, column))
+
+
+def period_trunc(ts: Column | str, grain: str = "month") -> Column:
+    """First day (DATE) of the period containing ``ts``.
+
+    An integer truncation: operators group and join on this per row and
+    format the text label only after aggregating.
+    """
+    d = F.to_date(F.col(ts) if isinstance(ts, str) else ts)
+    if grain == "day":
+        return d
+    if grain in ("month", "quarter", "year"):
+        return F.trunc(d, grain)
+    raise ValueError(f"unknown grain {grain!r}")
+
+
+def label_of_start(start: Column | str, grain: str = "month") -> Column:
+    """Text label of the period that starts on ``start`` (a DATE)."""
+    return period_key(start, grain)
+
+
+def period_bounds(label: str, grain: str = "month") -> tuple[str, str]:
+    """``[start, end)`` dates, as 'YYYY-MM-DD' text, of the period named ``label``."""
+    import datetime as dt
+
+    if grain == "day":
+        start = dt.date.fromisoformat(label)
+        return start.isoformat(), (start + dt.timedelta(days=1)).isoformat()
+    if grain == "year":
+        y = int(label)
+        return f"{y:04d}-01-01", f"{y + 1:04d}-01-01"
+    if grain == "month":
+        y, m = int(label[:4]), int(label[5:7])
+        months = 1
+    elif grain == "quarter":
+        y, m = int(label[:4]), (int(label[6]) - 1) * 3 + 1
+        months = 3
+    else:
+        raise ValueError(f"unknown grain {grain!r}")
+    ny, nm = y + (m - 1 + months) // 12, (m - 1 + months) % 12 + 1
+    return f"{y:04d}-{m:02d}-01", f"{ny:04d}-{nm:02d}-01"
+
+
+def in_period(df: DataFrame, column: str, label: str, grain: str = "month") -> Column:
+    """``column`` falls in the period ``label``: two comparisons with literals, no per-row formatting."""
+    lo, hi = period_bounds(label, grain)
+    return Span(lo, hi, closed=False).predicate(df, column)

@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.periods import Span, period_key, period_start, shift_period
+from tidemark.functions.periods import (Span, in_period, label_of_start, period_key, period_start,
+                                        period_trunc, shift_period)
 
 # Fixed value: label of a user with no zero period in the follow-up.
 STILL_ACTIVE = "Still Active"
@@ -20,7 +21,8 @@ def _before(orders: DataFrame, cut: str | None) -> DataFrame:
 def user_periods(orders: DataFrame, grain: str = "month", cut: str | None = None,
                  key: str = "user_id", name: str = "order_month") -> DataFrame:
     """OP19: distinct (user, period) pairs, optionally only orders before ``cut``."""
-    return _before(orders, cut).select(key, period_key("ts", grain).alias(name)).distinct()
+    pairs = _before(orders, cut).select(key, period_trunc("ts", grain).alias("_start")).distinct()
+    return pairs.select(key, label_of_start("_start", grain).alias(name))
 
 
 def order_span(orders: DataFrame, grain: str = "month", cut: str | None = None, key: str = "user_id") -> DataFrame:
@@ -68,9 +70,10 @@ def potential_churners(orders: DataFrame, gap: int = 3, cut: str | None = None,
 
 def user_period_counts(orders: DataFrame, span: Span, grain: str = "month", key: str = "user_id") -> DataFrame:
     """OP23: ``user_id, order_month, order_count`` (orders per user and period in ``span``)."""
-    return (span.apply(orders, "ts")
-            .groupBy(key, period_key("ts", grain).alias("order_month"))
-            .agg(F.count("order_id").alias("order_count")))
+    per = (span.apply(orders, "ts")
+           .groupBy(key, period_trunc("ts", grain).alias("_start"))
+           .agg(F.count("order_id").alias("order_count")))
+    return per.select(key, label_of_start("_start", grain).alias("order_month"), "order_count")
 
 
 def pivot_column(label: str) -> str:
@@ -82,12 +85,13 @@ def period_pivot(orders: DataFrame, span: Span, periods: Sequence[str], grain: s
     """OP24: one row per user with an order in ``span``; one count column per period (0 when none).
 
     Conditional counts straight from the orders: one shuffle on the user,
-    with map-side partial aggregation, instead of group-then-pivot.
+    with map-side partial aggregation, instead of group-then-pivot. Each
+    period test is two comparisons of the timestamp with literal bounds.
     """
-    label = period_key("ts", grain)
-    return (span.apply(orders, "ts")
-            .groupBy(key)
-            .agg(*[F.count(F.when(label == p, F.col("order_id"))).alias(pivot_column(p)) for p in periods]))
+    rows = span.apply(orders, "ts")
+    return (rows.groupBy(key)
+            .agg(*[F.count(F.when(in_period(rows, "ts", p, grain), F.col("order_id"))).alias(pivot_column(p))
+                   for p in periods]))
 
 
 def _all(cols: list[Column]) -> Column:

@@ -11,14 +11,15 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.periods import Span, period_key, period_start
+from tidemark.functions.periods import Span, in_period, label_of_start, period_start, period_trunc
 
 
 def _target_counts(orders: DataFrame, span: Span, targets: Sequence[str], grain: str, key: str) -> DataFrame:
     """One row per user: order count in each target period (one shuffle, partial aggregation)."""
-    label = period_key("ts", grain)
-    return (span.apply(orders, "ts").groupBy(key)
-            .agg(*[F.count(F.when(label == t, F.lit(1))).alias(f"_n{i}") for i, t in enumerate(targets)]))
+    rows = span.apply(orders, "ts")
+    return (rows.groupBy(key)
+            .agg(*[F.count(F.when(in_period(rows, "ts", t, grain), F.lit(1))).alias(f"_n{i}")
+                   for i, t in enumerate(targets)]))
 
 
 def _first_missing(targets: Sequence[str]):
@@ -81,7 +82,8 @@ def first_gap_spine(first: DataFrame, orders: DataFrame, span: Span, targets: Se
     if method == "aggregate":
         return first_gap(first, orders, span, targets, grain, key).filter(F.col("churned_month").isNotNull())
     spine = first.select(key, "first_order_month", F.explode(F.array(*[F.lit(t) for t in targets])).alias("_t"))
-    have = span.apply(orders, "ts").select(F.col(key).alias("_u"), period_key("ts", grain).alias("_p")).distinct()
+    pairs = span.apply(orders, "ts").select(F.col(key).alias("_u"), period_trunc("ts", grain).alias("_s")).distinct()
+    have = pairs.select("_u", label_of_start("_s", grain).alias("_p"))
     missing = spine.join(have, (spine[key] == have._u) & (spine._t == have._p), "left_anti")
     return missing.groupBy(key, "first_order_month").agg(F.min("_t").alias("churned_month"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.periods import Span, period_key
+from tidemark.functions.periods import Span, period_trunc
 from tidemark.functions.text import TS_TEXT_PATTERN
 from tidemark.operators.relational import not_in, per_user_period, roll_up_periods, users_in
 
@@ -56,7 +56,7 @@ def active_periods(orders: DataFrame, span: Span, cohort: DataFrame, grain: str
     (user, period) pairs are formed before the semi join, so the join sees
     at most one row per user and period.
     """
-    per = span.apply(orders, "ts").select(key, period_key("ts", grain).alias("_p")).distinct()
+    per = span.apply(orders, "ts").select(key, period_trunc("ts", grain).alias("_p")).distinct()
     return per.join(cohort.select(key), key, "left_semi").groupBy(key).agg(F.count("_p").alias(name))
 
 
@@ -107,7 +107,7 @@ def consistent_counts(orders: DataFrame, span: Span, grain: str = "month", k: in
                       key: str = "user_id") -> DataFrame:
     """OP16: users with orders in exactly ``k`` distinct periods of ``span``, with their order count."""
     per = (span.apply(orders, "ts")
-           .groupBy(key, period_key("ts", grain).alias("_p"))
+           .groupBy(key, period_trunc("ts", grain).alias("_p"))
            .agg(F.count(key).alias("_n")))
     return (per.groupBy(key)
             .agg(F.count("_p").alias("_periods"), F.sum("_n").cast("long").alias("order_count"))

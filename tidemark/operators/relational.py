@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.periods import Span, period_key
+from tidemark.functions.periods import Span, label_of_start, period_trunc
 
 
 def users_in(orders: DataFrame, span: Span, key: str = "user_id", ts: str = "ts") -> DataFrame:
@@ -45,7 +45,8 @@ def per_user_period(orders: DataFrame, grain: str = "month", period_col: str = "
     Map-side partial aggregation reduces a hot user to one row per period
     per task before anything is shuffled or joined on the user.
     """
-    return orders.groupBy(period_key(ts, grain).alias(period_col), key).agg(F.count(order_id).alias("_n"))
+    per = orders.groupBy(period_trunc(ts, grain).alias("_start"), key).agg(F.count(order_id).alias("_n"))
+    return per.select(label_of_start("_start", grain).alias(period_col), key, "_n")
 
 
 def roll_up_periods(per_user: DataFrame, period_col: str = "order_month", users_col: str = "active_customers",

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.periods import Span, period_key
+from tidemark.functions.periods import Span, label_of_start, period_trunc
 from tidemark.functions.text import clean_missing_text, clean_number, money_text
 
 # Labels of the two sides of an event date.
@@ -109,8 +109,9 @@ def size_price_points(sales: DataFrame) -> DataFrame:
 def monthly_mean_by_category(sales: DataFrame, decimals: int = 2) -> DataFrame:
     """OP46: ``year_month, category_size, price`` = mean price by month and class; NULL date or class dropped."""
     rows = sales.filter(F.col("date").isNotNull() & F.col("category_size").isNotNull())
-    return (rows.groupBy(period_key("date", "month").alias("year_month"), "category_size")
-            .agg(money_mean("price", decimals).alias("price")))
+    agg = (rows.groupBy(period_trunc("date", "month").alias("_start"), "category_size")
+           .agg(money_mean("price", decimals).alias("price")))
+    return agg.select(label_of_start("_start", "month").alias("year_month"), "category_size", "price")
 
 
 def category_counts(sales: DataFrame, column: str = "category_size") -> DataFrame:
