@@ -62,12 +62,18 @@ def add_column(spark: SparkSession, table: str, column: str, sql_type: str) -> N
 
 
 def replace_table(spark: SparkSession, table: str, df: DataFrame) -> None:
-    """Write ``df`` (usually derived from ``table``) to a new table, then swap names."""
-    staging = f"{table}__next"
+    """Write ``df`` (usually derived from ``table``) to a new table, then swap names.
+
+    The new rows are fully written before any rename, and the old table is
+    dropped last, so a failure at any step leaves either table intact.
+    """
+    staging, retired = f"{table}__next", f"{table}__old"
     spark.sql(f"DROP TABLE IF EXISTS {staging}")
+    spark.sql(f"DROP TABLE IF EXISTS {retired}")
     df.write.format("parquet").saveAsTable(staging)
-    spark.sql(f"DROP TABLE {table}")
+    spark.sql(f"ALTER TABLE {table} RENAME TO {retired}")
     spark.sql(f"ALTER TABLE {staging} RENAME TO {table}")
+    spark.sql(f"DROP TABLE {retired}")
 
 
 def updated_from(target: DataFrame, source: DataFrame, key: str, assignments: Mapping[str, str]) -> DataFrame:
