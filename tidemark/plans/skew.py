@@ -3,12 +3,14 @@
 usage: python -m tidemark.plans.skew [sf_dir]
 
 Derives a copy of the orders view in which one user holds a third of all
-rows (every third order is re-assigned to user 7), writes it to a scratch
-folder, runs the user-keyed operators over it with the event log on, and
-prints, for every stage that reads shuffle data, the records read by the
-busiest task against the median task. With map-side partial aggregation the
-hot user reaches the reduce side as one row per map task, so the ratio stays
-near 1 however many orders the user has.
+rows (every third order is re-assigned to user 7) and a copy of lineitem in
+which one part holds a third of all lines, writes them to a scratch folder,
+runs the user-keyed operators and a sales aggregate over them with the event
+log on and broadcasting off, and prints, for every stage that reads shuffle
+data, the records read by the busiest task against the median task. With
+map-side partial aggregation the hot user reaches the reduce side as one row
+per map task; the hot part's join partition is split by AQE's skew-join
+handling (its threshold is lowered here to this data size).
 """
 
 from __future__ import annotations
@@ -43,9 +45,10 @@ def _stage_stats(log_root: str) -> dict[int, list[int]]:
 
 def main(argv: list[str]) -> None:
     from tidemark.functions.periods import Span
-    from tidemark.operators import grades, lapse
+    from tidemark.operators import grades, lapse, sales
     from tidemark.plans import params as P
-    from tidemark.sources.views import orders_view
+    from tidemark.sources.tables import read_table
+    from tidemark.sources.views import orders_view, sales_from
 
     sf_dir = argv[1] if len(argv) > 1 else "/root/testdata/sf0.1"
     scratch = tempfile.mkdtemp(prefix="tidemark-skew-")
@@ -58,12 +61,16 @@ def main(argv: list[str]) -> None:
              .config("spark.sql.autoBroadcastJoinThreshold", "-1")
              .config("spark.eventLog.enabled", "true").config("spark.eventLog.dir", logs)
              .config("spark.eventLog.compress", "false")
+             # the skewed join partition here is small; lower AQE's skew threshold to this data size
+             .config("spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes", "256k")
+             .config("spark.sql.adaptive.advisoryPartitionSizeInBytes", "256k")
+             .config("spark.sql.adaptive.skewJoin.skewedPartitionFactor", "2")
              .getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     path = os.path.join(scratch, "orders_skewed")
     (orders_view(spark, sf_dir)
      .withColumn("user_id", F.when(F.col("order_id") % 3 == 0, F.lit(7).cast("long")).otherwise(F.col("user_id")))
-     .write.parquet(path))
+     .repartition(16).write.parquet(path))  # 16 files: several map tasks, as any large scan has
     o = spark.read.parquet(path)
     jobs = {
         "grade_by_spend": lambda: grades.grade_by_spend(o),
@@ -73,6 +80,14 @@ def main(argv: list[str]) -> None:
         "with_last_order": lambda: lapse.with_last_order(
             lapse.recent_buyers(o, Span("1998-01-01", None)).withColumn("spending_grade", F.lit("x")), o),
     }
+    # sales lines: every third line of lineitem re-assigned to part 1
+    li_path = os.path.join(scratch, "lineitem_skewed")
+    (read_table(spark, sf_dir, "lineitem")
+     .withColumn("l_partkey", F.when(F.col("l_orderkey") % 3 == 0, F.lit(1).cast("long")).otherwise(F.col("l_partkey")))
+     .repartition(16).write.parquet(li_path))
+    skewed_sales = sales_from(spark.read.parquet(li_path), read_table(spark, sf_dir, "part"),
+                              read_table(spark, sf_dir, "supplier"))
+    jobs["compare_before_after (sales join)"] = lambda: sales.compare_before_after(skewed_sales, P.SALES_CUT)
     sc = spark.sparkContext
     groups = {}
     for name, build in jobs.items():

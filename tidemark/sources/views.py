@@ -43,9 +43,15 @@ def events_view(spark: SparkSession, sf_dir: str, event_type: str | None = None)
 
 def sales_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sales lines: ``lineitem`` joined to ``part`` (artist, class, size) and ``supplier`` (house)."""
-    li = read_table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
-    part = read_table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", "p_size")
-    supp = read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
+    return sales_from(read_table(spark, sf_dir, "lineitem"), read_table(spark, sf_dir, "part"),
+                      read_table(spark, sf_dir, "supplier"))
+
+
+def sales_from(lineitem: DataFrame, part: DataFrame, supplier: DataFrame) -> DataFrame:
+    """The sales view over given ``lineitem``, ``part`` and ``supplier`` DataFrames."""
+    li = lineitem.select("l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
+    part = part.select("p_partkey", "p_brand", "p_type", "p_size")
+    supp = supplier.select("s_suppkey", "s_name")
     return (
         li.join(part, li.l_partkey == part.p_partkey)
         .join(supp, li.l_suppkey == supp.s_suppkey)
