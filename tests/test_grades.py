@@ -71,3 +71,14 @@ def test_clean_materialized(spark):
     ranking.rank_users(o).collect()
     assert clean_materialized(spark) is True
     assert clean_materialized(spark) is False
+
+
+def test_range_partitions_balanced_when_a_third_of_users_tie(spark):
+    rows = [(u, 5.0 if u % 3 == 0 else float(u)) for u in range(3000)]
+    df = spark.createDataFrame(rows, "user_id long, m double")
+    tagged = ranking.range_tagged(df, [F.col("m").desc(), F.col("user_id").asc()], num_partitions=6)
+    sizes = [r["count"] for r in tagged.groupBy("_part").count().collect()]
+    assert sum(sizes) == 3000 and max(sizes) < 2 * (3000 / len(sizes))
+    ranks = {r.user_id: r.rank for r in ranking.with_rank(tagged).collect()}
+    expect = sorted(rows, key=lambda r: (-r[1], r[0]))
+    assert ranks == {u: i + 1 for i, (u, _) in enumerate(expect)}
