@@ -48,7 +48,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     gets a fresh scratch folder. A cluster session without it is an error:
     a machine-local folder would not survive the loss of an executor.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: no SparkContext, only the session conf
+        configured = spark.conf.get("spark.checkpoint.dir", None)
+        if configured:
+            return configured
+        raise RuntimeError("set spark.checkpoint.dir to a shared folder") from None
     current = sc.getCheckpointDir()
     if current:
         return current
