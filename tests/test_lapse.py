@@ -1,4 +1,3 @@
-from pyspark.sql import functions as F
 
 from conftest import ORDERS_SCHEMA, ts
 from tidemark.functions.periods import Span
