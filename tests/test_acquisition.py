@@ -48,3 +48,23 @@ def test_new_customer_rate(spark):
     rate = {r.month: (r.new_customers, r.total_customers, r.new_customer_rate) for r in acquisition.new_customer_rate(
         o, Span("2023-08-01", "2025-01-31"), "2024-06", Span("2024-06-01", "2025-01-31")).collect()}
     assert rate == {"2024-06": (2, 3, 2 / 3 * 100), "2024-07": (1, 1, 100.0)}
+
+
+def test_approx_monthly_totals_close_to_exact(spark):
+    o = orders_view(spark, SF01)
+    exact = {r.order_month: (r.total_customers, r.total_orders)
+             for r in acquisition.monthly_totals(o, P.ACTIVITY_SPAN).collect()}
+    approx = {r.order_month: (r.total_customers, r.total_orders)
+              for r in acquisition.monthly_totals(o, P.ACTIVITY_SPAN, approx_rsd=0.01).collect()}
+    assert set(exact) == set(approx)
+    for m, (users, orders) in exact.items():
+        assert approx[m][1] == orders
+        assert abs(approx[m][0] - users) <= max(3, 0.05 * users)
+
+
+def test_approx_profile(spark):
+    from tidemark.operators import sales
+    o = orders_view(spark, SF01)
+    exact = sales.profile(o, "amount").collect()[0]
+    approx = sales.profile(o, "amount", approx_rsd=0.02).collect()[0]
+    assert approx.row_count == exact.row_count and abs(approx.distinct_count - exact.distinct_count) < 0.1 * exact.distinct_count

@@ -34,9 +34,13 @@ def existing_activity(orders: DataFrame, new: DataFrame, span: Span, grain: str
     return roll_up_periods(per_user, key=key)
 
 
-def monthly_totals(orders: DataFrame, span: Span, grain: str = "month") -> DataFrame:
-    """OP30: ``order_month, total_customers, total_orders`` over all users."""
-    return period_activity(span.apply(orders, "ts"), grain, users_col="total_customers")
+def monthly_totals(orders: DataFrame, span: Span, grain: str = "month",
+                   approx_rsd: float | None = None) -> DataFrame:
+    """OP30: ``order_month, total_customers, total_orders`` over all users.
+
+    ``approx_rsd`` counts customers with a sketch instead (see ``period_activity``).
+    """
+    return period_activity(span.apply(orders, "ts"), grain, users_col="total_customers", approx_rsd=approx_rsd)
 
 
 def acquisition_report(new: DataFrame, existing: DataFrame, monthly: DataFrame, key: str = "user_id") -> DataFrame:

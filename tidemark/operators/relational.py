@@ -58,11 +58,19 @@ def roll_up_periods(per_user: DataFrame, period_col: str = "order_month", users_
 
 def period_activity(orders: DataFrame, grain: str = "month", period_col: str = "order_month",
                     users_col: str = "active_customers", orders_col: str = "total_orders",
-                    key: str = "user_id", ts: str = "ts", order_id: str = "order_id") -> DataFrame:
+                    key: str = "user_id", ts: str = "ts", order_id: str = "order_id",
+                    approx_rsd: float | None = None) -> DataFrame:
     """Per period: distinct users and ``COUNT(order_id)``.
 
-    Reduced first to one row per (period, user) so the distinct count needs
-    no Expand and a hot user costs one row per period.
+    Exact by default: reduced first to one row per (period, user) so the
+    distinct count needs no Expand and a hot user costs one row per period.
+    ``approx_rsd`` (e.g. 0.01) switches the user count to a HyperLogLog++
+    sketch with that relative standard deviation: one aggregate, no shuffle
+    of user ids. Never the default.
     """
+    if approx_rsd is not None:
+        per = orders.groupBy(period_trunc(ts, grain).alias("_start")).agg(
+            F.approx_count_distinct(key, approx_rsd).alias(users_col), F.count(order_id).alias(orders_col))
+        return per.select(label_of_start("_start", grain).alias(period_col), users_col, orders_col)
     return roll_up_periods(per_user_period(orders, grain, period_col, key, ts, order_id),
                            period_col, users_col, orders_col, key)

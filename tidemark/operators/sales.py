@@ -38,19 +38,21 @@ def clean_number_column(df: DataFrame, column: str, name: str | None = None) ->
     return df.withColumn(name or column, src.cast("double") if is_numeric else clean_number(src))
 
 
-def profile(df: DataFrame, column: str) -> DataFrame:
+def profile(df: DataFrame, column: str, approx_rsd: float | None = None) -> DataFrame:
     """OP41: one row ``column_name, dtype, row_count, non_null, distinct_count, min_value, max_value``.
 
     One global aggregate (partial per task, then one merge); the exact
     distinct count is the costly part and shuffles on the value.
+    ``approx_rsd`` uses a HyperLogLog++ sketch for it instead (never the default).
     """
     c = F.col(column)
+    distinct = F.count_distinct(c) if approx_rsd is None else F.approx_count_distinct(c, approx_rsd)
     return df.agg(
         F.lit(column).alias("column_name"),
         F.lit(df.schema[column].dataType.simpleString()).alias("dtype"),
         F.count(F.lit(1)).alias("row_count"),
         F.count(c).alias("non_null"),
-        F.count_distinct(c).alias("distinct_count"),
+        distinct.alias("distinct_count"),
         F.min(c).alias("min_value"),
         F.max(c).alias("max_value"),
     )
