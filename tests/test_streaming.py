@@ -22,3 +22,20 @@ def test_append_new_files_exactly_once(spark):
     assert again == 0
     out = spark.read.parquet(dst)
     assert out.count() == ev.filter((F.col("event_id") < 4000) & (F.col("event_type") == "purchase")).count()
+
+
+def test_appended_orders_feed_batch_operators(spark):
+    from tidemark.functions.periods import Span
+    from tidemark.operators import acquisition
+    from tidemark.sources.views import events_view
+
+    root = tempfile.mkdtemp(prefix="tidemark-stream-")
+    src, dst = os.path.join(root, "in"), os.path.join(root, "out")
+    read_table(spark, SF01, "events").write.parquet(src)
+    as_orders = lambda df: df.filter(F.col("event_type") == "purchase").select(
+        "user_id", F.col("event_id").alias("order_id"), F.col("value").alias("amount"), "ts")
+    append_new_files(spark, src, SCHEMAS["events"], dst, os.path.basename(root), as_orders)
+    span = Span("2024-01-01", "2024-02-01", closed=False)
+    incremental = sorted(tuple(r) for r in acquisition.monthly_totals(spark.read.parquet(dst), span, "day").collect())
+    batch = sorted(tuple(r) for r in acquisition.monthly_totals(events_view(spark, SF01, "purchase"), span, "day").collect())
+    assert incremental == batch and len(batch) > 20
