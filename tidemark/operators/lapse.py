@@ -28,9 +28,13 @@ def lapsed(orders: DataFrame, active: Span, silent: Span, key: str = "user_id")
     flags = (orders.filter(a | s)
              .groupBy(key)
              .agg(F.max(a.cast("int")).alias("_a"), F.max(s.cast("int")).alias("_s")))
+    # The subquery reads both flags, so its plan below the aggregate is the
+    # same as the main one and AQE reuses that shuffle instead of re-reading
+    # the orders (with only `_s` the pruned aggregate would differ).
     stats = flags.select(F.struct(
         F.coalesce(F.max("_s"), F.lit(0)).alias("any_silent"),
         F.coalesce(F.max(F.when(F.col(key).isNull(), F.col("_s"))), F.lit(0)).alias("null_silent"),
+        F.max("_a").alias("any_active"),
     ).alias("g")).scalar()
     g = F.col("_g")
     keep = (F.col("_a") == 1) & (
