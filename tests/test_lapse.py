@@ -104,3 +104,24 @@ def test_ts_format_audit(spark):
     df = spark.createDataFrame([(1, ts("2024-01-01 10:00:00")), (2, ts("2024-01-01 10:00:00.250000")), (3, None)],
                                "id long, ts timestamp_ntz")
     assert [r.id for r in lapse.ts_format_audit(df).collect()] == [2]
+
+
+def test_funnel_equals_lapsed_and_still_lapsed(spark):
+    later = Span("2024-10-01", "2025-01-31")
+    cases = [
+        [(1, "2024-06-05"), (2, "2024-06-05"), (2, "2024-11-01"), (3, "2024-06-06"), (3, "2024-07-06")],
+        [(1, "2024-06-05"), (None, "2024-11-01"), (2, "2024-06-07")],          # NULL user in the later window
+        [(1, "2024-06-05"), (None, "2024-07-01"), (2, "2024-11-01")],          # NULL user in the silent window
+        [(None, "2024-06-05"), (1, "2024-06-06")],                             # silent and later empty
+        [(None, "2024-06-05"), (1, "2024-06-06"), (1, "2024-12-01")],          # later without NULL
+    ]
+    for rows in cases:
+        o = _o(spark, rows)
+        lap = lapse.lapsed(o, ACTIVE, SILENT)
+        funnel = lapse.lapse_funnel(o, ACTIVE, SILENT, later)
+        key = lambda x: (x is None, x)
+        assert sorted([r[0] for r in funnel.collect()], key=key) == sorted([r[0] for r in lap.collect()], key=key)
+        still = lapse.still_lapsed(lap, o, later)
+        assert sorted([r[0] for r in funnel.filter("still").collect()], key=key) == \
+            sorted([r[0] for r in still.collect()], key=key)
+        assert tuple(lapse.funnel_counts(funnel).collect()[0]) == tuple(lapse.lapse_counts(lap, still).collect()[0])

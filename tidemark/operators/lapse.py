@@ -42,6 +42,34 @@ def lapsed(orders: DataFrame, active: Span, silent: Span, key: str = "user_id")
     return flags.withColumn("_g", stats).filter(keep).select(key)
 
 
+def lapse_funnel(orders: DataFrame, active: Span, silent: Span, later: Span, key: str = "user_id") -> DataFrame:
+    """OP05 + OP06 in one pass: every lapsed user with ``still`` = no order in ``later``.
+
+    Same rows as ``lapsed`` and, filtered on ``still``, as ``still_lapsed``
+    (both ``NOT IN`` NULL rules included), from one scan of the three windows
+    and one shuffle: per-user flags, and one scalar subquery over the same
+    flags for the NULL rules.
+    """
+    a, s, lt = (w.predicate(orders, "ts") for w in (active, silent, later))
+    flags = (orders.filter(a | s | lt)
+             .groupBy(key)
+             .agg(F.max(a.cast("int")).alias("_a"), F.max(s.cast("int")).alias("_s"),
+                  F.max(lt.cast("int")).alias("_l")))
+    is_null = F.col(key).isNull()
+    stats = flags.select(F.struct(
+        F.coalesce(F.max("_s"), F.lit(0)).alias("any_silent"),
+        F.coalesce(F.max(F.when(is_null, F.col("_s"))), F.lit(0)).alias("null_silent"),
+        F.coalesce(F.max("_l"), F.lit(0)).alias("any_later"),
+        F.coalesce(F.max(F.when(is_null, F.col("_l"))), F.lit(0)).alias("null_later"),
+        F.max("_a").alias("any_active"),
+    ).alias("g")).scalar()
+    g = F.col("_g")
+    in_lapsed = (F.col("_a") == 1) & (
+        (g.any_silent == 0) | (F.col(key).isNotNull() & (F.col("_s") == 0) & (g.null_silent == 0)))
+    still = (g.any_later == 0) | (F.col(key).isNotNull() & (F.col("_l") == 0) & (g.null_later == 0))
+    return flags.withColumn("_g", stats).filter(in_lapsed).select(key, still.alias("still"))
+
+
 def still_lapsed(lapsed_users: DataFrame, orders: DataFrame, later: Span, key: str = "user_id") -> DataFrame:
     """OP06: lapsed users NOT IN the users with an order in ``later``."""
     return not_in(lapsed_users.select(key), later.apply(orders, "ts").select(key), key)
@@ -53,6 +81,12 @@ def lapse_counts(lapsed_users: DataFrame, still: DataFrame) -> DataFrame:
             .withColumn("still_lapsed_count", still.select(F.count(F.lit(1))).scalar()))
 
 
+def funnel_counts(funnel: DataFrame) -> DataFrame:
+    """OP07 from ``lapse_funnel``: one aggregate, no second pass."""
+    return funnel.agg(F.count(F.lit(1)).alias("lapsed_count"),
+                      F.count(F.when(F.col("still"), F.lit(1))).alias("still_lapsed_count"))
+
+
 def active_periods(orders: DataFrame, span: Span, cohort: DataFrame, grain: str = "month",
                    key: str = "user_id", name: str = "active_months") -> DataFrame:
     """OP08: distinct periods with an order in ``span`` per cohort user; users with none are absent.

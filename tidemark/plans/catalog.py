@@ -57,23 +57,24 @@ def _lapsed(spark, sf_dir):
     return lapse.lapsed(orders_view(spark, sf_dir), P.LAPSE_ACTIVE, P.LAPSE_SILENT)
 
 
-def _still(spark, sf_dir):
-    return lapse.still_lapsed(_lapsed(spark, sf_dir), orders_view(spark, sf_dir), P.LAPSE_LATER)
-
-
 @register("lapsed")
 def q_lapsed(spark, sf_dir):
     return _lapsed(spark, sf_dir)
 
 
+def _funnel(spark, sf_dir):
+    return lapse.lapse_funnel(orders_view(spark, sf_dir), P.LAPSE_ACTIVE, P.LAPSE_SILENT, P.LAPSE_LATER)
+
+
 @register("still_lapsed")
 def q_still_lapsed(spark, sf_dir):
-    return _still(spark, sf_dir)
+    # one pass over the three windows; equal to lapse.still_lapsed(_lapsed(...)) (tests/test_lapse.py)
+    return _funnel(spark, sf_dir).filter("still").select("user_id")
 
 
 @register("lapse_counts")
 def q_lapse_counts(spark, sf_dir):
-    return lapse.lapse_counts(_lapsed(spark, sf_dir), _still(spark, sf_dir))
+    return lapse.funnel_counts(_funnel(spark, sf_dir))
 
 
 def _periods(spark, sf_dir):
