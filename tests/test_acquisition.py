@@ -68,3 +68,32 @@ def test_approx_profile(spark):
     exact = sales.profile(o, "amount").collect()[0]
     approx = sales.profile(o, "amount", approx_rsd=0.02).collect()[0]
     assert approx.row_count == exact.row_count and abs(approx.distinct_count - exact.distinct_count) < 0.1 * exact.distinct_count
+
+
+def test_one_pass_existing_activity_equals_composed(spark):
+    first_span, since, span = Span("2023-08-01", "2024-11-30"), "2024-03", Span("2024-03-01", "2024-11-30")
+    cases = [
+        [(1, "2023-09-01"), (1, "2024-03-05"), (1, "2024-04-05"), (2, "2024-03-02"), (2, "2024-04-02"),
+         (3, "2024-05-09"), (4, "2024-06-01 10:00:00"), (4, "2023-07-01")],
+        [(1, "2023-09-01"), (1, "2024-03-05"), (None, "2024-04-01")],       # NULL user is new: NOT IN empties
+        [(1, "2023-09-01"), (1, "2024-03-05"), (None, "2023-10-01"), (None, "2024-04-01")],  # NULL user not new
+        [(1, "2023-09-01"), (1, "2024-03-05"), (None, "2024-04-01"), (None, "2023-09-09")],
+    ]
+    for rows in cases:
+        o = _o(spark, rows)
+        composed = acquisition.existing_activity(
+            o, acquisition.new_customers(acquisition.first_orders(o, first_span), since), span)
+        one = acquisition.existing_activity_one_pass(o, first_span, since, span)
+        assert sorted(tuple(r) for r in one.collect()) == sorted(tuple(r) for r in composed.collect()), rows
+
+
+def test_one_pass_outside_window_equals_composed(spark):
+    o = orders_view(spark, SF01)
+    composed = acquisition.existing_outside_window(o, acquisition.first_orders(o, P.FIRST_SPAN), P.ACTIVITY_SPAN)
+    one = acquisition.existing_activity_one_pass(o, P.FIRST_SPAN, None, P.ACTIVITY_SPAN)
+    assert one.count() == composed.count() == 0
+    wide = Span("1995-01-01", "2001-12-31")   # activity outside the first-order span: rows remain
+    composed = acquisition.existing_outside_window(o, acquisition.first_orders(o, P.FIRST_SPAN), wide)
+    one = acquisition.existing_activity_one_pass(o, P.FIRST_SPAN, None, wide)
+    assert sorted(tuple(r) for r in one.collect()) == sorted(tuple(r) for r in composed.collect())
+    assert one.count() > 0

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.periods import Span, period_key
+from tidemark.functions.periods import Span, label_of_start, period_key, period_trunc
 from tidemark.operators.relational import not_in, per_user_period, period_activity, roll_up_periods
 
 
@@ -34,6 +34,44 @@ def existing_activity(orders: DataFrame, new: DataFrame, span: Span, grain: str
     return roll_up_periods(per_user, key=key)
 
 
+def existing_activity_one_pass(orders: DataFrame, first_span: Span, since: str | None, span: Span,
+                               grain: str = "month", key: str = "user_id") -> DataFrame:
+    """OP27 -> OP28 -> OP29 in one scan: ``order_month, active_customers, total_orders``
+    of the users that are NOT IN the new customers.
+
+    The first-order span and the activity span are read by one scan and
+    reduced to one row per (user, period) holding the earliest first-span
+    order and the activity-span order count. A window per user (a handful
+    of rows each, whatever the user's volume) finds the first order month;
+    the ``NOT IN`` NULL rules come from one scalar subquery over those same
+    rows. Equal to ``existing_activity(orders, new_customers(first_orders(...)), ...)``;
+    with ``since=None`` every user with a first-span order is excluded, which
+    is ``existing_outside_window`` (OP32).
+    """
+    f, a = first_span.predicate(orders, "ts"), span.predicate(orders, "ts")
+    per = (orders.filter(f | a)
+           .groupBy(key, period_trunc("ts", grain).alias("_start"))
+           .agg(F.min(F.when(f, F.col("ts"))).alias("_first"),
+                F.count(F.when(a, F.col("order_id"))).alias("_n"),
+                F.count(F.when(a, F.lit(1))).alias("_rows")))
+    first_ts = F.min("_first").over(Window.partitionBy(key))
+    is_new = first_ts.isNotNull() if since is None else F.coalesce(period_key(first_ts, grain) >= since, F.lit(False))
+    flagged = per.withColumn("_new", is_new)
+    stats = flagged.select(F.struct(
+        F.max(F.col("_new").cast("int")).alias("any_new"),
+        F.coalesce(F.max(F.when(F.col(key).isNull(), F.col("_new").cast("int"))), F.lit(0)).alias("null_new"),
+        F.max("_n").alias("max_n"),      # read every aggregated column, so the subquery's
+        F.max("_rows").alias("max_rows"),  # plan equals the main one and its shuffle is reused
+    ).alias("g")).scalar()
+    g = F.col("_g")
+    keep = (F.col("_rows") > 0) & (
+        (F.coalesce(g.any_new, F.lit(0)) == 0)
+        | (F.col(key).isNotNull() & ~F.col("_new") & (g.null_new == 0)))
+    rows = flagged.withColumn("_g", stats).filter(keep)
+    return (rows.groupBy(label_of_start("_start", grain).alias("order_month"))
+            .agg(F.count(key).alias("active_customers"), F.sum("_n").cast("long").alias("total_orders")))
+
+
 def monthly_totals(orders: DataFrame, span: Span, grain: str = "month",
                    approx_rsd: float | None = None) -> DataFrame:
     """OP30: ``order_month, total_customers, total_orders`` over all users.

@@ -219,7 +219,9 @@ def _new(spark, sf_dir):
 
 
 def _existing(spark, sf_dir):
-    return acquisition.existing_activity(orders_view(spark, sf_dir), _new(spark, sf_dir), P.ACTIVITY_SPAN)
+    # one scan of both spans; equal to existing_activity(new_customers(first_orders(...))) (tests)
+    return acquisition.existing_activity_one_pass(orders_view(spark, sf_dir), P.FIRST_SPAN, P.NEW_SINCE,
+                                                  P.ACTIVITY_SPAN)
 
 
 def _monthly(spark, sf_dir):
@@ -253,7 +255,7 @@ def q_acquisition_report(spark, sf_dir):
 
 @register("existing_outside_window")
 def q_existing_outside_window(spark, sf_dir):
-    return acquisition.existing_outside_window(orders_view(spark, sf_dir), _first(spark, sf_dir), P.ACTIVITY_SPAN)
+    return acquisition.existing_activity_one_pass(orders_view(spark, sf_dir), P.FIRST_SPAN, None, P.ACTIVITY_SPAN)
 
 
 def _rate(spark, sf_dir):
