@@ -36,7 +36,20 @@ def test_rank_is_range_partitioned_not_single_partition(spark):
     assert "Window [" in plan and "_n" in plan
 
 
-@pytest.mark.parametrize("name,join", [("existing_activity", "SortMergeJoin LeftAnti"),
+def _composed_existing_activity(spark, sf_dir):
+    from tidemark.operators import acquisition
+    from tidemark.plans import params as P
+    from tidemark.sources.views import orders_view
+
+    o = orders_view(spark, sf_dir)
+    new = acquisition.new_customers(acquisition.first_orders(o, P.FIRST_SPAN), P.NEW_SINCE)
+    return acquisition.existing_activity(o, new, P.ACTIVITY_SPAN)
+
+
+PLAN_BUILDERS = {**QUERIES, "existing_activity_composed": _composed_existing_activity}
+
+
+@pytest.mark.parametrize("name,join", [("existing_activity_composed", "SortMergeJoin LeftAnti"),
                                        ("cohort_trend", "SortMergeJoin LeftSemi"),
                                        ("active_periods", "SortMergeJoin LeftSemi")])
 def test_join_on_user_sees_aggregated_rows_when_not_broadcast(spark, name, join):
@@ -45,7 +58,7 @@ def test_join_on_user_sees_aggregated_rows_when_not_broadcast(spark, name, join)
     old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        df = QUERIES[name](spark, SF01)
+        df = PLAN_BUILDERS[name](spark, SF01)
         tree = df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted").split("\n\n\n")[0]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
@@ -53,3 +66,11 @@ def test_join_on_user_sees_aggregated_rows_when_not_broadcast(spark, name, join)
     i = next(k for k, line in enumerate(lines) if join in line)
     left = [line.strip(" :+-") for line in lines[i + 1:i + 4]]
     assert left[0].startswith("Sort") and left[1].startswith("Exchange") and left[2].startswith("HashAggregate"), tree
+
+
+@pytest.mark.parametrize("name", ["existing_activity", "existing_outside_window", "still_lapsed", "lapse_counts",
+                                  "lapsed"])
+def test_one_pass_queries_scan_orders_once_without_joins(spark, name):
+    df = QUERIES[name](spark, SF01)
+    tree = df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted").split("\n\n\n")[0]
+    assert tree.count("Scan parquet") == 1 and "Join" not in tree, tree
