@@ -125,3 +125,26 @@ def test_funnel_equals_lapsed_and_still_lapsed(spark):
         assert sorted([r[0] for r in funnel.filter("still").collect()], key=key) == \
             sorted([r[0] for r in still.collect()], key=key)
         assert tuple(lapse.funnel_counts(funnel).collect()[0]) == tuple(lapse.lapse_counts(lap, still).collect()[0])
+
+
+def test_activity_flags_equal_composed_operators(spark):
+    pattern, recent = Span("2024-03-01", "2024-05-31"), Span("2024-10-01", "2025-01-31")
+    cases = [
+        [(1, "2024-03-03"), (1, "2024-04-03"), (1, "2024-05-03"), (1, "2024-06-03"),
+         (2, "2024-03-03"), (2, "2024-04-03"), (2, "2024-05-03"), (2, "2024-06-03"), (2, "2024-10-03"),
+         (3, "2024-03-03"), (3, "2024-06-03"), (4, "2024-11-11"), (5, "2024-06-04"), (None, "2024-10-05")],
+        [(1, "2024-06-03"), (1, "2024-04-01"), (None, "2024-08-01"), (2, "2024-06-09")],   # NULL in silent
+        [(None, "2024-06-03"), (None, "2024-04-01"), (1, "2024-06-09"), (1, "2024-03-09")],  # silent empty
+    ]
+    key = lambda x: (x[0] is None, x)
+    for rows in cases:
+        o = _o(spark, rows)
+        flags = lapse.activity_flags(o, ACTIVE, SILENT, pattern, recent, "month")
+        composed = lapse.active_periods(o, pattern, lapse.lapsed(o, ACTIVE, SILENT), "month")
+        assert sorted((tuple(r) for r in lapse.cohort_periods(flags).collect()), key=key) == \
+            sorted((tuple(r) for r in composed.collect()), key=key), rows
+        assert sorted((tuple(r) for r in lapse.recent_from_flags(flags).collect()), key=key) == \
+            sorted((tuple(r) for r in lapse.recent_buyers(o, recent).collect()), key=key)
+        lapsed_users = sorted((r[0] for r in flags.filter("lapsed").collect()), key=lambda x: (x is None, x))
+        assert lapsed_users == sorted((r[0] for r in lapse.lapsed(o, ACTIVE, SILENT).collect()),
+                                      key=lambda x: (x is None, x))

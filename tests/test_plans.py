@@ -46,12 +46,22 @@ def _composed_existing_activity(spark, sf_dir):
     return acquisition.existing_activity(o, new, P.ACTIVITY_SPAN)
 
 
-PLAN_BUILDERS = {**QUERIES, "existing_activity_composed": _composed_existing_activity}
+def _composed_active_periods(spark, sf_dir):
+    from tidemark.operators import lapse
+    from tidemark.plans import params as P
+    from tidemark.sources.views import orders_view
+
+    o = orders_view(spark, sf_dir)
+    return lapse.active_periods(o, P.PATTERN_SPAN, lapse.lapsed(o, P.LAPSE_ACTIVE, P.LAPSE_SILENT), P.PATTERN_GRAIN)
+
+
+PLAN_BUILDERS = {**QUERIES, "existing_activity_composed": _composed_existing_activity,
+                 "active_periods_composed": _composed_active_periods}
 
 
 @pytest.mark.parametrize("name,join", [("existing_activity_composed", "SortMergeJoin LeftAnti"),
                                        ("cohort_trend", "SortMergeJoin LeftSemi"),
-                                       ("active_periods", "SortMergeJoin LeftSemi")])
+                                       ("active_periods_composed", "SortMergeJoin LeftSemi")])
 def test_join_on_user_sees_aggregated_rows_when_not_broadcast(spark, name, join):
     """At scale the cohort side is too big to broadcast; the orders side must
     then reach the join already reduced to (period, user) rows."""
@@ -69,7 +79,7 @@ def test_join_on_user_sees_aggregated_rows_when_not_broadcast(spark, name, join)
 
 
 @pytest.mark.parametrize("name", ["existing_activity", "existing_outside_window", "still_lapsed", "lapse_counts",
-                                  "lapsed"])
+                                  "lapsed", "active_periods", "consistent_buyers"])
 def test_one_pass_queries_scan_orders_once_without_joins(spark, name):
     df = QUERIES[name](spark, SF01)
     tree = df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted").split("\n\n\n")[0]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.periods import Span, period_trunc
 from tidemark.functions.text import TS_TEXT_PATTERN
-from tidemark.operators.relational import not_in, per_user_period, roll_up_periods, users_in
+from tidemark.operators.relational import materialize, not_in, per_user_period, roll_up_periods, users_in
 
 # Labels used by the source analyses.
 CONSISTENT = "Consistent Buyer"
@@ -87,6 +87,49 @@ def funnel_counts(funnel: DataFrame) -> DataFrame:
                       F.count(F.when(F.col("still"), F.lit(1))).alias("still_lapsed_count"))
 
 
+def activity_flags(orders: DataFrame, active: Span, silent: Span, pattern: Span, recent: Span,
+                   grain: str = "month", key: str = "user_id") -> DataFrame:
+    """OP05, OP08 and OP11 from one scan: one row per user with
+
+    ``lapsed`` (OP05, ``NOT IN`` NULL rules included), ``active_months``
+    (distinct ``grain`` periods with an order in ``pattern``) and ``recent``
+    (an order in ``recent``). Orders are reduced to (user, period) rows, then
+    to users, and that per-user table is written under the checkpoint folder
+    (``materialize``), so the orders are read once however the flags are used;
+    the NULL rules come from one scalar subquery over the written table.
+    """
+    a, s, p, r = (w.predicate(orders, "ts") for w in (active, silent, pattern, recent))
+    per = (orders.filter(a | s | p | r)
+           .groupBy(key, period_trunc("ts", grain).alias("_start"))
+           .agg(*[F.max(c.cast("int")).alias(n) for c, n in ((a, "_a"), (s, "_s"), (p, "_p"), (r, "_r"))]))
+    # one row per user seen in the windows, written once: every consumer (and
+    # the NULL-rule subquery) reads this small table, not the orders again
+    users = materialize(per.groupBy(key).agg(F.max("_a").alias("_a"), F.max("_s").alias("_s"),
+                                             F.sum("_p").cast("long").alias("active_months"),
+                                             F.max("_r").alias("_r")), "flags")
+    stats = users.select(F.struct(
+        F.coalesce(F.max("_s"), F.lit(0)).alias("any_silent"),
+        F.coalesce(F.max(F.when(F.col(key).isNull(), F.col("_s"))), F.lit(0)).alias("null_silent"),
+        F.max("_a").alias("any_active"), F.max("active_months").alias("max_months"), F.max("_r").alias("any_recent"),
+    ).alias("g")).scalar()
+    g = F.col("_g")
+    is_lapsed = (F.col("_a") == 1) & (
+        (g.any_silent == 0) | (F.col(key).isNotNull() & (F.col("_s") == 0) & (g.null_silent == 0)))
+    return users.withColumn("_g", stats).select(
+        key, is_lapsed.alias("lapsed"), "active_months", (F.col("_r") == 1).alias("recent"))
+
+
+def cohort_periods(flags: DataFrame, key: str = "user_id", name: str = "active_months") -> DataFrame:
+    """OP08 from ``activity_flags``: lapsed users (the cohort) with at least one pattern period."""
+    return (flags.filter(F.col("lapsed") & F.col(key).isNotNull() & (F.col("active_months") > 0))
+            .select(key, F.col("active_months").alias(name)))
+
+
+def recent_from_flags(flags: DataFrame, key: str = "user_id") -> DataFrame:
+    """OP11 from ``activity_flags``: users with an order in the recent span."""
+    return flags.filter(F.col("recent")).select(key)
+
+
 def active_periods(orders: DataFrame, span: Span, cohort: DataFrame, grain: str = "month",
                    key: str = "user_id", name: str = "active_months") -> DataFrame:
     """OP08: distinct periods with an order in ``span`` per cohort user; users with none are absent.

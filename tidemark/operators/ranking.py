@@ -19,32 +19,18 @@ the ranks are reproducible.
 
 from __future__ import annotations
 
-import uuid
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.session import MATERIALIZED, checkpoint_dir
+from tidemark.operators.relational import materialize
 
 # Quartile cut points as fractions of the user count, counted
 # from the top (rank floor(n * f) holds the threshold).
 QUARTILE_FRACTIONS = {"p75": Decimal("0.25"), "p50": Decimal("0.50"), "p25": Decimal("0.75")}
 
 
-def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
-    """Write ``df`` as Parquet under the shared checkpoint folder and read it back.
-
-    This cuts the lineage like ``checkpoint()`` (a lost executor re-reads the
-    files instead of recomputing, so values that depend on partitioning stay
-    fixed), and later passes read only the columns they need.
-    """
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/{MATERIALIZED}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def range_tagged(df: DataFrame, order: list[Column], num_partitions: int | None = None) -> DataFrame:
     """Range-partition and sort on ``order``; tag rows with ``_part`` and ``_pos``; materialize.
 

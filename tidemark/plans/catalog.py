@@ -77,9 +77,15 @@ def q_lapse_counts(spark, sf_dir):
     return lapse.funnel_counts(_funnel(spark, sf_dir))
 
 
+def _flags(spark, sf_dir):
+    return lapse.activity_flags(orders_view(spark, sf_dir), P.LAPSE_ACTIVE, P.LAPSE_SILENT, P.PATTERN_SPAN,
+                                P.RECENT_SPAN, P.PATTERN_GRAIN)
+
+
 def _periods(spark, sf_dir):
-    return lapse.active_periods(orders_view(spark, sf_dir), P.PATTERN_SPAN, _lapsed(spark, sf_dir),
-                                P.PATTERN_GRAIN)
+    # one scan for the cohort and its periods; equal to
+    # lapse.active_periods(orders, PATTERN_SPAN, lapse.lapsed(...), grain) (tests/test_lapse.py)
+    return lapse.cohort_periods(_flags(spark, sf_dir))
 
 
 @register("active_periods")
@@ -102,10 +108,10 @@ def q_recent_buyers(spark, sf_dir):
     return lapse.recent_buyers(orders_view(spark, sf_dir), P.RECENT_SPAN)
 
 
-def _churned(spark, sf_dir, grades_df):
-    o = orders_view(spark, sf_dir)
-    return lapse.churned_consistent(lapse.consistent_buyers(_periods(spark, sf_dir), P.PATTERN_K),
-                                    lapse.recent_buyers(o, P.RECENT_SPAN), grades_df)
+def _churned(spark, sf_dir, grades_df, flags=None):
+    flags = flags if flags is not None else _flags(spark, sf_dir)
+    return lapse.churned_consistent(lapse.consistent_buyers(lapse.cohort_periods(flags), P.PATTERN_K),
+                                    lapse.recent_from_flags(flags), grades_df)
 
 
 @register("churned_consistent")
@@ -115,8 +121,8 @@ def q_churned_consistent(spark, sf_dir):
 
 def _status(spark, sf_dir):
     g = grades.grade_by_spend(orders_view(spark, sf_dir))
-    recent = lapse.recent_buyers(orders_view(spark, sf_dir), P.RECENT_SPAN)
-    return lapse.activity_status(_churned(spark, sf_dir, g), recent, g)
+    flags = _flags(spark, sf_dir)
+    return lapse.activity_status(_churned(spark, sf_dir, g, flags), lapse.recent_from_flags(flags), g)
 
 
 @register("activity_status")
