@@ -148,3 +148,16 @@ def test_activity_flags_equal_composed_operators(spark):
         lapsed_users = sorted((r[0] for r in flags.filter("lapsed").collect()), key=lambda x: (x is None, x))
         assert lapsed_users == sorted((r[0] for r in lapse.lapsed(o, ACTIVE, SILENT).collect()),
                                       key=lambda x: (x is None, x))
+
+
+def test_last_order_from_the_grades_pass(spark):
+    from pyspark.sql import functions as F
+
+    from tidemark.operators import grades
+    o = _o(spark, [(1, "2024-03-03 10:11:12.5"), (1, "2024-05-03 23:59:59"), (2, "2024-01-01"), (None, "2024-02-02")])
+    g = grades.grade_by_spend(o, extra={"_last": F.max("ts")})
+    assert set(g.columns) == {"user_id", "total_spent", "spending_grade", "_last"}
+    via_grades = sorted((r.user_id, r.d) for r in g.select("user_id", lapse.to_second("_last").alias("d"))
+                        .filter("user_id is not null").collect())
+    direct = sorted((r.user_id, r.last_order_date) for r in lapse.last_order(o).filter("user_id is not null").collect())
+    assert via_grades == direct == [(1, ts("2024-05-03 23:59:59")), (2, ts("2024-01-01"))]

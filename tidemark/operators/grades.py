@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Mapping
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.ranking import (quartile_thresholds, ranked_totals,
@@ -29,15 +31,18 @@ def assign_grade(totals: DataFrame, thresholds: DataFrame, measure: str, grade_c
     return totals.withColumn("_thr", thr).select(*totals.columns, grade.alias(grade_col))
 
 
-def grade_by_spend(orders: DataFrame) -> DataFrame:
+def grade_by_spend(orders: DataFrame, extra: Mapping[str, Column] | None = None) -> DataFrame:
     """OP03: ``user_id, total_spent, spending_grade``.
 
     The ranks are needed only to find the three thresholds; the graded rows
-    are read straight from the materialized totals.
+    are read straight from the materialized totals. ``extra`` per-user
+    aggregates (e.g. the last order time) ride along in the same pass and
+    come out as extra columns.
     """
-    tagged = ranked_totals(orders, "total_spent", "sum")
+    tagged = ranked_totals(orders, "total_spent", "sum", extra=extra)
     thr = quartile_thresholds(with_rank(tagged, "rank", "total_count"), "total_spent")
-    return assign_grade(tagged.select("user_id", "total_spent"), thr, "total_spent", "spending_grade")
+    return assign_grade(tagged.select("user_id", "total_spent", *(extra or {})), thr, "total_spent",
+                        "spending_grade")
 
 
 def grade_by_count(orders: DataFrame) -> DataFrame:

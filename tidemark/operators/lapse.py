@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.periods import Span, period_trunc
@@ -173,15 +173,25 @@ def activity_status(churned: DataFrame, recent: DataFrame, grades: DataFrame) ->
     return inactive.unionByName(active)
 
 
+def to_second(ts: Column | str) -> Column:
+    """A timestamp truncated to the second (the source formats it as text and back)."""
+    return F.to_timestamp_ntz(F.date_format(ts, "yyyy-MM-dd HH:mm:ss"))
+
+
 def last_order(orders: DataFrame, key: str = "user_id") -> DataFrame:
     """Latest order time per user, truncated to the second."""
-    return orders.groupBy(key).agg(
-        F.to_timestamp_ntz(F.date_format(F.max("ts"), "yyyy-MM-dd HH:mm:ss")).alias("last_order_date"))
+    return orders.groupBy(key).agg(to_second(F.max("ts")).alias("last_order_date"))
 
 
-def with_last_order(status: DataFrame, orders: DataFrame, key: str = "user_id") -> DataFrame:
-    """OP15: ``status`` plus ``last_order_date``; NULL for a user without orders (update via left join)."""
-    return status.join(last_order(orders, key), key, "left")
+def with_last_order(status: DataFrame, orders: DataFrame | None = None, key: str = "user_id",
+                    last: DataFrame | None = None) -> DataFrame:
+    """OP15: ``status`` plus ``last_order_date``; NULL for a user without orders (update via left join).
+
+    ``last`` (``key, last_order_date``) may come from a pass that already
+    aggregated every order per user, e.g. ``grade_by_spend(orders, extra=...)``;
+    otherwise it is computed from ``orders``.
+    """
+    return status.join(last if last is not None else last_order(orders, key), key, "left")
 
 
 def consistent_counts(orders: DataFrame, span: Span, grain: str = "month", k: int = 3,

@@ -19,6 +19,7 @@ the ranks are reproducible.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
@@ -76,8 +77,13 @@ def global_row_number(df: DataFrame, order: list[Column], name: str = "rank",
 
 
 def user_totals(orders: DataFrame, measure: str = "total_spent", how: str = "sum",
-                value: str = "amount", key: str = "user_id", money_decimals: int | None = 2) -> DataFrame:
-    """Per-user ``SUM(value)`` (rounded to cents) or ``COUNT(order_id)``."""
+                value: str = "amount", key: str = "user_id", money_decimals: int | None = 2,
+                extra: Mapping[str, Column] | None = None) -> DataFrame:
+    """Per-user ``SUM(value)`` (rounded to cents) or ``COUNT(order_id)``.
+
+    ``extra`` adds more per-user aggregates (e.g. ``{"last_ts": F.max("ts")}``)
+    to the same pass over the orders.
+    """
     if how == "sum":
         agg = F.sum(value)
         if money_decimals is not None:
@@ -86,13 +92,13 @@ def user_totals(orders: DataFrame, measure: str = "total_spent", how: str = "sum
         agg = F.count("order_id")
     else:
         raise ValueError("how must be 'sum' or 'count'")
-    return orders.groupBy(key).agg(agg.alias(measure))
+    return orders.groupBy(key).agg(agg.alias(measure), *[c.alias(n) for n, c in (extra or {}).items()])
 
 
 def ranked_totals(orders: DataFrame, measure: str = "total_spent", how: str = "sum",
-                  key: str = "user_id") -> DataFrame:
+                  key: str = "user_id", extra: Mapping[str, Column] | None = None) -> DataFrame:
     """Per-user totals, range-partitioned by (measure DESC, key) and materialized with ``_part, _pos``."""
-    totals = user_totals(orders, measure, how, key=key)
+    totals = user_totals(orders, measure, how, key=key, extra=extra)
     return range_tagged(totals, [F.col(measure).desc(), F.col(key).asc()])
 
 

@@ -119,8 +119,8 @@ def q_churned_consistent(spark, sf_dir):
     return _churned(spark, sf_dir, grades.grade_by_spend(orders_view(spark, sf_dir)))
 
 
-def _status(spark, sf_dir):
-    g = grades.grade_by_spend(orders_view(spark, sf_dir))
+def _status(spark, sf_dir, grades_df=None):
+    g = grades_df if grades_df is not None else grades.grade_by_spend(orders_view(spark, sf_dir))
     flags = _flags(spark, sf_dir)
     return lapse.activity_status(_churned(spark, sf_dir, g, flags), lapse.recent_from_flags(flags), g)
 
@@ -132,7 +132,11 @@ def q_activity_status(spark, sf_dir):
 
 @register("with_last_order")
 def q_with_last_order(spark, sf_dir):
-    return lapse.with_last_order(_status(spark, sf_dir), orders_view(spark, sf_dir))
+    # the grades pass over all orders also keeps each user's last order time
+    g = grades.grade_by_spend(orders_view(spark, sf_dir), extra={"_last_ts": F.max("ts")})
+    last = g.select("user_id", lapse.to_second("_last_ts").alias("last_order_date"))
+    status = _status(spark, sf_dir, g.select("user_id", "total_spent", "spending_grade"))
+    return lapse.with_last_order(status, last=last)
 
 
 def _consistent_counts(spark, sf_dir):
