@@ -24,6 +24,8 @@ by one; an empty table gives an empty result; other columns are not read.
 from __future__ import annotations
 
 import heapq
+import os
+import re
 import zlib
 from bisect import bisect_left, insort
 
@@ -38,32 +40,60 @@ from .common import only, slices
 
 CAPACITY = 4096
 END_ID = 1
-KNOWN_WORDS = 200_000  # words whose ids a worker remembers, in each of two generations
-SALT_ROWS = 20_000  # pieces of one length in a numbering group, about
+KNOWN_WORDS = 300_000  # words whose ids a worker remembers, in each of two generations
+SALT_ROWS = 5_000  # pieces of one length in a numbering group, about
+
+
+#: Latin letters that stay one letter in lower case, then ASCII punctuation without the apostrophe
+_PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([!-&(-/:-@\\[-`{-~]*)")
+
+#: how byte-level vocabularies spell bytes: printable ones as themselves, the others from U+0100 on
+_SHOWN = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+_SPELL = {b: chr(b) for b in _SHOWN} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _SHOWN)}
 
 
 class WordTokenizer:
-    """Ids of a tokenizer that splits at white space before all else: each
-    distinct word between ASCII white space is encoded once and remembered (as
-    bytes: little-endian 32-bit ids)."""
+    """Ids of a lower-casing byte-level BPE tokenizer that splits at white space before
+    all else: each distinct word between ASCII white space is encoded once and remembered
+    (as bytes: little-endian 32-bit ids). A word that is Latin letters and
+    then punctuation is two pretokens, so the library's BPE model takes those directly, without its
+    normaliser and splitter; any other word goes through the whole tokenizer."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task's core alone
         self.tokenizer = Tokenizer.from_file(path)
+        self.bpe = self.tokenizer.model
         self.new: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
+        self.stems: dict[str, bytes] = {}
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
 
+    def _stem(self, part: str) -> bytes:
+        known = self.stems.get(part)
+        if known is None:
+            spelled = part if part.isascii() else "".join(map(_SPELL.get, part.encode()))
+            known = np.array([t.id for t in self.bpe.tokenize(spelled)], "<u4").tobytes()
+            if len(self.stems) >= KNOWN_WORDS:
+                self.stems.clear()
+            self.stems[part] = known
+        return known
+
     def _learn(self, missing: set[bytes]) -> None:
         if len(self.new) + len(missing) > KNOWN_WORDS:
             self.old, self.new = self.new, {}
-        self.new.update((w, self.old[w]) for w in missing if w in self.old)
-        words = [w for w in missing if w not in self.new]
-        for lo in range(0, len(words), 2000):
-            some = words[lo:lo + 2000]
-            coded = self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)
-            self.new.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(some, coded))
+        for word in missing:
+            ids = self.old.get(word)
+            if ids is None:
+                text = word.decode()
+                plain = _PLAIN.fullmatch(text)
+                if plain:
+                    letters, marks = plain.groups()
+                    ids = self._stem(letters.lower()) + (self._stem(marks) if marks else b"")
+                else:
+                    ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            self.new[word] = ids
 
     def ids(self, text: bytes) -> bytes:
         """Ids of a text in UTF-8."""
