@@ -55,6 +55,14 @@ def only(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def powers(kind: str, n: int, inverse: bool = False) -> np.ndarray:
     """``base**0 .. base**(n-1)`` modulo 2**64 (or of the inverse of the base)."""
     known = _POWERS.get((kind, inverse))

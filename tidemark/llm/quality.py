@@ -259,8 +259,7 @@ def score_documents(docs: DataFrame, model: Model, text_col: str = "text", score
                     keep_text: bool = True) -> DataFrame:
     """``docs`` with a quality score from 0 to 1 for each row's whole text."""
     only(docs, text_col)
-    if score_col in docs.columns:
-        docs = docs.drop(score_col)
+    docs = docs.drop(score_col)  # an older score gives way
     kinds = dict(docs.dtypes)
     kept = [c for c in docs.columns if keep_text or c != text_col]
 

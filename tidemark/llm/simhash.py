@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.relational import materialize
-from .common import only, roots, slices, words_of
+from .common import fresh, only, roots, slices, words_of
 from .components import connected_components
 
 SHINGLE = 4
@@ -272,8 +272,10 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """``docs`` with one row of each component kept: that of the smallest id (of
     equal ids, one). Columns as they came."""
     columns = docs.columns
-    rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    keyed = rows.select(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "_row").alias("_id"), text_col)
-    groups = simhash_groups(keyed, "_id", text_col, shingle, max_bits)
-    gone = materialize(groups.where("_id._row <> component_id._row").select("_id._row"), "gone")
-    return rows.join(gone, "_row", "left_anti").select(*[f"`{c}`" for c in columns])
+    row = fresh(docs, "_row")
+    rows = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    keyed = rows.select(F.struct(F.col(f"`{id_col}`").isNull().alias("none"), F.col(f"`{id_col}`").alias("id"), F.col(row).alias("row"))
+                        .alias("_id"), F.col(f"`{text_col}`").alias("_text"))
+    groups = simhash_groups(keyed, "_id", "_text", shingle, max_bits)
+    gone = materialize(groups.where("_id.row <> component_id.row").select(F.col("_id.row").alias(row)), "gone")
+    return rows.join(gone, row, "left_anti").select(*[f"`{c}`" for c in columns])

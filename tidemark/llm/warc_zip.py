@@ -100,7 +100,7 @@ def zip_directory(read_at, total: int) -> dict[str, tuple[int, int]]:
     tail_at = max(0, total - 22 - _FULL16)
     tail = read_at(tail_at, total - tail_at)
     at = tail.rfind(struct.pack("<I", _END))
-    while at >= 0 and at + 22 + struct.unpack_from("<H", tail, at + 20)[0] != len(tail):
+    while at >= 0 and (at + 22 > len(tail) or at + 22 + struct.unpack_from("<H", tail, at + 20)[0] != len(tail)):
         at = tail.rfind(struct.pack("<I", _END), 0, at)  # the bytes of the signature within the comment
     if at < 0:
         raise ValueError("not a ZIP file: no end record")
