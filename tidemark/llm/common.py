@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 2 << 20  # text bytes worked on at once inside a task
+SLICE_BYTES = 1 << 20  # text bytes worked on at once inside a task
 
 #: ASCII white space: the separators of the word rule ``[^\x20\x09-\x0D]+``
 SPACE = np.zeros(256, bool)

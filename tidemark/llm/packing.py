@@ -40,7 +40,7 @@ from .common import only, slices
 
 CAPACITY = 4096
 END_ID = 1
-KNOWN_WORDS = 300_000  # words whose ids a worker remembers, in each of two generations
+KNOWN_WORDS = 150_000  # words whose ids a worker remembers, in each of two generations
 SALT_ROWS = 5_000  # pieces of one length in a numbering group, about
 
 
