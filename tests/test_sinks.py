@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import ts
@@ -13,7 +14,10 @@ def test_table_lifecycle(spark):
     # SRC12 + SRC13: month text to a first-of-month date, then retype
     sinks.update_column(spark, "gaps_t", "churned_month",
                         F.when(F.col("churned_month").isNotNull(), F.concat("churned_month", F.lit("-01"))))
-    sinks.retype_column(spark, "gaps_t", "churned_month", "date")
+    with pytest.raises(Exception, match="does not convert"):
+        sinks.retype_column(spark, "gaps_t", "churned_month", "date")
+    assert sorted(r.churned_month or "" for r in spark.table("gaps_t").collect()) == ["", "2024-06-01", "bad-01"]
+    sinks.retype_column(spark, "gaps_t", "churned_month", "date", coerce=True)
     got = {r.user_id: r.churned_month for r in spark.table("gaps_t").collect()}
     assert str(got[1]) == "2024-06-01" and got[2] is None and got[3] is None
     assert dict(spark.table("gaps_t").dtypes)["churned_month"] == "date"
@@ -60,3 +64,19 @@ def test_partitioned_table_prunes_by_month(spark):
     assert "PartitionFilters: [isnotnull(order_month" in plan
     assert q.count() == o.filter(F.col("order_month") == "1997-03").count()
     sinks.drop_table(spark, "orders_by_month")
+
+
+def test_replace_keeps_partitioning_and_survives_an_interrupted_swap(spark):
+    for t in ("part_t", "part_t__old"):
+        sinks.drop_table(spark, t)
+    sinks.persist_table(spark.createDataFrame([(1, "a"), (2, "b'c d")], "id long, p string"), "part_t", partition_by=["p"])
+    sinks.update_column(spark, "part_t", "id", F.col("id") + 10)
+    assert [c.name for c in spark.catalog.listColumns("part_t") if c.isPartition] == ["p"]
+    assert sorted(tuple(r) for r in spark.table("part_t").select("id", "p").collect()) == [(11, "a"), (12, "b'c d")]
+    sinks._rename(spark, "part_t", "part_t__old")  # a crash after the first rename
+    with pytest.raises(ValueError, match="does not exist"):
+        sinks.replace_table(spark, "part_t", spark.table("part_t__old"))
+    sinks.update_column(spark, "part_t", "id", F.col("id") + 10)
+    assert sorted(tuple(r) for r in spark.table("part_t").select("id", "p").collect()) == [(21, "a"), (22, "b'c d")]
+    assert not spark.catalog.tableExists("part_t__old")
+    sinks.drop_table(spark, "part_t")

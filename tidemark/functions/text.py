@@ -12,17 +12,20 @@ WON_SIGN = "₩"                 # prefix of money labels
 TS_TEXT_PATTERN = r"^[0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2}$"
 
 
+NUMBER_PATTERN = r"(?i)^\s*[+-]?(\d+\.?\d*|\.\d+)(e[+-]?\d+)?\s*$|^\s*[+-]?inf(inity)?\s*$"
+EDGE_SPACE = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"  # white space of any kind at either end
+
+
 def _c(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
 def clean_number(c: Column | str) -> Column:
-    """Text such as '1,234' to DOUBLE: thousands commas stripped, bad text to NULL.
-
-    A numeric column passes through as a cast.
+    """Text such as '1,234' to DOUBLE: thousands commas stripped; anything but a
+    decimal number ('nan', '1d', 'bad') is missing, so NULL. NaN is NULL too.
     """
     stripped = F.regexp_replace(_c(c).cast("string"), ",", "")
-    return stripped.try_cast("double")
+    return F.when(stripped.rlike(NUMBER_PATTERN), F.trim(stripped).try_cast("double"))
 
 
 def money_text(c: Column | str, sign: str = WON_SIGN) -> Column:
@@ -34,14 +37,15 @@ def money_text(c: Column | str, sign: str = WON_SIGN) -> Column:
 
 
 def clean_missing_text(c: Column | str, label: str = UNKNOWN_LABEL) -> Column:
-    """NULL, '' or '-' become ``label``; then trim; then blank text becomes ``label``.
+    """NULL, '' or '-' become ``label``; then white space of any kind goes from both
+    ends; then blank text becomes ``label``.
 
     The order matters: ' - ' trims to '-' and stays '-'.
     """
     x = _c(c)
     step1 = F.when(x.isNull() | x.isin(*MISSING_MARKERS), F.lit(label)).otherwise(x)
-    step2 = F.trim(step1)
-    return F.when(step2.rlike(r"^\s*$"), F.lit(label)).otherwise(step2)
+    step2 = F.regexp_replace(step1, EDGE_SPACE, "")
+    return F.when(step2 == "", F.lit(label)).otherwise(step2)
 
 
 def ts_text_is_clean(c: Column | str, pattern: str = TS_TEXT_PATTERN) -> Column:

@@ -46,13 +46,14 @@ def first_gap_fanout(first: DataFrame, orders: DataFrame, span: Span, targets: S
     That form joins each user to every order row of each target period, so
     a user appears prod(max(1, orders in target)) times. The product grows
     multiplicatively with a heavy user's orders, so the copies are not
-    materialised: each user comes once with ``copies`` (NULL if it does not
-    fit in a long). ``explode(sequence(1, copies))`` rebuilds the rows.
+    materialised: each user comes once with ``copies`` (an error if it does not
+    fit in a long, never a lost count). ``explode(sequence(1, copies))`` rebuilds the rows.
     """
     counts = _target_counts(orders, span, targets, grain, key)
     copies = F.lit(1).cast("long")
     for i in range(len(targets)):
         copies = F.try_multiply(copies, F.greatest(F.coalesce(F.col(f"_n{i}"), F.lit(0)), F.lit(1)).cast("long"))
+    copies = F.coalesce(copies, F.raise_error(F.lit("a user's copies exceed 2^63 - 1")).cast("long"))
     return (first.select(key, "first_order_month").join(counts, key, "left")
             .select(key, "first_order_month", _first_missing(targets).alias("churned_month"),
                     copies.alias("copies")))

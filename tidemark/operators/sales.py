@@ -35,7 +35,7 @@ def clean_number_column(df: DataFrame, column: str, name: str | None = None) ->
     """OP40: thousands commas stripped and bad text to NULL; a numeric column is only cast."""
     src = F.col(column)
     is_numeric = isinstance(df.schema[column].dataType, T.NumericType)
-    return df.withColumn(name or column, src.cast("double") if is_numeric else clean_number(src))
+    return df.withColumn(name or column, F.nullif(src.cast("double"), F.lit(float("nan"))) if is_numeric else clean_number(src))
 
 
 def profile(df: DataFrame, column: str, approx_rsd: float | None = None) -> DataFrame:

@@ -7,7 +7,9 @@ read is never overwritten while it is read.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
+from urllib.parse import unquote
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -61,21 +63,50 @@ def add_column(spark: SparkSession, table: str, column: str, sql_type: str) -> N
     spark.sql(f"ALTER TABLE {table} ADD COLUMN {column} {sql_type}")
 
 
+def _rename(spark: SparkSession, old: str, new: str) -> None:
+    """Rename a table; some catalogs move its folder but leave its partitions' places behind, so set these."""
+    spark.sql(f"ALTER TABLE {old} RENAME TO {new}")
+    if not any(c.isPartition for c in spark.catalog.listColumns(new)):
+        return
+    home = next(r["data_type"] for r in spark.sql(f"DESCRIBE TABLE EXTENDED {new}").collect() if r["col_name"] == "Location")
+    for r in spark.sql(f"SHOW PARTITIONS {new}").collect():  # a catalog entry each, no data
+        pairs = [x.split("=", 1) for x in r["partition"].split("/")]
+        spec = ", ".join(f"`{k}` = " + ("NULL" if v == "__HIVE_DEFAULT_PARTITION__" else "'" + unquote(v).replace("'", "\\'") + "'")
+                         for k, v in pairs)
+        spark.sql(f"ALTER TABLE {new} PARTITION ({spec}) SET LOCATION '{home}/{r['partition']}'")
+    spark.catalog.refreshTable(new)
+
+
 def replace_table(spark: SparkSession, table: str, df: DataFrame) -> None:
     """Write ``df`` (usually derived from ``table``) to a new table, then swap names.
 
-    The new rows are fully written before any rename, and the old table is
-    dropped last, so a failure at any step leaves either table intact.
+    The new table keeps the old one's partition columns and format. Its rows are fully
+    written, under a name of their own, before any rename, and the old table
+    is dropped last. If a failure strikes between the two renames, the old rows are in
+    ``<table>__old``; ``recover_table`` (called by every update here) puts them back.
     """
-    staging, retired = f"{table}__next", f"{table}__old"
-    spark.sql(f"DROP TABLE IF EXISTS {staging}")
-    spark.sql(f"DROP TABLE IF EXISTS {retired}")
-    df.write.format("parquet").saveAsTable(staging)
-    spark.sql(f"ALTER TABLE {table} RENAME TO {retired}")
-    spark.sql(f"ALTER TABLE {staging} RENAME TO {table}")
+    staging, retired = f"{table}__next_{uuid.uuid4().hex[:12]}", f"{table}__old"
+    if not spark.catalog.tableExists(table):
+        raise ValueError(f"{table} does not exist; recover_table brings back what an interrupted swap left")
+    parts = [c.name for c in spark.catalog.listColumns(table) if c.isPartition and c.name in df.columns]
+    provider = [r["data_type"] for r in spark.sql(f"DESCRIBE TABLE EXTENDED {table}").collect() if r["col_name"] == "Provider"]
+    writer = df.write.format(provider[0] if provider else "parquet")
+    (writer.partitionBy(*parts) if parts else writer).saveAsTable(staging)
+    spark.sql(f"DROP TABLE IF EXISTS {retired}")  # of a finished swap: the table itself is there
+    _rename(spark, table, retired)
+    _rename(spark, staging, table)
     spark.sql(f"DROP TABLE {retired}")
 
 
+def recover_table(spark: SparkSession, table: str) -> bool:
+    """Put back the old rows if a swap was interrupted between its renames; True if it did."""
+    retired = f"{table}__old"
+    if spark.catalog.tableExists(table) or not spark.catalog.tableExists(retired):
+        return False
+    _rename(spark, retired, table)
+    return True
+
+
 def updated_from(target: DataFrame, source: DataFrame, key: str, assignments: Mapping[str, str]) -> DataFrame:
     """SRC11 as a DataFrame: ``UPDATE a JOIN b ON key SET a.c = b.c``.
 
@@ -91,19 +122,26 @@ def updated_from(target: DataFrame, source: DataFrame, key: str, assignments: Ma
 
 def update_from(spark: SparkSession, table: str, source: DataFrame, key: str, assignments: Mapping[str, str]) -> None:
     """SRC11 on a stored table."""
+    recover_table(spark, table)
     replace_table(spark, table, updated_from(spark.table(table), source, key, assignments))
 
 
 def update_column(spark: SparkSession, table: str, column: str, expr: Column) -> None:
     """SRC12: ``UPDATE t SET c = expr`` (every row)."""
+    recover_table(spark, table)
     t = spark.table(table)
     replace_table(spark, table, t.withColumn(column, expr))
 
 
-def retype_column(spark: SparkSession, table: str, column: str, sql_type: str) -> None:
-    """SRC13: ``ALTER TABLE t MODIFY COLUMN c type``; text that does not convert becomes NULL."""
-    t = spark.table(table)
-    replace_table(spark, table, t.withColumn(column, F.col(column).try_cast(sql_type)))
+def retype_column(spark: SparkSession, table: str, column: str, sql_type: str, coerce: bool = False) -> None:
+    """SRC13: ``ALTER TABLE t MODIFY COLUMN c type``. A value that does not convert is an
+    error and the table stays as it is; with ``coerce`` it becomes NULL."""
+    recover_table(spark, table)
+    new = F.col(column).try_cast(sql_type)
+    if not coerce:
+        bad = F.concat(F.lit(f"{table}.{column} does not convert to {sql_type}: "), F.col(column).cast("string"))
+        new = F.when(new.isNull() & F.col(column).isNotNull(), F.raise_error(bad).cast(sql_type)).otherwise(new)
+    replace_table(spark, table, spark.table(table).withColumn(column, new))
 
 
 def copy_table(spark: SparkSession, source: str, target: str) -> None:
