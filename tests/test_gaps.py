@@ -69,3 +69,27 @@ def test_month_text_to_date(spark):
     df = spark.createDataFrame([("2024-06",), (None,), ("bad",)], "m string")
     got = [r.m for r in gaps.month_text_to_date(df, ["m"]).collect()]
     assert [str(x) if x else x for x in got] == ["2024-06-01", None, None]
+
+
+def test_one_pass_equals_the_joined_form(spark):
+    import numpy as np
+
+    from tidemark.functions.periods import Span
+    from tidemark.operators import acquisition
+
+    rng = np.random.default_rng(8)
+    rows = [(None if rng.random() < 0.05 else int(rng.integers(1, 30)), i, 1.0, ts(f"2024-0{rng.integers(1, 8)}-{rng.integers(1, 28):02d}"))
+            for i in range(200)]
+    orders = spark.createDataFrame(rows, ORDERS_SCHEMA)
+    first_span, span = Span("2024-01-01", "2024-03-01", closed=False), Span("2024-02-01", "2024-07-01", closed=False)
+    targets = ["2024-03", "2024-04", "2024-05"]
+    first = acquisition.first_orders(orders, first_span)
+    same = lambda a, b: sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+    assert same(gaps.first_gap_one_pass(orders, first_span, span, targets), gaps.first_gap(first, orders, span, targets))
+    assert same(gaps.first_gap_fanout_one_pass(orders, first_span, span, targets),
+                gaps.first_gap_fanout(first, orders, span, targets))
+    some = first.filter("first_order_month = '2024-02' AND user_id IS NOT NULL")
+    assert same(gaps.first_gap_one_pass(orders, first_span, span, targets, first_period="2024-02"),
+                gaps.first_gap(some, orders, span, targets))
+    plan = gaps.first_gap_one_pass(orders, first_span, span, targets)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange") == 1

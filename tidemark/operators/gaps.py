@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.periods import Span, in_period, label_of_start, period_start, period_trunc
+from tidemark.functions.periods import Span, in_period, label_of_start, period_key, period_start, period_trunc
 
 
 def _target_counts(orders: DataFrame, span: Span, targets: Sequence[str], grain: str, key: str) -> DataFrame:
@@ -39,6 +39,44 @@ def first_gap(first: DataFrame, orders: DataFrame, span: Span, targets: Sequence
             .select(key, "first_order_month", _first_missing(targets).alias("churned_month")))
 
 
+def _one_pass(orders: DataFrame, first_span: Span, span: Span, targets: Sequence[str], grain: str,
+              key: str) -> DataFrame:
+    """``first_orders`` and the target counts in one aggregate: one scan, one shuffle, no join."""
+    first, inside = first_span.predicate(orders, "ts"), span.predicate(orders, "ts")
+    # a NULL key matches no order of its own in the joined form, so its targets count none
+    counted = inside & F.col(key).isNotNull()
+    per = (orders.filter(first | inside).groupBy(key)
+           .agg(F.min(F.when(first, F.col("ts"))).alias("_first"),
+                *[F.count(F.when(counted & in_period(orders, "ts", t, grain), F.lit(1))).alias(f"_n{i}")
+                  for i, t in enumerate(targets)]))
+    return per.filter(F.col("_first").isNotNull()).withColumn("first_order_month", period_key("_first", grain))
+
+
+def first_gap_one_pass(orders: DataFrame, first_span: Span, span: Span, targets: Sequence[str],
+                       grain: str = "month", key: str = "user_id", first_period: str | None = None) -> DataFrame:
+    """OP27 -> OP35 in one scan: equal to ``first_gap(first_orders(orders, first_span), ...)``.
+    ``first_period`` keeps the (known) users whose first period it is."""
+    per = _one_pass(orders, first_span, span, targets, grain, key)
+    if first_period is not None:
+        per = per.filter((F.col("first_order_month") == first_period) & F.col(key).isNotNull())
+    return per.select(key, "first_order_month", _first_missing(targets).alias("churned_month"))
+
+
+def first_gap_fanout_one_pass(orders: DataFrame, first_span: Span, span: Span, targets: Sequence[str],
+                              grain: str = "month", key: str = "user_id") -> DataFrame:
+    """OP27 -> OP34 in one scan: equal to ``first_gap_fanout(first_orders(orders, first_span), ...)``."""
+    return (_one_pass(orders, first_span, span, targets, grain, key)
+            .select(key, "first_order_month", _first_missing(targets).alias("churned_month"),
+                    _copies(targets).alias("copies")))
+
+
+def _copies(targets: Sequence[str]):
+    copies = F.lit(1).cast("long")
+    for i in range(len(targets)):
+        copies = F.try_multiply(copies, F.greatest(F.coalesce(F.col(f"_n{i}"), F.lit(0)), F.lit(1)).cast("long"))
+    return F.coalesce(copies, F.raise_error(F.lit("a user's copies exceed 2^63 - 1")).cast("long"))
+
+
 def first_gap_fanout(first: DataFrame, orders: DataFrame, span: Span, targets: Sequence[str],
                      grain: str = "month", key: str = "user_id") -> DataFrame:
     """OP34: the source's one-left-join-per-target form, as a row multiplicity.
@@ -50,13 +88,9 @@ def first_gap_fanout(first: DataFrame, orders: DataFrame, span: Span, targets: S
     fit in a long, never a lost count). ``explode(sequence(1, copies))`` rebuilds the rows.
     """
     counts = _target_counts(orders, span, targets, grain, key)
-    copies = F.lit(1).cast("long")
-    for i in range(len(targets)):
-        copies = F.try_multiply(copies, F.greatest(F.coalesce(F.col(f"_n{i}"), F.lit(0)), F.lit(1)).cast("long"))
-    copies = F.coalesce(copies, F.raise_error(F.lit("a user's copies exceed 2^63 - 1")).cast("long"))
     return (first.select(key, "first_order_month").join(counts, key, "left")
             .select(key, "first_order_month", _first_missing(targets).alias("churned_month"),
-                    copies.alias("copies")))
+                    _copies(targets).alias("copies")))
 
 
 def gap_counts(gaps: DataFrame) -> DataFrame:

@@ -284,25 +284,15 @@ def _purchases(spark, sf_dir):
     return events_view(spark, sf_dir, "purchase")
 
 
-def _cohort_first(spark, sf_dir):
-    first = acquisition.first_orders(_purchases(spark, sf_dir), P.GAP_COHORT_FIRST_SPAN, P.GAP_GRAIN)
-    cohort = first.filter(first.first_order_month == P.GAP_COHORT_DAY).select("user_id")
-    return first.join(cohort, "user_id", "left_semi")
-
-
-def _window_first(spark, sf_dir):
-    return acquisition.first_orders(_purchases(spark, sf_dir), P.GAP_WINDOW_FIRST_SPAN, P.GAP_GRAIN)
-
-
 def _gaps_window(spark, sf_dir):
-    return gaps.first_gap(_window_first(spark, sf_dir), _purchases(spark, sf_dir), P.GAP_WINDOW_SPAN,
-                          P.GAP_WINDOW_TARGETS, P.GAP_GRAIN)
+    return gaps.first_gap_one_pass(_purchases(spark, sf_dir), P.GAP_WINDOW_FIRST_SPAN, P.GAP_WINDOW_SPAN,
+                                   P.GAP_WINDOW_TARGETS, P.GAP_GRAIN)
 
 
 @register("first_gap_cohort")
 def q_first_gap_cohort(spark, sf_dir):
-    return gaps.first_gap(_cohort_first(spark, sf_dir), _purchases(spark, sf_dir), P.GAP_COHORT_SPAN,
-                          P.GAP_COHORT_TARGETS, P.GAP_GRAIN)
+    return gaps.first_gap_one_pass(_purchases(spark, sf_dir), P.GAP_COHORT_FIRST_SPAN, P.GAP_COHORT_SPAN,
+                                   P.GAP_COHORT_TARGETS, P.GAP_GRAIN, first_period=P.GAP_COHORT_DAY)
 
 
 @register("first_gap_window")
@@ -312,8 +302,8 @@ def q_first_gap_window(spark, sf_dir):
 
 @register("first_gap_fanout")
 def q_first_gap_fanout(spark, sf_dir):
-    return gaps.first_gap_fanout(_window_first(spark, sf_dir), _purchases(spark, sf_dir), P.GAP_WINDOW_SPAN,
-                                 P.GAP_WINDOW_TARGETS, P.GAP_GRAIN)
+    return gaps.first_gap_fanout_one_pass(_purchases(spark, sf_dir), P.GAP_WINDOW_FIRST_SPAN, P.GAP_WINDOW_SPAN,
+                                          P.GAP_WINDOW_TARGETS, P.GAP_GRAIN)
 
 
 @register("gap_counts")
@@ -328,8 +318,7 @@ def q_first_gap_graded(spark, sf_dir):
 
 @register("first_gap_spine")
 def q_first_gap_spine(spark, sf_dir):
-    spine = gaps.first_gap_spine(_window_first(spark, sf_dir), _purchases(spark, sf_dir), P.GAP_WINDOW_SPAN,
-                                 P.GAP_WINDOW_TARGETS, P.GAP_GRAIN)
+    spine = _gaps_window(spark, sf_dir).filter(F.col("churned_month").isNotNull())
     return gaps.with_grade(spine, grades.grade_by_spend(orders_view(spark, sf_dir)))
 
 
