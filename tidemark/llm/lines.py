@@ -10,9 +10,9 @@ position) and goes from everywhere else, so no content is lost whole when
 documents are copies of each other across sites.
 
 Scale: the work runs on (hash, site, place) rows, written once; texts are
-joined once with the positions to drop, by document (a sort-merge join at every size).
-The other joins are with tables of known size (written ones), so Spark broadcasts
-small ones and splits hot keys of large ones.
+joined once with the positions to drop, by document. All joins are with tables of known
+size (written ones), so Spark broadcasts small ones (then no text is shuffled), and
+sort-merge joins large ones, hot keys split.
 
 Cases: a null text stays null and an empty one empty; lines of fewer than
 ``min_words`` words (blank ones too) are layout, never boilerplate; a null site
@@ -85,7 +85,6 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gone = (lines.join(found, ["a", "b"]).where(~here).groupBy("id", "key")
             .agg(F.array_sort(F.collect_set("pos")).alias("_ld_gone")))
     gone = materialize(gone, "gone").select(F.col("id").alias("_ld_id"), F.col("key").alias("_ld_key"), "_ld_gone")
-    gone = gone.hint("merge")  # one plan at every size: texts are dealt by document, hot keys split
     cut = F.pandas_udf(_drop_lines, "string")
     some = F.col("_ld_gone").isNotNull()
     joined = docs.join(gone, F.col(f"`{id_col}`").eqNullSafe(F.col("_ld_id"))
