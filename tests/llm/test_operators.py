@@ -162,17 +162,20 @@ def _line_dedup(rows, sites, words):
 
 
 @pytest.mark.parametrize("sites,words", [(3, 3), (2, 1)])
-def test_line_dedup_equals_brute_force(docs, sites, words):
+@pytest.mark.parametrize("broadcast_lines", [lines.BROADCAST_LINES, 0])
+def test_line_dedup_equals_brute_force(docs, sites, words, broadcast_lines):
     one = docs.dropDuplicates(["doc_id"]).where("doc_id is not null or text is null")
     source = _rows(one)
     want = Counter(zip([r["doc_id"] for r in source], _line_dedup(source, sites, words)))
-    got = lines.line_dedup(one, sites=sites, min_words=words)
+    got = lines.line_dedup(one, sites=sites, min_words=words, broadcast_lines=broadcast_lines)
     assert got.columns == [*docs.columns, "_ld_lines", "_ld_removed"]
     assert _multiset(_rows(got), "doc_id", "text") == want
 
 
 def test_line_dedup_of_repeated_rows(docs):
-    assert lines.line_dedup(docs, sites=2).count() == docs.count()
+    wide, joined = (lines.line_dedup(docs, sites=2, broadcast_lines=n) for n in (lines.BROADCAST_LINES, 0))
+    assert wide.count() == docs.count()
+    assert _multiset(_rows(wide), *wide.columns) == _multiset(_rows(joined), *wide.columns)
 
 
 def test_near_threshold_lines_are_counted_exactly(spark):
