@@ -84,3 +84,11 @@ def test_one_pass_queries_scan_orders_once_without_joins(spark, name):
     df = QUERIES[name](spark, SF01)
     tree = df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted").split("\n\n\n")[0]
     assert tree.count("Scan parquet") == 1 and "Join" not in tree, tree
+
+
+@pytest.mark.parametrize("name,joins", [("profile", 0), ("volume_before_after", 0), ("mean_before_after", 0),
+                                        ("size_price_points", 1), ("trim_extremes", 2), ("category_counts", 1),
+                                        ("top_companies", 1), ("top_artist_company", 2), ("top_artists", 1)])
+def test_sales_queries_join_only_the_tables_they_use(spark, name, joins):
+    plan = QUERIES[name](spark, SF01)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == joins, plan

@@ -25,6 +25,28 @@ def test_trim_extremes_keeps_nulls_and_drops_all_ties(spark):
     assert got == [5.0, None]
 
 
+def test_trim_extremes_of_nan_and_infinity(spark):
+    d, nan, inf = ts("2024-01-01"), float("nan"), float("inf")
+    trimmed = lambda xs: [r.price for r in sales.trim_extremes(
+        _s(spark, [("a", "c", x, d, "m", 1.0) for x in xs])).collect()]
+    got = trimmed([1.0, 2.0, 9.0, nan])
+    assert [x for x in got if x == x] == [2.0] and len(got) == 2
+    assert trimmed([1.0, 2.0, inf, None]) == [2.0, None]
+    assert len(trimmed([nan, nan])) == 2
+
+
+def test_sales_of_absent_parts_stay(spark):
+    from tidemark.sources.views import sales_from
+
+    lines = spark.createDataFrame([(1, 1, 5.0, ts("2024-01-01")), (2, 9, 6.0, None)],
+                                  "l_partkey long, l_suppkey long, l_extendedprice double, l_shipdate timestamp_ntz")
+    part = spark.createDataFrame([(1, "b", "t", 3)], "p_partkey long, p_brand string, p_type string, p_size int")
+    supplier = spark.createDataFrame([(1, "s")], "s_suppkey long, s_name string")
+    got = sorted((r.artist or "", r.company or "", r.price) for r in sales_from(lines, part, supplier).collect())
+    assert got == [("", "", 6.0), ("b", "s", 5.0)]
+    assert sales_from(lines, part, supplier, "company", "price").columns == ["company", "price"]
+
+
 def test_before_after_spine_and_means(spark):
     df = _s(spark, [("a", "c", 10.0, ts("2022-01-01"), "m", 1.0), ("a", "c", None, ts("2022-02-01"), "m", 1.0),
                     ("a", "c", 30.0, None, "m", 1.0)])

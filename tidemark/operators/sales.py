@@ -91,15 +91,16 @@ def mean_before_after(sales: DataFrame, value: str, cut: str, date_col: str = "d
 
 
 def trim_extremes(sales: DataFrame, value: str = "price") -> DataFrame:
-    """OP44: drop every row tied at the column max or min; NULL values stay.
+    """OP44: drop every row tied at the column max or min; NULL and NaN values stay.
 
-    Max and min come from one global aggregate read as a scalar subquery.
+    Max and min, of the values that are numbers, come from one global aggregate read as a
+    scalar subquery (left joins under it that give only other columns are not run).
     """
-    mm = sales.select(F.struct(F.max(value).alias("hi"), F.min(value).alias("lo")).alias("m")).scalar()
     m = F.col("_mm")
-    v = F.col(value)
+    v = F.nullif(F.col(value), F.lit(float("nan"))) if isinstance(sales.schema[value].dataType, T.FractionalType) else F.col(value)
+    mm = sales.select(F.struct(F.max(v).alias("hi"), F.min(v).alias("lo")).alias("m")).scalar()
     return (sales.withColumn("_mm", mm)
-            .filter(~v.eqNullSafe(m.hi) & ~v.eqNullSafe(m.lo))
+            .filter(v.isNull() | (~v.eqNullSafe(m.hi) & ~v.eqNullSafe(m.lo)))
             .drop("_mm"))
 
 

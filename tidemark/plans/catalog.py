@@ -341,17 +341,17 @@ def q_clean_number(spark, sf_dir):
 
 @register("profile")
 def q_profile(spark, sf_dir):
-    return sales.profile(sales_view(spark, sf_dir), "price")
+    return sales.profile(sales_view(spark, sf_dir, "price"), "price")
 
 
 @register("volume_before_after")
 def q_volume_before_after(spark, sf_dir):
-    return sales.volume_before_after(sales_view(spark, sf_dir), P.SALES_CUT)
+    return sales.volume_before_after(sales_view(spark, sf_dir, "price", "date"), P.SALES_CUT)
 
 
 @register("mean_before_after")
 def q_mean_before_after(spark, sf_dir):
-    return sales.mean_before_after(sales_view(spark, sf_dir), "price", P.SALES_CUT)
+    return sales.mean_before_after(sales_view(spark, sf_dir, "price", "date"), "price", P.SALES_CUT)
 
 
 @register("trim_extremes")
@@ -361,37 +361,37 @@ def q_trim_extremes(spark, sf_dir):
 
 @register("size_price_points")
 def q_size_price_points(spark, sf_dir):
-    return sales.size_price_points(sales_view(spark, sf_dir))
+    return sales.size_price_points(sales_view(spark, sf_dir, "size", "price", "category_size"))
 
 
 @register("monthly_mean_by_category")
 def q_monthly_mean_by_category(spark, sf_dir):
-    return sales.monthly_mean_by_category(sales_view(spark, sf_dir))
+    return sales.monthly_mean_by_category(sales_view(spark, sf_dir, "price", "date", "category_size"))
 
 
 @register("category_counts")
 def q_category_counts(spark, sf_dir):
-    return sales.category_counts(sales_view(spark, sf_dir))
+    return sales.category_counts(sales_view(spark, sf_dir, "category_size"))
 
 
 @register("monthly_price_and_count")
 def q_monthly_price_and_count(spark, sf_dir):
-    return sales.monthly_price_and_count(sales_view(spark, sf_dir), P.SALES_CATEGORY)
+    return sales.monthly_price_and_count(sales_view(spark, sf_dir, "price", "date", "category_size"), P.SALES_CATEGORY)
 
 
 @register("compare_before_after")
 def q_compare_before_after(spark, sf_dir):
-    return sales.compare_before_after(sales_view(spark, sf_dir), P.SALES_CUT, "category_size")
+    return sales.compare_before_after(sales_view(spark, sf_dir, "price", "date", "category_size"), P.SALES_CUT, "category_size")
 
 
 @register("top_companies")
 def q_top_companies(spark, sf_dir):
-    return sales.top_groups_by_mean(sales_view(spark, sf_dir), ["company"], P.TOP_K)
+    return sales.top_groups_by_mean(sales_view(spark, sf_dir, "company", "price"), ["company"], P.TOP_K)
 
 
 @register("top_artist_company")
 def q_top_artist_company(spark, sf_dir):
-    return sales.top_groups_by_mean(sales_view(spark, sf_dir), ["artist", "company"], P.TOP_K, P.TOP_MIN_COUNT)
+    return sales.top_groups_by_mean(sales_view(spark, sf_dir, "artist", "company", "price"), ["artist", "company"], P.TOP_K, P.TOP_MIN_COUNT)
 
 
 @register("yearly_summary")
@@ -419,16 +419,16 @@ def q_years_union(spark, sf_dir):
 
 @register("top_artists")
 def q_top_artists(spark, sf_dir):
-    return sales.top_by_total(sales_view(spark, sf_dir), "artist", P.TOP_TOTAL_K)
+    return sales.top_by_total(sales_view(spark, sf_dir, "artist", "price"), "artist", P.TOP_TOTAL_K)
 
 
 @register("money_text")
 def q_money_text(spark, sf_dir):
-    return sales.with_money_text(sales.top_by_total(sales_view(spark, sf_dir), "artist", P.TOP_TOTAL_K), "total")
+    return sales.with_money_text(sales.top_by_total(sales_view(spark, sf_dir, "artist", "price"), "artist", P.TOP_TOTAL_K), "total")
 
 
 def _profile_of_top(spark, sf_dir):
-    top = sales.top_by_total(sales_view(spark, sf_dir), "company", P.TOP_TOTAL_K)
+    top = sales.top_by_total(sales_view(spark, sf_dir, "company", "price"), "company", P.TOP_TOTAL_K)
     return sales.profile_of_top(profiles_view(spark, sf_dir), top, "company")
 
 

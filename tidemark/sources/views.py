@@ -41,29 +41,33 @@ def events_view(spark: SparkSession, sf_dir: str, event_type: str | None = None)
     )
 
 
-def sales_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sales lines: ``lineitem`` joined to ``part`` (artist, class, size) and ``supplier`` (house)."""
+def sales_view(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Sales lines: ``lineitem`` with ``part`` (artist, class, size) and ``supplier`` (house).
+
+    ``columns`` (default: all) are returned; a table that none of them comes from is not read.
+    """
     return sales_from(read_table(spark, sf_dir, "lineitem"), read_table(spark, sf_dir, "part"),
-                      read_table(spark, sf_dir, "supplier"))
+                      read_table(spark, sf_dir, "supplier"), *columns)
 
 
-def sales_from(lineitem: DataFrame, part: DataFrame, supplier: DataFrame) -> DataFrame:
-    """The sales view over given ``lineitem``, ``part`` and ``supplier`` DataFrames."""
-    li = lineitem.select("l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
-    part = part.select("p_partkey", "p_brand", "p_type", "p_size")
-    supp = supplier.select("s_suppkey", "s_name")
-    return (
-        li.join(part, li.l_partkey == part.p_partkey)
-        .join(supp, li.l_suppkey == supp.s_suppkey)
-        .select(
-            F.col("p_brand").alias("artist"),
-            F.col("s_name").alias("company"),
-            F.col("l_extendedprice").alias("price"),
-            F.col("l_shipdate").alias("date"),
-            F.col("p_type").alias("category_size"),
-            F.col("p_size").cast("double").alias("size"),
-        )
-    )
+def sales_from(lineitem: DataFrame, part: DataFrame, supplier: DataFrame, *columns: str) -> DataFrame:
+    """The sales view over given ``lineitem``, ``part`` and ``supplier`` DataFrames.
+
+    Left joins: a sale whose part or supplier is absent stays, with NULL there.
+    """
+    of_part = {"artist": F.col("p_brand"), "category_size": F.col("p_type"), "size": F.col("p_size").cast("double")}
+    of_supplier = {"company": F.col("s_name")}
+    known = {"artist": of_part["artist"], **of_supplier, "price": F.col("l_extendedprice"),
+             "date": F.col("l_shipdate"), **of_part}
+    columns = columns or tuple(known)
+    sales = lineitem.select("l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
+    if of_part.keys() & set(columns):
+        part = part.select("p_partkey", "p_brand", "p_type", "p_size")
+        sales = sales.join(part, F.col("l_partkey") == F.col("p_partkey"), "left")
+    if of_supplier.keys() & set(columns):
+        supplier = supplier.select("s_suppkey", "s_name")
+        sales = sales.join(supplier, F.col("l_suppkey") == F.col("s_suppkey"), "left")
+    return sales.select(*[known[c].alias(c) for c in columns])
 
 
 def profiles_view(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,7 +93,7 @@ def register_sql_views(spark: SparkSession, sf_dir: str) -> list[str]:
 
     ``orders_completed (user_id, id, masked_id, discounted_price, created_at)``
     and ``customer_grades (user_id, total_spent, spending_grade)``. The grades
-    view is lazy; its rank step writes its totals once per query that uses it.
+    view is a snapshot: its totals are written when it is registered; register again to refresh it.
     Spark SQL spells date patterns as ``date_format(ts, 'yyyy-MM')``.
     """
     from tidemark.operators.grades import grade_by_spend
