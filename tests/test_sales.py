@@ -128,3 +128,79 @@ def test_null_group_keys_dropped(spark):
     by = spark.createDataFrame([(None, d, 1.0), ("A", d, 2.0)], "artist string, date timestamp_ntz, price double")
     ys = sales.yearly_summary(by, Span("2020-01-01", "2024-12-31"), by="artist")
     assert [(r.artist, r.avg_price) for r in ys.collect()] == [("A", 2.0)]
+
+
+def test_exact_means_and_sums(spark):
+    from tidemark.functions.numbers import exact_mean, exact_sum
+
+    of = lambda xs: spark.createDataFrame([(x,) for x in xs], "x double").agg(
+        exact_sum("x").alias("s"), exact_mean("x").alias("m")).first()
+    assert of([0.001, 0.002]).m == 0.0015
+    assert of([float("nan"), 2.0, None]) == (2.0, 2.0)
+    assert of([]) == (None, None) and of([None]) == (None, None)
+    assert of([1.0, float("inf")]).s == float("inf") and of([1e300, 1.0]).s == 1e300
+    big = [9007199254740993.0, 0.25, 1e16, -1e16, 0.25]
+    assert of(big) == of(big[::-1])
+
+
+def test_summary_reports_equal_line_reports(spark):
+    """Every report of a summary equals that of the raw lines, with absent parts, NULLs and NaN among them."""
+    from pyspark.sql import functions as F
+
+    from tidemark.functions.periods import period_trunc
+    from tidemark.sources.views import sales_from, summary_from
+
+    nan, d = float("nan"), [ts("2022-01-31"), ts("2022-02-01"), ts("2023-05-05 10:00:00"), None]
+    rows = [(i % 4 or None, i % 3, [1.5, None, nan, 2.25, 0.1][i % 5], d[i // 4 % 4]) for i in range(60)]
+    lines = spark.createDataFrame(rows, "l_partkey long, l_suppkey long, l_extendedprice double, l_shipdate timestamp_ntz")
+    part = spark.createDataFrame([(1, "b", "t", 3), (2, "b", "u", 4)], "p_partkey long, p_brand string, p_type string, p_size int")
+    supplier = spark.createDataFrame([(1, "s"), (2, "t")], "s_suppkey long, s_name string")
+    flat = sales_from(lines, part, supplier)
+    short = lambda cols, by=None: summary_from(lines, part, supplier, cols, by)
+    cut = "2022-02-01"
+    pairs = [
+        (sales.monthly_mean_by_category(flat),
+         sales.monthly_mean_by_category(short(["category_size"], {"month_start": lambda x: period_trunc("date", "month")}))),
+        (sales.category_counts(flat), sales.category_counts(short(["category_size"]))),
+        (sales.monthly_price_and_count(flat, "t"),
+         sales.monthly_price_and_count(short(["category_size"], {"month": lambda x: F.last_day("date")}), "t")),
+        (sales.compare_before_after(flat, cut),
+         sales.compare_before_after(short(["category_size"], {"side": lambda x: sales.side_of("date", cut, x)}), cut)),
+        (sales.top_groups_by_mean(flat, ["artist", "company"], min_count=1),
+         sales.top_groups_by_mean(short(["artist", "company"]), ["artist", "company"], min_count=1)),
+        (sales.top_by_total(flat, "company"), sales.top_by_total(short(["company"]), "company")),
+    ]
+    for a, b in pairs:
+        assert a.schema.simpleString() == b.schema.simpleString()
+        got = sorted(map(str, a.collect()))
+        assert got and got == sorted(map(str, b.collect()))
+
+
+def test_padded_percent_change(spark):
+    rows = [("a", "c", x, ts(f"{y}-06-01"), "m", 1.0) for y, x in
+            [(2018, None), (2019, 10.0), (2020, None), (2021, 20.0), (2022, None)]]
+    got = {r.year: r.avg_price_change_pct for r in sales.yearly_summary(
+        _s(spark, rows), Span("2018-01-01", "2024-12-31"), fill="pad").collect()}
+    assert got == {2018: None, 2019: None, 2020: 0.0, 2021: 100.0, 2022: 0.0}
+
+
+def test_date_formats_and_strict(spark):
+    import pytest
+
+    from tidemark.functions.text import clean_number, parse_date
+
+    texts = ["2019-06-01", "2019/6/1", "06/01/2019", " June 1, 2019", "2019-06-01 00:00:00", "20190601", "x", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r[0] and r[0].strftime("%Y%m%d") for r in df.select(parse_date("t")).collect()]
+    assert got == ["20190601"] * 6 + [None, None]
+    with pytest.raises(Exception, match="not a date: x"):
+        df.select(parse_date("t", strict=True)).collect()
+    with pytest.raises(Exception, match="not a number: x"):
+        df.where("t = 'x'").select(clean_number("t", strict=True)).collect()
+    assert df.where("t is null").select(clean_number("t", strict=True)).collect()[0][0] is None
+
+
+def test_distinct_values_and_first_rows(spark):
+    df = spark.createDataFrame([(2, "b"), (1, "b"), (1, "a"), (None, None)], "n int, s string")
+    assert [r[0] for r in sales.distinct_values(df, "s").collect()] == [None, "a", "b"]
+    assert [tuple(r) for r in sales.first_rows(df, 3, "n").collect()] == [(None, None), (1, "a"), (1, "b")]

@@ -25,6 +25,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.numbers import SCALE, exact_sum
 from tidemark.operators.relational import materialize
 
 # Quartile cut points as fractions of the user count, counted
@@ -77,17 +78,15 @@ def global_row_number(df: DataFrame, order: list[Column], name: str = "rank",
 
 
 def user_totals(orders: DataFrame, measure: str = "total_spent", how: str = "sum",
-                value: str = "amount", key: str = "user_id", money_decimals: int | None = 2,
+                value: str = "amount", key: str = "user_id", scale: int = SCALE,
                 extra: Mapping[str, Column] | None = None) -> DataFrame:
-    """Per-user ``SUM(value)`` (rounded to cents) or ``COUNT(order_id)``.
+    """Per-user ``SUM(value)`` (exact to ``scale`` places) or ``COUNT(order_id)``.
 
     ``extra`` adds more per-user aggregates (e.g. ``{"last_ts": F.max("ts")}``)
     to the same pass over the orders.
     """
     if how == "sum":
-        agg = F.sum(value)
-        if money_decimals is not None:
-            agg = F.round(agg, money_decimals)
+        agg = exact_sum(value, scale)
     elif how == "count":
         agg = F.count("order_id")
     else:

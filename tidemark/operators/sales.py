@@ -1,9 +1,9 @@
 """Price and volume analytics over sales lines (OP40-OP58).
 
-Sales columns: ``artist, company, price, date, category_size, size``.
-Means of money columns are computed as ``round(sum, decimals) / count``:
-for values with at most ``decimals`` places the rounded sum is exact, so the
-mean does not depend on the order in which partitions were summed.
+Sales columns: ``artist, company, price, date, category_size, size``. The grouped
+reports also take a summary of the lines (``operators.summaries``) that has their
+keys, with the date key named as the report says. Sums and means are exact
+(``functions.numbers``), so they do not depend on how rows were partitioned; NaN is missing.
 """
 
 from __future__ import annotations
@@ -14,28 +14,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.functions.numbers import SCALE, exact_mean
 from tidemark.functions.periods import Span, label_of_start, period_trunc
-from tidemark.functions.text import clean_missing_text, clean_number, money_text
+from tidemark.functions.text import DATE_FORMATS, clean_missing_text, clean_number, money_text, parse_date
+from tidemark.operators.summaries import is_summary, summarise, summary_mean, summary_total
 
 # Labels of the two sides of an event date.
 BEFORE, AFTER = "before", "after"
 
 
-def money_mean(c: str | Column, decimals: int = 2) -> Column:
-    x = F.col(c) if isinstance(c, str) else c
-    return F.round(F.sum(x), decimals) / F.count(x)
-
-
-def money_sum(c: str | Column, decimals: int = 2) -> Column:
-    x = F.col(c) if isinstance(c, str) else c
-    return F.round(F.sum(x), decimals)
-
-
-def clean_number_column(df: DataFrame, column: str, name: str | None = None) -> DataFrame:
-    """OP40: thousands commas stripped and bad text to NULL; a numeric column is only cast."""
+def clean_number_column(df: DataFrame, column: str, name: str | None = None, strict: bool = False) -> DataFrame:
+    """OP40: thousands commas stripped and bad text to NULL (``strict``: an error); a numeric column is only cast."""
     src = F.col(column)
     is_numeric = isinstance(df.schema[column].dataType, T.NumericType)
-    return df.withColumn(name or column, F.nullif(src.cast("double"), F.lit(float("nan"))) if is_numeric else clean_number(src))
+    return df.withColumn(name or column, F.nullif(src.cast("double"), F.lit(float("nan"))) if is_numeric else clean_number(src, strict))
 
 
 def profile(df: DataFrame, column: str, approx_rsd: float | None = None) -> DataFrame:
@@ -58,11 +50,28 @@ def profile(df: DataFrame, column: str, approx_rsd: float | None = None) -> Data
     )
 
 
+def distinct_values(df: DataFrame, column: str) -> DataFrame:
+    """OP41: every distinct value of ``column``, NULL included, in order."""
+    return df.select(column).distinct().orderBy(F.col(column).asc_nulls_first())
+
+
+def first_rows(df: DataFrame, n: int, *order: str) -> DataFrame:
+    """SO4: the first ``n`` rows by ``order`` (then by every other column that can be ordered, so that ties repeat)."""
+    rest = [f.name for f in df.schema.fields if f.name not in order and not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    return df.orderBy(*[F.col(f"`{c}`") for c in (*order, *rest)]).limit(n)
+
+
 def _side(date: Column, cut: str, like: DataFrame, date_col: str) -> tuple[Column, Column]:
     cut_lit = F.lit(cut).cast(like.schema[date_col].dataType)
     return date < cut_lit, date >= cut_lit
 
 
+def side_of(date: str, cut: str, like: DataFrame) -> Column:
+    """'before' or 'after' the cut; NULL for a NULL date."""
+    before, after = _side(F.col(date), cut, like, date)
+    return F.when(before, F.lit(BEFORE)).when(after, F.lit(AFTER))
+
+
 def volume_before_after(sales: DataFrame, cut: str, count_rows: bool = False, date_col: str = "date",
                         value: str = "price") -> DataFrame:
     """OP42: ``period, transaction_volume`` -- always two rows, 0 for an empty side.
@@ -79,11 +88,11 @@ def volume_before_after(sales: DataFrame, cut: str, count_rows: bool = False, da
 
 
 def mean_before_after(sales: DataFrame, value: str, cut: str, date_col: str = "date",
-                      decimals: int = 2) -> DataFrame:
+                      scale: int = SCALE) -> DataFrame:
     """OP43: ``period, avg_price`` -- mean of ``value`` on each side (NULL for an empty side)."""
     before, after = _side(F.col(date_col), cut, sales, date_col)
-    one = sales.agg(money_mean(F.when(before, F.col(value)), decimals).alias("_b"),
-                    money_mean(F.when(after, F.col(value)), decimals).alias("_a"))
+    one = sales.agg(exact_mean(F.when(before, F.col(value)), scale).alias("_b"),
+                    exact_mean(F.when(after, F.col(value)), scale).alias("_a"))
     return one.select(F.explode(F.array(
         F.struct(F.lit(BEFORE).alias("period"), F.col("_b").alias("avg_price")),
         F.struct(F.lit(AFTER).alias("period"), F.col("_a").alias("avg_price")),
@@ -109,49 +118,60 @@ def size_price_points(sales: DataFrame) -> DataFrame:
     return trim_extremes(sales, "price").select("size", "price", "category_size")
 
 
-def monthly_mean_by_category(sales: DataFrame, decimals: int = 2) -> DataFrame:
-    """OP46: ``year_month, category_size, price`` = mean price by month and class; NULL date or class dropped."""
-    rows = sales.filter(F.col("date").isNotNull() & F.col("category_size").isNotNull())
-    agg = (rows.groupBy(period_trunc("date", "month").alias("_start"), "category_size")
-           .agg(money_mean("price", decimals).alias("price")))
-    return agg.select(label_of_start("_start", "month").alias("year_month"), "category_size", "price")
+def monthly_mean_by_category(sales: DataFrame, scale: int = SCALE) -> DataFrame:
+    """OP46: ``year_month, category_size, price`` = mean price by month and class; NULL date or class dropped.
+
+    Of a summary: keys ``month_start`` and ``category_size``.
+    """
+    by = {"month_start": period_trunc("date", "month"), "category_size": F.col("category_size")}
+    agg = summarise(sales, by, scale=scale).where("month_start IS NOT NULL AND category_size IS NOT NULL")
+    return agg.select(label_of_start("month_start", "month").alias("year_month"), "category_size",
+                      summary_mean().alias("price"))
 
 
 def category_counts(sales: DataFrame, column: str = "category_size") -> DataFrame:
     """OP47: frequency table, most common first, NULL dropped."""
-    return (sales.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("count"))
+    n = F.sum("_rows") if is_summary(sales) else F.count(F.lit(1))
+    return (sales.filter(F.col(column).isNotNull()).groupBy(column).agg(n.alias("count"))
             .orderBy(F.col("count").desc(), F.col(column)))
 
 
 def monthly_price_and_count(sales: DataFrame, category: str, since: str | None = None,
-                            decimals: int = 2) -> DataFrame:
+                            scale: int = SCALE) -> DataFrame:
     """OP48: one class; per month ``month`` (last day, as the chart labels it), mean price,
-    non-null price count. Only months with sales appear."""
-    rows = sales.filter((F.col("category_size") == category) & F.col("date").isNotNull())
+    non-null price count. Only months with sales appear.
+
+    Of a summary: keys ``month`` and ``category_size``, its lines limited by the caller.
+    """
     if since is not None:
-        rows = Span(since, None).apply(rows, "date")
-    return (rows.groupBy(F.last_day(F.col("date")).alias("month"))
-            .agg(money_mean("price", decimals).alias("price"), F.count("price").alias("sales_count")))
+        if is_summary(sales):
+            raise ValueError("limit the lines before they are summarised")
+        sales = Span(since, None).apply(sales, "date")
+    by = {"month": F.col("month") if is_summary(sales) else F.last_day("date")}
+    rows = sales.filter(F.col("category_size") == category)
+    agg = summarise(rows, by, scale=scale).where("month IS NOT NULL")
+    return agg.select("month", summary_mean().alias("price"), F.col("_n").alias("sales_count"))
 
 
-def compare_before_after(sales: DataFrame, cut: str, by: str = "category_size", decimals: int = 2) -> DataFrame:
+def compare_before_after(sales: DataFrame, cut: str, by: str = "category_size", scale: int = SCALE) -> DataFrame:
     """OP49: per ``by`` value, count and mean before/after ``cut`` and two percent changes.
 
-    One conditional aggregate instead of two summaries and a merge. Inner
-    merge semantics: a value with rows on only one side is dropped. A zero
-    count before gives a NULL change (the source's pandas gave inf).
+    Lines are reduced to a row per value and side, and those to a row per value, instead
+    of two summaries and a merge. Inner merge semantics: a value with rows on only one
+    side is dropped. A zero count before gives a NULL change (the source's pandas gave
+    inf). Of a summary: keys ``side`` (``side_of``) and ``by``.
     """
-    rows = sales.filter(F.col(by).isNotNull())
-    before, after = _side(F.col("date"), cut, rows, "date")
-    p = F.col("price")
-    agg = rows.groupBy(by).agg(
-        F.count(F.when(before, F.lit(1))).alias("_rows_b"),
-        F.count(F.when(after, F.lit(1))).alias("_rows_a"),
-        F.count(F.when(before, p)).alias("transaction_count_before"),
-        money_mean(F.when(before, p), decimals).alias("avg_price_before"),
-        F.count(F.when(after, p)).alias("transaction_count_after"),
-        money_mean(F.when(after, p), decimals).alias("avg_price_after"),
-    ).filter((F.col("_rows_b") > 0) & (F.col("_rows_a") > 0))
+    keys = {by: F.col(by), "side": F.col("side") if is_summary(sales) else side_of("date", cut, sales)}
+    sides = summarise(sales, keys, scale=scale).where(F.col(by).isNotNull() & F.col("side").isNotNull())
+    sides = sides.select(by, "side", F.col("_n").alias("n"), summary_mean().alias("mean"))
+    b, a = F.col("side") == BEFORE, F.col("side") == AFTER
+    agg = sides.groupBy(by).agg(
+        F.count("side").alias("_sides"),
+        F.max(F.when(b, F.col("n"))).alias("transaction_count_before"),
+        F.max(F.when(b, F.col("mean"))).alias("avg_price_before"),
+        F.max(F.when(a, F.col("n"))).alias("transaction_count_after"),
+        F.max(F.when(a, F.col("mean"))).alias("avg_price_after"),
+    ).filter("_sides = 2")
     cb, ca = F.col("transaction_count_before"), F.col("transaction_count_after")
     pb, pa = F.col("avg_price_before"), F.col("avg_price_after")
     return agg.select(
@@ -162,55 +182,64 @@ def compare_before_after(sales: DataFrame, cut: str, by: str = "category_size",
 
 
 def top_groups_by_mean(sales: DataFrame, by: Sequence[str], k: int = 10, min_count: int | None = None,
-                       value: str = "price", decimals: int = 2) -> DataFrame:
+                       value: str = "price", scale: int = SCALE) -> DataFrame:
     """OP50 / OP51: ``<by>, mean_price, transaction_count`` (non-null prices), top ``k`` by mean.
 
     A group without prices sorts last; ties are broken by the keys; rows
     with a NULL key are dropped, as pandas grouping drops them. The top-k is
     a distributed take-ordered (k rows per task, then one merge).
     """
-    rows = sales
+    agg = summarise(sales, {c: F.col(c) for c in by}, value, scale)
     for c in by:
-        rows = rows.filter(F.col(c).isNotNull())
-    agg = rows.groupBy(*by).agg(money_mean(value, decimals).alias("mean_price"),
-                                 F.count(value).alias("transaction_count"))
+        agg = agg.filter(F.col(c).isNotNull())
+    agg = agg.select(*by, summary_mean().alias("mean_price"), F.col("_n").alias("transaction_count"))
     if min_count is not None:
         agg = agg.filter(F.col("transaction_count") >= min_count)
     return agg.orderBy(F.col("mean_price").desc_nulls_last(), *[F.col(c).asc() for c in by]).limit(k)
 
 
 def yearly_summary(sales: DataFrame, span: Span, date_col: str = "date", value: str = "price",
-                   by: str | None = None, decimals: int = 2) -> DataFrame:
+                   by: str | None = None, scale: int = SCALE, fill: str | None = None) -> DataFrame:
     """OP52 / OP53: per year (and ``by``): non-null count, mean, and percent change
     against the previous *present* year of the same group.
 
-    A NULL mean is not filled forward: NULL in gives NULL out, and a zero
-    previous value gives NULL (pandas gave inf). The window is partitioned
+    ``fill=None``: a NULL mean gives a NULL change. ``fill="pad"``: a NULL mean takes the
+    group's last mean before it for the change (never in ``avg_price``), as pandas pads. A
+    zero previous value gives NULL (pandas gave inf). The window is partitioned
     by ``by``; without it, it holds one row per year.
     """
+    if fill not in (None, "pad"):
+        raise ValueError("fill must be None or 'pad'")
     rows = span.apply(sales.filter(F.col(date_col).isNotNull()), date_col)
     if by:
         rows = rows.filter(F.col(by).isNotNull())
-    keys = ([by] if by else []) + [F.year(date_col).cast("long").alias("year")]
-    agg = rows.groupBy(*keys).agg(F.count(value).alias("transaction_count"),
-                                  money_mean(value, decimals).alias("avg_price"))
+    keys = ({by: F.col(by)} if by else {}) | {"year": F.year(date_col).cast("long")}
+    agg = summarise(rows, keys, value, scale).select(*keys, F.col("_n").alias("transaction_count"),
+                                                     summary_mean().alias("avg_price"))
     w = (Window.partitionBy(by) if by else Window.partitionBy()).orderBy("year")
+    mean = F.col("avg_price")
+    if fill == "pad":
+        mean = F.last("avg_price", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    agg = agg.withColumn("_mean", mean)
     change = lambda c: (F.try_divide(F.col(c), F.lag(c).over(w)) - 1) * 100
-    return agg.select(*agg.columns, change("transaction_count").alias("transaction_count_change_pct"),
-                      change("avg_price").alias("avg_price_change_pct"))
+    return agg.select(*keys, "transaction_count", "avg_price",
+                      change("transaction_count").alias("transaction_count_change_pct"),
+                      change("_mean").alias("avg_price_change_pct"))
 
 
-def union_sources(sources: Mapping[str, tuple[DataFrame, str, str]], name: str = "artist") -> DataFrame:
+def union_sources(sources: Mapping[str, tuple[DataFrame, str, str]], name: str = "artist",
+                  formats: Sequence[str] = DATE_FORMATS, strict: bool = False) -> DataFrame:
     """SRC5 / ST2: sources with their own date and price column names, stacked as
-    ``<name>, date, price``. Dates that do not parse and prices that are not
-    numbers become NULL."""
+    ``<name>, date, price``. Text dates are read as ISO, then by ``formats`` in turn.
+    Dates that do not parse and prices that are not numbers become NULL, or with
+    ``strict`` fail the query."""
     parts = []
     for label, (df, date_col, price_col) in sources.items():
         dt = df.schema[date_col].dataType
         date = F.col(date_col) if isinstance(dt, (T.TimestampType, T.TimestampNTZType, T.DateType)) \
-            else F.try_to_timestamp(F.col(date_col).cast("string"))
+            else parse_date(date_col, formats, strict)
         price = F.col(price_col).cast("double") if isinstance(df.schema[price_col].dataType, T.NumericType) \
-            else clean_number(price_col)
+            else clean_number(price_col, strict)
         parts.append(df.select(F.lit(label).alias(name), date.cast("timestamp_ntz").alias("date"),
                                price.alias("price")))
     out = parts[0]
@@ -226,10 +255,10 @@ def years_union(stacked: DataFrame, span: Span | None = None) -> DataFrame:
 
 
 def top_by_total(sales: DataFrame, by: str = "artist", k: int = 20, value: str = "price",
-                 decimals: int = 2) -> DataFrame:
+                 scale: int = SCALE) -> DataFrame:
     """OP56: ``<by>, total`` -- sum of ``value`` (0 for a group of NULLs), top ``k``, NULL key dropped."""
-    agg = (sales.filter(F.col(by).isNotNull()).groupBy(by)
-           .agg(F.coalesce(money_sum(value, decimals), F.lit(0.0)).alias("total")))
+    agg = (summarise(sales, {by: F.col(by)}, value, scale).filter(F.col(by).isNotNull())
+           .select(by, F.coalesce(summary_total(), F.lit(0.0)).alias("total")))
     return agg.orderBy(F.col("total").desc(), F.col(by)).limit(k)
 
 
@@ -247,17 +276,17 @@ def profile_of_top(profiles: DataFrame, top: DataFrame, top_key: str) -> DataFra
                     "country_of_activity", "country_of_activity2", "number_museum"))
 
 
-def mean_by(profiles: DataFrame, by: Sequence[str], value: str = "number_museum", decimals: int = 2) -> DataFrame:
+def mean_by(profiles: DataFrame, by: Sequence[str], value: str = "number_museum", scale: int = SCALE) -> DataFrame:
     """OP58: mean of ``value`` by ``by``, descending; rows with a NULL key are dropped."""
     rows = profiles
     for c in by:
         rows = rows.filter(F.col(c).isNotNull())
-    return (rows.groupBy(*by).agg(money_mean(value, decimals).alias(value))
+    return (rows.groupBy(*by).agg(exact_mean(value, scale).alias(value))
             .orderBy(F.col(value).desc(), *[F.col(c) for c in by]))
 
 
 def yearly_summary_multi(sources: Mapping[str, tuple[DataFrame, str, str]], span: Span,
-                         name: str = "artist") -> DataFrame:
+                         name: str = "artist", fill: str | None = None) -> DataFrame:
     """OP53: per-source yearly summary from sources with their own date and price columns;
     the percent change is computed within each source."""
-    return yearly_summary(union_sources(sources, name), span, by=name)
+    return yearly_summary(union_sources(sources, name), span, by=name, fill=fill)

@@ -12,9 +12,13 @@ planner's size estimate is under ``spark.sql.autoBroadcastJoinThreshold``
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable, Mapping, Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.periods import Span
+from tidemark.operators.summaries import PARTS, summarise
 from tidemark.sources.tables import read_table
 
 
@@ -50,24 +54,61 @@ def sales_view(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
                       read_table(spark, sf_dir, "supplier"), *columns)
 
 
-def sales_from(lineitem: DataFrame, part: DataFrame, supplier: DataFrame, *columns: str) -> DataFrame:
-    """The sales view over given ``lineitem``, ``part`` and ``supplier`` DataFrames.
+_OF_PART = {"artist": "p_brand", "category_size": "p_type", "size": "p_size"}
+_OF_SUPPLIER = {"company": "s_name"}
+
+
+def _with_dimensions(lines: DataFrame, part: DataFrame, supplier: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``lines`` left-joined with those dimensions that ``columns`` come from, as view columns.
 
     Left joins: a sale whose part or supplier is absent stays, with NULL there.
     """
-    of_part = {"artist": F.col("p_brand"), "category_size": F.col("p_type"), "size": F.col("p_size").cast("double")}
-    of_supplier = {"company": F.col("s_name")}
-    known = {"artist": of_part["artist"], **of_supplier, "price": F.col("l_extendedprice"),
-             "date": F.col("l_shipdate"), **of_part}
-    columns = columns or tuple(known)
-    sales = lineitem.select("l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
-    if of_part.keys() & set(columns):
-        part = part.select("p_partkey", "p_brand", "p_type", "p_size")
-        sales = sales.join(part, F.col("l_partkey") == F.col("p_partkey"), "left")
-    if of_supplier.keys() & set(columns):
-        supplier = supplier.select("s_suppkey", "s_name")
-        sales = sales.join(supplier, F.col("l_suppkey") == F.col("s_suppkey"), "left")
-    return sales.select(*[known[c].alias(c) for c in columns])
+    if _OF_PART.keys() & set(columns):
+        part = part.select("p_partkey", F.col("p_brand").alias("artist"), F.col("p_type").alias("category_size"),
+                           F.col("p_size").cast("double").alias("size"))
+        lines = lines.join(part, F.col("l_partkey") == F.col("p_partkey"), "left")
+    if _OF_SUPPLIER.keys() & set(columns):
+        supplier = supplier.select("s_suppkey", F.col("s_name").alias("company"))
+        lines = lines.join(supplier, F.col("l_suppkey") == F.col("s_suppkey"), "left")
+    return lines
+
+
+def _lines(lineitem: DataFrame) -> DataFrame:
+    return lineitem.select("l_partkey", "l_suppkey", F.col("l_extendedprice").alias("price"), F.col("l_shipdate").alias("date"))
+
+
+def sales_from(lineitem: DataFrame, part: DataFrame, supplier: DataFrame, *columns: str) -> DataFrame:
+    """The sales view over given ``lineitem``, ``part`` and ``supplier`` DataFrames."""
+    columns = columns or ("artist", "company", "price", "date", "category_size", "size")
+    return _with_dimensions(_lines(lineitem), part, supplier, columns).select(*columns)
+
+
+def sales_summary(spark: SparkSession, sf_dir: str, columns: Sequence[str],
+                  by: Mapping[str, Callable[[DataFrame], Column]] | None = None,
+                  span: Span | None = None) -> DataFrame:
+    """Sums and counts of the sales lines by the dimension ``columns`` and the line
+    keys ``by`` (name to a function of the lines), for the reports that take a summary."""
+    return summary_from(read_table(spark, sf_dir, "lineitem"), read_table(spark, sf_dir, "part"),
+                        read_table(spark, sf_dir, "supplier"), columns, by, span)
+
+
+def summary_from(lineitem: DataFrame, part: DataFrame, supplier: DataFrame, columns: Sequence[str],
+                 by: Mapping[str, Callable[[DataFrame], Column]] | None = None, span: Span | None = None) -> DataFrame:
+    """``sales_summary`` over given DataFrames.
+
+    Lines are summed by their part and supplier keys before any join, so a join moves at
+    most one row per key (and line key) however many lines a part or supplier has.
+    """
+    lines = _lines(lineitem)
+    if span is not None:
+        lines = span.apply(lines, "date")
+    own = {name: key(lines) for name, key in (by or {}).items()}
+    keys = {}
+    if _OF_PART.keys() & set(columns):
+        keys["l_partkey"] = F.col("l_partkey")
+    if _OF_SUPPLIER.keys() & set(columns):
+        keys["l_suppkey"] = F.col("l_suppkey")
+    return _with_dimensions(summarise(lines, keys | own), part, supplier, columns).select(*columns, *own, *PARTS)
 
 
 def profiles_view(spark: SparkSession, sf_dir: str) -> DataFrame:
