@@ -97,3 +97,29 @@ def test_one_pass_outside_window_equals_composed(spark):
     one = acquisition.existing_activity_one_pass(o, P.FIRST_SPAN, None, wide)
     assert sorted(tuple(r) for r in one.collect()) == sorted(tuple(r) for r in composed.collect())
     assert one.count() > 0
+
+
+def test_one_pass_report_and_rate_equal_the_composed_ones(spark):
+    """Random small order tables, NULL users among them."""
+    import random
+
+    rng = random.Random(5)
+    first, span = Span("2023-02-01", "2023-09-30"), Span("2023-04-01", "2023-12-31")
+    for case in range(4):
+        users = [1, 2, 3, 4, 5, 6] + ([None] if case == 3 else [])
+        rows = [(rng.choice(users), f"2023-{rng.randint(1, 12):02d}-{rng.randint(1, 28):02d}") for _ in range(20 + 10 * case)]
+        o = _o(spark, rows)
+        for since in ("2023-03", "2023-06"):
+            born = acquisition.new_customers(acquisition.first_orders(o, first), since)
+            totals = acquisition.monthly_totals(o, span)
+            composed = acquisition.acquisition_report(born, acquisition.existing_activity(o, born, span), totals)
+            one = acquisition.acquisition_report_one_pass(o, first, since, span)
+            assert one.columns == composed.columns
+            assert [tuple(r) for r in one.collect()] == sorted(tuple(r) for r in composed.collect())
+            born_by_month = {}
+            for r in born.collect():
+                born_by_month.setdefault(r.first_order_month, set()).add(r.user_id)
+            expected = [(r.order_month, len(born_by_month[r.order_month] - {None}), r.total_customers)
+                        for r in sorted(totals.collect()) if r.order_month in born_by_month]
+            rate = acquisition.new_customer_rate(o, first, since, span).collect()
+            assert [(r.month, r.new_customers, r.total_customers) for r in rate] == expected

@@ -161,3 +161,21 @@ def test_last_order_from_the_grades_pass(spark):
                         .filter("user_id is not null").collect())
     direct = sorted((r.user_id, r.last_order_date) for r in lapse.last_order(o).filter("user_id is not null").collect())
     assert via_grades == direct == [(1, ts("2024-05-03 23:59:59")), (2, ts("2024-01-01"))]
+
+
+def test_cohort_trend_one_pass_equals_the_composed_one(spark):
+    import random
+
+    import pytest
+
+    rng = random.Random(6)
+    span = Span("2023-01-15", "2023-10-01", closed=False)
+    rows = [(rng.choice([1, 2, 3, 4, None]), i, 1.0, ts(f"2023-{rng.randint(1, 12):02d}-{rng.randint(1, 28):02d}")) for i in range(60)]
+    o = spark.createDataFrame(rows, ORDERS_SCHEMA)
+    for since in ("2022-12-01", "2023-05-10"):
+        for k in (2, 3):
+            composed = lapse.cohort_trend(o, lapse.consistent_counts(o, span, "quarter", k), since)
+            one = lapse.cohort_trend_one_pass(o, span, "quarter", k, since)
+            assert [tuple(r) for r in one.collect()] == sorted(tuple(r) for r in composed.collect())
+    with pytest.raises(ValueError):
+        lapse.cohort_trend_one_pass(o, span, "month", 2, "2023-01-01", "quarter")

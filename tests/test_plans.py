@@ -55,12 +55,22 @@ def _composed_active_periods(spark, sf_dir):
     return lapse.active_periods(o, P.PATTERN_SPAN, lapse.lapsed(o, P.LAPSE_ACTIVE, P.LAPSE_SILENT), P.PATTERN_GRAIN)
 
 
+def _composed_cohort_trend(spark, sf_dir):
+    from tidemark.operators import lapse
+    from tidemark.plans import params as P
+    from tidemark.sources.views import orders_view
+
+    o = orders_view(spark, sf_dir)
+    cohort = lapse.consistent_counts(o, P.CONSISTENT_SPAN, P.CONSISTENT_GRAIN, P.CONSISTENT_K)
+    return lapse.cohort_trend(o, cohort, P.TREND_SINCE)
+
+
 PLAN_BUILDERS = {**QUERIES, "existing_activity_composed": _composed_existing_activity,
-                 "active_periods_composed": _composed_active_periods}
+                 "active_periods_composed": _composed_active_periods, "cohort_trend_composed": _composed_cohort_trend}
 
 
 @pytest.mark.parametrize("name,join", [("existing_activity_composed", "SortMergeJoin LeftAnti"),
-                                       ("cohort_trend", "SortMergeJoin LeftSemi"),
+                                       ("cohort_trend_composed", "SortMergeJoin LeftSemi"),
                                        ("active_periods_composed", "SortMergeJoin LeftSemi")])
 def test_join_on_user_sees_aggregated_rows_when_not_broadcast(spark, name, join):
     """At scale the cohort side is too big to broadcast; the orders side must
@@ -79,7 +89,8 @@ def test_join_on_user_sees_aggregated_rows_when_not_broadcast(spark, name, join)
 
 
 @pytest.mark.parametrize("name", ["existing_activity", "existing_outside_window", "still_lapsed", "lapse_counts",
-                                  "lapsed", "active_periods", "consistent_buyers"])
+                                  "lapsed", "active_periods", "consistent_buyers", "acquisition_report", "new_customer_rate",
+                                  "month_text_to_date", "cohort_trend"])
 def test_one_pass_queries_scan_orders_once_without_joins(spark, name):
     df = QUERIES[name](spark, SF01)
     tree = df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted").split("\n\n\n")[0]
@@ -92,3 +103,28 @@ def test_one_pass_queries_scan_orders_once_without_joins(spark, name):
 def test_sales_queries_join_only_the_tables_they_use(spark, name, joins):
     plan = QUERIES[name](spark, SF01)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join ") == joins, plan
+
+
+@pytest.mark.parametrize("name", ["monthly_mean_by_category", "category_counts", "monthly_price_and_count",
+                                  "monthly_price_and_count_since", "compare_before_after", "top_companies",
+                                  "top_artist_company", "top_artists", "money_text", "profile_of_top", "mean_by_birth",
+                                  "mean_by_activity", "mean_by_both"])
+def test_sales_lines_are_summed_before_they_move(spark, name):
+    """Broadcasting off: above the scan of the lines stands an aggregate before any exchange or join."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = _plan(QUERIES[name](spark, SF01)).splitlines()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    scans = [i for i, line in enumerate(plan) if "FileScan" in line and ("l_partkey" in line or "l_suppkey" in line)]
+    assert scans
+    for at in scans:
+        here, above = depth(plan[at]), []
+        for line in reversed(plan[:at]):
+            if depth(line) < here:
+                here = depth(line)
+                above.append(line)
+        first = next(x for x in above if any(w in x for w in ("Aggregate", "Exchange", "Join")))
+        assert "Aggregate" in first, "\n".join(plan)

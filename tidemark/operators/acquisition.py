@@ -48,6 +48,15 @@ def existing_activity_one_pass(orders: DataFrame, first_span: Span, since: str |
     with ``since=None`` every user with a first-span order is excluded, which
     is ``existing_outside_window`` (OP32).
     """
+    rows = _flagged(orders, first_span, since, span, grain, key).filter("_rows > 0 AND _existing")
+    return (rows.groupBy(label_of_start("_start", grain).alias("order_month"))
+            .agg(F.count(key).alias("active_customers"), F.sum("_n").cast("long").alias("total_orders")))
+
+
+def _per_period(orders: DataFrame, first_span: Span, since: str | None, span: Span, grain: str, key: str) -> DataFrame:
+    """One scan of both spans, one row per (user, period): ``_first`` (earliest first-span
+    order), ``_n`` and ``_rows`` (activity-span orders), ``_new`` (a new customer) and
+    ``_born`` (a new customer's first period is this one)."""
     f, a = first_span.predicate(orders, "ts"), span.predicate(orders, "ts")
     per = (orders.filter(f | a)
            .groupBy(key, period_trunc("ts", grain).alias("_start"))
@@ -56,20 +65,23 @@ def existing_activity_one_pass(orders: DataFrame, first_span: Span, since: str |
                 F.count(F.when(a, F.lit(1))).alias("_rows")))
     first_ts = F.min("_first").over(Window.partitionBy(key))
     is_new = first_ts.isNotNull() if since is None else F.coalesce(period_key(first_ts, grain) >= since, F.lit(False))
-    flagged = per.withColumn("_new", is_new)
+    return per.withColumn("_new", is_new).withColumn("_born", F.col("_new") & F.coalesce(F.col("_first") == first_ts, F.lit(False)))
+
+
+def _flagged(orders: DataFrame, first_span: Span, since: str | None, span: Span, grain: str, key: str) -> DataFrame:
+    """``_per_period`` rows with ``_existing``: the user is NOT IN the new customers."""
+    flagged = _per_period(orders, first_span, since, span, grain, key)
     stats = flagged.select(F.struct(
         F.max(F.col("_new").cast("int")).alias("any_new"),
         F.coalesce(F.max(F.when(F.col(key).isNull(), F.col("_new").cast("int"))), F.lit(0)).alias("null_new"),
         F.max("_n").alias("max_n"),      # read every aggregated column, so the subquery's
         F.max("_rows").alias("max_rows"),  # plan equals the main one and its shuffle is reused
+        F.max("_first").alias("max_first"),
     ).alias("g")).scalar()
     g = F.col("_g")
-    keep = (F.col("_rows") > 0) & (
-        (F.coalesce(g.any_new, F.lit(0)) == 0)
-        | (F.col(key).isNotNull() & ~F.col("_new") & (g.null_new == 0)))
-    rows = flagged.withColumn("_g", stats).filter(keep)
-    return (rows.groupBy(label_of_start("_start", grain).alias("order_month"))
-            .agg(F.count(key).alias("active_customers"), F.sum("_n").cast("long").alias("total_orders")))
+    existing = ((F.coalesce(g.any_new, F.lit(0)) == 0)
+                | (F.col(key).isNotNull() & ~F.col("_new") & (g.null_new == 0)))
+    return flagged.withColumn("_g", stats).withColumn("_existing", existing).drop("_g")
 
 
 def monthly_totals(orders: DataFrame, span: Span, grain: str = "month",
@@ -101,6 +113,27 @@ def acquisition_report(new: DataFrame, existing: DataFrame, monthly: DataFrame,
     )
 
 
+def acquisition_report_one_pass(orders: DataFrame, first_span: Span, since: str, span: Span,
+                                grain: str = "month", key: str = "user_id") -> DataFrame:
+    """OP31 in one scan of the orders, in order of month; equal to ``acquisition_report`` of its three inputs.
+
+    The (user, period) rows of both spans hold all three sides, so a report row is one conditional aggregate
+    and a period that a side lacks is dropped by its counts.
+    """
+    active, existing = F.col("_rows") > 0, (F.col("_rows") > 0) & F.col("_existing")
+    per = (_flagged(orders, first_span, since, span, grain, key)
+           .groupBy(label_of_start("_start", grain).alias("month"))
+           .agg(F.count(F.when(F.col("_born"), F.col(key))).alias("new_customers"),
+                F.count(F.when(existing, F.col(key))).alias("existing_customers"),
+                F.sum(F.when(existing, F.col("_n"))).cast("long").alias("existing_total_orders"),
+                F.count(F.when(active, F.col(key))).alias("total_customers"),
+                F.sum(F.when(active, F.col("_n"))).cast("long").alias("monthly_total_orders"),
+                F.bool_or("_born").alias("_a"), F.bool_or(existing).alias("_b"), F.bool_or(active).alias("_c"))
+           .filter("_a AND _b AND _c"))
+    rate = F.try_divide(F.col("new_customers"), F.col("total_customers")) * 100
+    return per.drop("_a", "_b", "_c").withColumn("new_customer_rate", rate).orderBy("month")
+
+
 def existing_outside_window(orders: DataFrame, first: DataFrame, span: Span, grain: str = "month",
                             key: str = "user_id") -> DataFrame:
     """OP32: activity in ``span`` of users NOT IN ``first``.
@@ -113,12 +146,14 @@ def existing_outside_window(orders: DataFrame, first: DataFrame, span: Span, gra
 
 def new_customer_rate(orders: DataFrame, first_span: Span, since: str, monthly_span: Span,
                       grain: str = "month", key: str = "user_id") -> DataFrame:
-    """OP33: ``month, new_customers, total_customers, new_customer_rate`` (percent)."""
-    first = first_orders(orders, first_span, grain, key)
-    # first_orders has one row per user, so a plain count is the distinct count
-    per_month = (new_customers(first, since).groupBy("first_order_month")
-                 .agg(F.count(key).alias("new_customers")))
-    totals = monthly_totals(orders, monthly_span, grain).select(F.col("order_month").alias("_m"), "total_customers")
-    return (per_month.join(totals, per_month.first_order_month == totals._m)
-            .select(F.col("first_order_month").alias("month"), "new_customers", "total_customers",
-                    (F.col("new_customers") / F.col("total_customers") * 100).alias("new_customer_rate")))
+    """OP33: ``month, new_customers, total_customers, new_customer_rate`` (percent), in order
+    of month, from one scan; a month without a new or without an active customer is dropped."""
+    active = F.col("_rows") > 0
+    per = (_per_period(orders, first_span, since, monthly_span, grain, key)
+           .groupBy(label_of_start("_start", grain).alias("month"))
+           .agg(F.count(F.when(F.col("_born"), F.col(key))).alias("new_customers"),
+                F.count(F.when(active, F.col(key))).alias("total_customers"),
+                F.bool_or("_born").alias("_a"), F.bool_or(active).alias("_c"))
+           .filter("_a AND _c"))
+    rate = F.try_divide(F.col("new_customers"), F.col("total_customers")) * 100
+    return per.drop("_a", "_c").withColumn("new_customer_rate", rate).orderBy("month")

@@ -12,10 +12,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.periods import Span, period_trunc
+from tidemark.functions.text import parse_date
 from tidemark.operators import acquisition, churn, gaps, grades, lapse, ranking, sales
 from tidemark.plans import params as P
 from tidemark.sources.tables import read_table
-from tidemark.sources.views import events_view, orders_view, profiles_view, sales_view
+from tidemark.sources.views import events_view, orders_view, profiles_view, sales_summary, sales_view
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -151,7 +153,8 @@ def q_consistent_counts(spark, sf_dir):
 
 @register("cohort_trend")
 def q_cohort_trend(spark, sf_dir):
-    return lapse.cohort_trend(orders_view(spark, sf_dir), _consistent_counts(spark, sf_dir), P.TREND_SINCE)
+    return lapse.cohort_trend_one_pass(orders_view(spark, sf_dir), P.CONSISTENT_SPAN, P.CONSISTENT_GRAIN,
+                                       P.CONSISTENT_K, P.TREND_SINCE)
 
 
 @register("ts_format_audit")
@@ -260,7 +263,7 @@ def q_monthly_totals(spark, sf_dir):
 
 @register("acquisition_report")
 def q_acquisition_report(spark, sf_dir):
-    return acquisition.acquisition_report(_new(spark, sf_dir), _existing(spark, sf_dir), _monthly(spark, sf_dir))
+    return acquisition.acquisition_report_one_pass(orders_view(spark, sf_dir), P.FIRST_SPAN, P.NEW_SINCE, P.ACTIVITY_SPAN)
 
 
 @register("existing_outside_window")
@@ -268,6 +271,11 @@ def q_existing_outside_window(spark, sf_dir):
     return acquisition.existing_activity_one_pass(orders_view(spark, sf_dir), P.FIRST_SPAN, None, P.ACTIVITY_SPAN)
 
 
+@register("existing_later")
+def q_existing_later(spark, sf_dir):
+    return acquisition.existing_activity_one_pass(orders_view(spark, sf_dir), P.LATER_FIRST_SPAN, None, P.ACTIVITY_SPAN)
+
+
 def _rate(spark, sf_dir):
     return acquisition.new_customer_rate(orders_view(spark, sf_dir), P.RATE_FIRST_SPAN, P.RATE_SINCE,
                                          P.RATE_MONTHLY_SPAN)
@@ -329,6 +337,57 @@ def q_month_text_to_date(spark, sf_dir):
 
 # ---- sales analytics -------------------------------------------------------------
 
+# Line keys of the sales summaries.
+def _month_start(lines):
+    return period_trunc("date", "month")
+
+
+def _month_end(lines):
+    return F.last_day("date")
+
+
+def _side(lines):
+    return sales.side_of("date", P.SALES_CUT, lines)
+
+
+@register("parse_date")
+def q_parse_date(spark, sf_dir):
+    """Order dates written in one of four ways, read back."""
+    o = read_table(spark, sf_dir, "orders")
+    way = F.pmod("o_orderkey", F.lit(len(P.DATE_TEXTS)))
+    text = F.coalesce(*[F.when(way == i, F.date_format("o_orderdate", f)) for i, f in enumerate(P.DATE_TEXTS)])
+    return o.select(F.col("o_orderkey").alias("order_id"), text.alias("date_text")).select(
+        "order_id", "date_text", parse_date("date_text", strict=True).cast("date").alias("order_date"))
+
+
+@register("distinct_values")
+def q_distinct_values(spark, sf_dir):
+    return sales.distinct_values(read_table(spark, sf_dir, "part"), "p_brand")
+
+
+@register("first_rows")
+def q_first_rows(spark, sf_dir):
+    return sales.first_rows(orders_view(spark, sf_dir), P.TOP_K, "ts")
+
+
+@register("volume_before_after_rows")
+def q_volume_before_after_rows(spark, sf_dir):
+    return sales.volume_before_after(sales_view(spark, sf_dir, "price", "date"), P.SALES_CUT, count_rows=True)
+
+
+@register("monthly_price_and_count_since")
+def q_monthly_price_and_count_since(spark, sf_dir):
+    lines = sales_summary(spark, sf_dir, ["category_size"], {"month": _month_end}, Span(P.SALES_SINCE, None))
+    return sales.monthly_price_and_count(lines, P.SALES_CATEGORY)
+
+
+@register("yearly_summary_padded")
+def q_yearly_summary_padded(spark, sf_dir):
+    o = orders_view(spark, sf_dir)
+    amount = F.when(~F.year("ts").isin(*P.PADDED_YEARS), F.col("amount"))
+    return sales.yearly_summary(o.withColumn("amount", amount), P.YEARLY_SPAN, "ts", "amount", fill="pad")
+
+
 @register("clean_number")
 def q_clean_number(spark, sf_dir):
     o = read_table(spark, sf_dir, "orders").select(
@@ -366,32 +425,32 @@ def q_size_price_points(spark, sf_dir):
 
 @register("monthly_mean_by_category")
 def q_monthly_mean_by_category(spark, sf_dir):
-    return sales.monthly_mean_by_category(sales_view(spark, sf_dir, "price", "date", "category_size"))
+    return sales.monthly_mean_by_category(sales_summary(spark, sf_dir, ["category_size"], {"month_start": _month_start}))
 
 
 @register("category_counts")
 def q_category_counts(spark, sf_dir):
-    return sales.category_counts(sales_view(spark, sf_dir, "category_size"))
+    return sales.category_counts(sales_summary(spark, sf_dir, ["category_size"]))
 
 
 @register("monthly_price_and_count")
 def q_monthly_price_and_count(spark, sf_dir):
-    return sales.monthly_price_and_count(sales_view(spark, sf_dir, "price", "date", "category_size"), P.SALES_CATEGORY)
+    return sales.monthly_price_and_count(sales_summary(spark, sf_dir, ["category_size"], {"month": _month_end}), P.SALES_CATEGORY)
 
 
 @register("compare_before_after")
 def q_compare_before_after(spark, sf_dir):
-    return sales.compare_before_after(sales_view(spark, sf_dir, "price", "date", "category_size"), P.SALES_CUT, "category_size")
+    return sales.compare_before_after(sales_summary(spark, sf_dir, ["category_size"], {"side": _side}), P.SALES_CUT, "category_size")
 
 
 @register("top_companies")
 def q_top_companies(spark, sf_dir):
-    return sales.top_groups_by_mean(sales_view(spark, sf_dir, "company", "price"), ["company"], P.TOP_K)
+    return sales.top_groups_by_mean(sales_summary(spark, sf_dir, ["company"]), ["company"], P.TOP_K)
 
 
 @register("top_artist_company")
 def q_top_artist_company(spark, sf_dir):
-    return sales.top_groups_by_mean(sales_view(spark, sf_dir, "artist", "company", "price"), ["artist", "company"], P.TOP_K, P.TOP_MIN_COUNT)
+    return sales.top_groups_by_mean(sales_summary(spark, sf_dir, ["artist", "company"]), ["artist", "company"], P.TOP_K, P.TOP_MIN_COUNT)
 
 
 @register("yearly_summary")
@@ -419,16 +478,16 @@ def q_years_union(spark, sf_dir):
 
 @register("top_artists")
 def q_top_artists(spark, sf_dir):
-    return sales.top_by_total(sales_view(spark, sf_dir, "artist", "price"), "artist", P.TOP_TOTAL_K)
+    return sales.top_by_total(sales_summary(spark, sf_dir, ["artist"]), "artist", P.TOP_TOTAL_K)
 
 
 @register("money_text")
 def q_money_text(spark, sf_dir):
-    return sales.with_money_text(sales.top_by_total(sales_view(spark, sf_dir, "artist", "price"), "artist", P.TOP_TOTAL_K), "total")
+    return sales.with_money_text(sales.top_by_total(sales_summary(spark, sf_dir, ["artist"]), "artist", P.TOP_TOTAL_K), "total")
 
 
 def _profile_of_top(spark, sf_dir):
-    top = sales.top_by_total(sales_view(spark, sf_dir, "company", "price"), "company", P.TOP_TOTAL_K)
+    top = sales.top_by_total(sales_summary(spark, sf_dir, ["company"]), "company", P.TOP_TOTAL_K)
     return sales.profile_of_top(profiles_view(spark, sf_dir), top, "company")
 
 

@@ -52,6 +52,7 @@ CURVE_FOLLOW = ["2024-01-05", "2024-01-06", "2024-01-07"]
 FIRST_SPAN = Span("1995-01-01", "1997-12-31")
 NEW_SINCE = "1996-06"
 ACTIVITY_SPAN = Span("1996-06-01", "1997-12-31")
+LATER_FIRST_SPAN = Span("1995-01-01", "1996-12-31")  # OP32 over a span that leaves rows
 # New-customer rate (OP33).
 RATE_FIRST_SPAN = Span("1995-01-01", "1998-12-31")
 RATE_SINCE = "1996-06"
@@ -71,6 +72,9 @@ GAP_WINDOW_TARGETS = ["2024-01-05", "2024-01-06", "2024-01-07", "2024-01-08"]
 # Sales analytics (OP40-OP58) on lineitem x part x supplier.
 SALES_CUT = "1998-07-01"
 SALES_CATEGORY = "MEDIUM"
+SALES_SINCE = "1999-01-01"
+PADDED_YEARS = (1997, 1998)  # their amounts are blanked, so that a mean must be padded
+DATE_TEXTS = ("yyyy-MM-dd", "yyyy/MM/dd", "MM/dd/yyyy", "MMMM d, yyyy")
 TOP_K = 10
 TOP_MIN_COUNT = 10
 YEARLY_SPAN = Span("1995-06-01", "2000-12-31")

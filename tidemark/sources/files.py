@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.operators.sales import union_sources
@@ -23,21 +24,32 @@ def read_sheet(spark: SparkSession, path: str, schema: T.StructType | str | None
                fmt: str = "csv", header: bool = True) -> DataFrame:
     """SRC2 / SRC3: one sheet (dataset) as a DataFrame with trimmed column names.
 
-    CSV cells that do not fit the declared type load as NULL (PERMISSIVE),
+    With a header, the fields of ``schema`` are found by their trimmed names, whatever the
+    order of the columns; a field that the sheet lacks is an error. Without one they go by
+    position. CSV cells that do not fit the declared type load as NULL,
     like a coerced spreadsheet read.
     """
     reader = spark.read.format(fmt)
     if fmt == "csv":
         reader = reader.option("header", header).option("mode", "PERMISSIVE")
-    if schema is not None:
-        reader = reader.schema(schema)
-    return trim_column_names(reader.load(path))
-
-
-def read_sheets(spark: SparkSession, paths: Mapping[str, str], schema: T.StructType | str | None = None,
+        if schema is not None and not header:
+            reader = reader.schema(schema)
+    sheet = trim_column_names(reader.load(path))
+    if schema is None or (fmt == "csv" and not header):
+        return sheet
+    fields = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    missing = [f.name for f in fields if f.name not in sheet.columns]
+    if missing:
+        raise ValueError(f"{path} has no column(s) {missing}; it has {sheet.columns}")
+    return sheet.select(*[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in fields])
+
+
+def read_sheets(spark: SparkSession, paths: Mapping[str, str],
+                schema: Mapping[str, T.StructType | str] | T.StructType | str | None = None,
                 fmt: str = "csv") -> dict[str, DataFrame]:
-    """SRC4: several sheets by name."""
-    return {name: read_sheet(spark, p, schema, fmt) for name, p in paths.items()}
+    """SRC4: several sheets by name, with one schema for all or a mapping of one per sheet."""
+    own = schema if isinstance(schema, Mapping) else dict.fromkeys(paths, schema)
+    return {name: read_sheet(spark, p, own.get(name), fmt) for name, p in paths.items()}
 
 
 def read_sources(spark: SparkSession, specs: Mapping[str, tuple[str, str, str]], fmt: str = "csv",
