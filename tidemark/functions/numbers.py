@@ -1,17 +1,21 @@
 """Sums and means of numbers that do not depend on how rows were partitioned.
 
-Values are added as decimals of ``scale`` places (further places are rounded), so
-every order of addition gives the same total. Values that no such decimal holds
-(infinite or over 22 digits before the point) are added as doubles on top. NaN is
-a missing number, as NULL is.
+Values are added in units of ``10**-scale`` (further places are rounded), so every order
+of addition gives the same total. A value below 2**52 units is added as three limbs of a
+long (21 bits each, so that 2**42 rows cannot overflow a sum): no decimal is made
+per row. Larger ones are added as decimals, and those that no decimal holds (infinite or
+over 22 digits before the point) as doubles on top. NaN is a missing number, as NULL is.
 """
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SCALE = 6
+_BITS = 21
 
 
 def number(c: str | Column) -> Column:
@@ -20,22 +24,37 @@ def number(c: str | Column) -> Column:
     return F.nullif(x.cast("double"), F.lit(float("nan")))
 
 
-def sum_parts(c: str | Column, scale: int = SCALE) -> tuple[Column, Column]:
-    """Two aggregates whose ``total`` is the sum: the decimal part and the part that does not fit one."""
-    x = number(c)
-    exact = x.try_cast(f"decimal(28,{scale})")
-    return F.sum(exact), F.sum(F.when(exact.isNull(), x))
+def units(c: str | Column, scale: int = SCALE) -> Column:
+    """The value in whole units of ``10**-scale``; NULL from 2**52 units on."""
+    x = number(c) * F.lit(10.0 ** scale)
+    return F.when(F.abs(x) < F.lit(2.0 ** 52), F.rint(x).cast("long"))
 
 
-def total(exact: str | Column, rest: str | Column) -> Column:
-    """The sum as double from its two parts; NULL when no row had a number."""
-    exact, rest = (F.col(c) if isinstance(c, str) else c for c in (exact, rest))
-    exact = exact.cast("double")
+def sum_parts(c: str | Column, scale: int = SCALE, n: Column | None = None) -> dict[str, Column]:
+    """The aggregates that ``total`` makes a sum of; each may be summed further. ``n`` is a
+    column with the value's ``units``, where they were computed beforehand (once per row)."""
+    x = number(c)
+    n = units(c, scale) if n is None else n
+    low = F.lit((1 << _BITS) - 1)
+    big = F.when(n.isNull() & x.isNotNull(), x.try_cast(f"decimal(28,{scale})"))
+    return {"_low": F.sum(n.bitwiseAND(low)), "_mid": F.sum(F.shiftright(n, _BITS).bitwiseAND(low)),
+            "_high": F.sum(F.shiftright(n, 2 * _BITS)), "_big": F.sum(big),
+            "_rest": F.sum(F.when(n.isNull() & x.isNotNull() & big.isNull(), x))}
+
+
+def total(parts: dict[str, Column], scale: int = SCALE) -> Column:
+    """The sum as double from its parts; NULL when no row had a number."""
+    limbs = [parts[p].cast("decimal(20,0)") * F.lit(Decimal(1 << k * _BITS).scaleb(-scale))
+             for k, p in enumerate(("_low", "_mid", "_high"))]
+    small = limbs[0] + limbs[1] + limbs[2]
+    big, rest = parts["_big"], parts["_rest"]
+    exact = F.when(big.isNull(), small.cast("double")).otherwise(
+        (F.coalesce(small, F.lit(0).cast(f"decimal(36,{scale})")) + big).cast("double"))
     return F.when(rest.isNull(), exact).otherwise(F.coalesce(exact, F.lit(0.0)) + rest)
 
 
 def exact_sum(c: str | Column, scale: int = SCALE) -> Column:
-    return total(*sum_parts(c, scale))
+    return total(sum_parts(c, scale), scale)
 
 
 def exact_mean(c: str | Column, scale: int = SCALE) -> Column:

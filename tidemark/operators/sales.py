@@ -90,9 +90,9 @@ def volume_before_after(sales: DataFrame, cut: str, count_rows: bool = False, da
 def mean_before_after(sales: DataFrame, value: str, cut: str, date_col: str = "date",
                       scale: int = SCALE) -> DataFrame:
     """OP43: ``period, avg_price`` -- mean of ``value`` on each side (NULL for an empty side)."""
-    before, after = _side(F.col(date_col), cut, sales, date_col)
-    one = sales.agg(exact_mean(F.when(before, F.col(value)), scale).alias("_b"),
-                    exact_mean(F.when(after, F.col(value)), scale).alias("_a"))
+    sides = summarise(sales, {"side": side_of(date_col, cut, sales)}, value, scale).withColumn("mean", summary_mean(scale))
+    one = sides.agg(F.max(F.when(F.col("side") == BEFORE, F.col("mean"))).alias("_b"),
+                    F.max(F.when(F.col("side") == AFTER, F.col("mean"))).alias("_a"))
     return one.select(F.explode(F.array(
         F.struct(F.lit(BEFORE).alias("period"), F.col("_b").alias("avg_price")),
         F.struct(F.lit(AFTER).alias("period"), F.col("_a").alias("avg_price")),
@@ -126,7 +126,7 @@ def monthly_mean_by_category(sales: DataFrame, scale: int = SCALE) -> DataFrame:
     by = {"month_start": period_trunc("date", "month"), "category_size": F.col("category_size")}
     agg = summarise(sales, by, scale=scale).where("month_start IS NOT NULL AND category_size IS NOT NULL")
     return agg.select(label_of_start("month_start", "month").alias("year_month"), "category_size",
-                      summary_mean().alias("price"))
+                      summary_mean(scale).alias("price"))
 
 
 def category_counts(sales: DataFrame, column: str = "category_size") -> DataFrame:
@@ -150,7 +150,7 @@ def monthly_price_and_count(sales: DataFrame, category: str, since: str | None =
     by = {"month": F.col("month") if is_summary(sales) else F.last_day("date")}
     rows = sales.filter(F.col("category_size") == category)
     agg = summarise(rows, by, scale=scale).where("month IS NOT NULL")
-    return agg.select("month", summary_mean().alias("price"), F.col("_n").alias("sales_count"))
+    return agg.select("month", summary_mean(scale).alias("price"), F.col("_n").alias("sales_count"))
 
 
 def compare_before_after(sales: DataFrame, cut: str, by: str = "category_size", scale: int = SCALE) -> DataFrame:
@@ -163,7 +163,7 @@ def compare_before_after(sales: DataFrame, cut: str, by: str = "category_size",
     """
     keys = {by: F.col(by), "side": F.col("side") if is_summary(sales) else side_of("date", cut, sales)}
     sides = summarise(sales, keys, scale=scale).where(F.col(by).isNotNull() & F.col("side").isNotNull())
-    sides = sides.select(by, "side", F.col("_n").alias("n"), summary_mean().alias("mean"))
+    sides = sides.select(by, "side", F.col("_n").alias("n"), summary_mean(scale).alias("mean"))
     b, a = F.col("side") == BEFORE, F.col("side") == AFTER
     agg = sides.groupBy(by).agg(
         F.count("side").alias("_sides"),
@@ -192,7 +192,7 @@ def top_groups_by_mean(sales: DataFrame, by: Sequence[str], k: int = 10, min_cou
     agg = summarise(sales, {c: F.col(c) for c in by}, value, scale)
     for c in by:
         agg = agg.filter(F.col(c).isNotNull())
-    agg = agg.select(*by, summary_mean().alias("mean_price"), F.col("_n").alias("transaction_count"))
+    agg = agg.select(*by, summary_mean(scale).alias("mean_price"), F.col("_n").alias("transaction_count"))
     if min_count is not None:
         agg = agg.filter(F.col("transaction_count") >= min_count)
     return agg.orderBy(F.col("mean_price").desc_nulls_last(), *[F.col(c).asc() for c in by]).limit(k)
@@ -215,7 +215,7 @@ def yearly_summary(sales: DataFrame, span: Span, date_col: str = "date", value:
         rows = rows.filter(F.col(by).isNotNull())
     keys = ({by: F.col(by)} if by else {}) | {"year": F.year(date_col).cast("long")}
     agg = summarise(rows, keys, value, scale).select(*keys, F.col("_n").alias("transaction_count"),
-                                                     summary_mean().alias("avg_price"))
+                                                     summary_mean(scale).alias("avg_price"))
     w = (Window.partitionBy(by) if by else Window.partitionBy()).orderBy("year")
     mean = F.col("avg_price")
     if fill == "pad":
@@ -258,7 +258,7 @@ def top_by_total(sales: DataFrame, by: str = "artist", k: int = 20, value: str =
                  scale: int = SCALE) -> DataFrame:
     """OP56: ``<by>, total`` -- sum of ``value`` (0 for a group of NULLs), top ``k``, NULL key dropped."""
     agg = (summarise(sales, {by: F.col(by)}, value, scale).filter(F.col(by).isNotNull())
-           .select(by, F.coalesce(summary_total(), F.lit(0.0)).alias("total")))
+           .select(by, F.coalesce(summary_total(scale), F.lit(0.0)).alias("total")))
     return agg.orderBy(F.col("total").desc(), F.col(by)).limit(k)
 
 

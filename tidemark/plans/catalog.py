@@ -12,7 +12,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.periods import Span, period_trunc
 from tidemark.functions.text import parse_date
 from tidemark.operators import acquisition, churn, gaps, grades, lapse, ranking, sales
 from tidemark.plans import params as P
@@ -337,15 +336,7 @@ def q_month_text_to_date(spark, sf_dir):
 
 # ---- sales analytics -------------------------------------------------------------
 
-# Line keys of the sales summaries.
-def _month_start(lines):
-    return period_trunc("date", "month")
-
-
-def _month_end(lines):
-    return F.last_day("date")
-
-
+# Reports by month read the lines themselves: a part has fewer lines than months, so a sum by part and month reduces nothing.
 def _side(lines):
     return sales.side_of("date", P.SALES_CUT, lines)
 
@@ -377,8 +368,8 @@ def q_volume_before_after_rows(spark, sf_dir):
 
 @register("monthly_price_and_count_since")
 def q_monthly_price_and_count_since(spark, sf_dir):
-    lines = sales_summary(spark, sf_dir, ["category_size"], {"month": _month_end}, Span(P.SALES_SINCE, None))
-    return sales.monthly_price_and_count(lines, P.SALES_CATEGORY)
+    lines = sales_view(spark, sf_dir, "price", "date", "category_size")
+    return sales.monthly_price_and_count(lines, P.SALES_CATEGORY, P.SALES_SINCE)
 
 
 @register("yearly_summary_padded")
@@ -425,7 +416,7 @@ def q_size_price_points(spark, sf_dir):
 
 @register("monthly_mean_by_category")
 def q_monthly_mean_by_category(spark, sf_dir):
-    return sales.monthly_mean_by_category(sales_summary(spark, sf_dir, ["category_size"], {"month_start": _month_start}))
+    return sales.monthly_mean_by_category(sales_view(spark, sf_dir, "price", "date", "category_size"))
 
 
 @register("category_counts")
@@ -435,7 +426,7 @@ def q_category_counts(spark, sf_dir):
 
 @register("monthly_price_and_count")
 def q_monthly_price_and_count(spark, sf_dir):
-    return sales.monthly_price_and_count(sales_summary(spark, sf_dir, ["category_size"], {"month": _month_end}), P.SALES_CATEGORY)
+    return sales.monthly_price_and_count(sales_view(spark, sf_dir, "price", "date", "category_size"), P.SALES_CATEGORY)
 
 
 @register("compare_before_after")
