@@ -444,6 +444,18 @@ def test_embedding_groups_equal_brute_force(spark, monkeypatch, blocks):
     assert sum(r["n_links"] for r in near) >= 0.9 * sum(links.values())
 
 
+def test_embedding_links_along_few_directions(spark):
+    rng = np.random.default_rng(8)
+    flat = rng.normal(size=(600, 3)) @ np.linalg.qr(rng.normal(size=(256, 3)))[0].T  # differences have no random direction
+    unit = flat / np.linalg.norm(flat, axis=1, keepdims=True)
+    close = unit @ unit.T >= 0.95
+    rows = [(i, v.tolist()) for i, v in enumerate(flat)]
+    got = _rows(embedding.embedding_groups(spark.createDataFrame(rows, "vec_id long, embedding array<double>")))
+    assert {r["vec_id"]: r["n_links"] for r in got} == dict(enumerate((close.sum(1) - 1).tolist()))
+    root = roots(600, [np.nonzero(close)])
+    assert {r["vec_id"]: r["component_id"] for r in got} == dict(enumerate(root.tolist()))
+
+
 def test_viterbi_in_blocks_equals_whole_path(spark, monkeypatch):
     rng = np.random.default_rng(6)
     rows = []

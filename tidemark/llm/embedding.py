@@ -5,10 +5,11 @@ inverted lists; each keeps the product-quantised code of its residual and the
 length of the error that the code leaves. Let r be the radius that the cosine
 limit allows. A vector of list b lies nearer to centroid b than to any other, so a query
 must cross the bisecting plane between b and each of its own nearest centroids to reach
-it. Of a difference of length r in any direction, the part across a given plane has the standard
-deviation r / sqrt(dim); the query probes every list whose planes are within
-``SPREAD`` = 4 such deviations (all within r when ``spread`` is None or dim is
-16 or less: then no link can be missed). Measured recall is 1.0 (README). In a
+it. The query probes every list whose planes are all within r, so no link can be
+missed. ``spread`` = s is an opt-in that looks at fewer lists: of a difference of length r
+in a *random* direction, the part across a given plane has the standard deviation
+r / sqrt(dim), and only planes within s such deviations are crossed. Where differences
+have a few strong directions it loses links. In a
 list, distances to the codes come from per-subspace lookup tables; a candidate
 is one whose table distance is at most r plus its code's error, which by the
 triangle inequality misses no vector within r. Exact double cosines rerank the
@@ -44,7 +45,6 @@ SAMPLE = 20_000
 MOST_LISTS = 4096
 SUBSPACES, CODES = 8, 256
 INDEX_BLOCK, QUERY_BLOCK = 4096, 16384
-SPREAD = 4.0
 NEAREST = 6  # centroids whose bisecting planes are tried
 
 
@@ -237,9 +237,10 @@ def _linked_classes(classes: DataFrame, dim: int, cosine: float, lists: int | No
 
 
 def embedding_groups(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding",
-                     cosine: float = COSINE, lists: int | None = None, spread: float | None = SPREAD) -> DataFrame:
+                     cosine: float = COSINE, lists: int | None = None, spread: float | None = None) -> DataFrame:
     """Per row of ``vectors``: ``id_col``, ``n_links`` (other rows within the cosine
-    limit), ``component_id`` (smallest id reachable by links) and ``kept``."""
+    limit), ``component_id`` (smallest id reachable by links) and ``kept``. All links
+    are found unless ``spread`` narrows the lists that are probed."""
     rows = only(vectors, id_col, vec_col).select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec"))
     kind = dict(rows.dtypes)["vec"]
     if kind not in ("array<float>", "array<double>"):
