@@ -1,8 +1,10 @@
 """The ten operators against brute force, on small tables with nulls, empty and
 long texts, ties, repeated rows, clashing extra columns, and on empty tables."""
 
+import gzip
 import hashlib
 import io
+import json
 import re
 import zipfile
 import zlib
@@ -232,6 +234,40 @@ def test_warc_round_trip_and_revisits(spark, monkeypatch):
                     None if r["payload"] is None else bytes(r["payload"])) for r in got) == want
 
 
+def _package(path, archives, indexes):
+    """A ZIP of stored members: archives {name: page ids}, indexes {name: (archives, with key and time)}."""
+    places, members = {}, {}
+    for name, ids in archives.items():
+        parts, at = [], 0
+        for i in ids:
+            html = f"page {i}".encode()
+            parts.append(gzip.compress(warc_zip.warc_record(i, "u", html, hashlib.sha1(html).digest(), None, False)))
+            places.setdefault(name, []).append({"filename": name, "offset": at, "length": len(parts[-1])})
+            at += len(parts[-1])
+        members[f"archive/{name}"] = b"".join(parts)
+    for name, (of, keyed) in indexes.items():
+        members[f"indexes/{name}"] = "".join(
+            ("com,u)/ 20240101000000 " if keyed else "") + json.dumps(p) + "\n" for a in of for p in places[a]).encode()
+    with open(path, "wb") as out:
+        z = warc_zip.ZipStore(out)
+        for name, raw in members.items():
+            z.add(name, [raw], len(raw), zlib.crc32(raw))
+        z.close()
+    return (str(path),)
+
+
+def test_archives_of_several_members_and_indexes(spark, tmp_path):
+    both = _package(tmp_path / "a", {"data.warc.gz": [1, 2], "more.warc.gz": [3, 4]}, {"index.cdxj": (["data.warc.gz"], False),
+                                                                                     "more.cdxj": (["more.warc.gz", "data.warc.gz"], True)})
+    other = _package(tmp_path / "b", {"rec-0.warc.gz": [5], "rec-1.warc.gz": [6]}, {"all.cdx": (["rec-0.warc.gz", "rec-1.warc.gz"], True)})
+    got = _rows(warc_zip.read_archives(spark.createDataFrame([both, other], "path string")))
+    assert sorted((r["page_id"], bytes(r["payload"]).decode()) for r in got) == [(i, f"page {i}") for i in range(1, 7)]
+    path, = _package(tmp_path / "c", {"data.warc.gz": [1], "lost.warc.gz": [2]}, {"index.cdxj": (["data.warc.gz"], False)})
+    raw = open(path, "rb").read()
+    with pytest.raises(ValueError, match="no index"):
+        warc_zip.record_places(lambda at, n: raw[at:at + n], len(raw), path)
+
+
 def test_forward_backward_equals_enumeration():
     from itertools import product
 

@@ -2,9 +2,11 @@
 
 An archive is a ZIP file of *stored* members: ``archive/data.warc.gz`` (one gzip
 member per record) and ``indexes/index.cdxj`` (a line per record with its place).
+Archives of several ``archive/`` members and indexes of any name are read too: each index
+line names its member, and a member that no index names is an error.
 The ZIP64 forms are written where 32-bit fields don't suffice and read
 wherever they occur. The reader never extracts a member: it reads the end record (and
-the ZIP64 one), the central directory and the index member, and then each
+the ZIP64 one), the central directory and the index members, and then each
 record by its range within the stored archive member.
 
 Of records with equal payloads of ``min_revisit`` bytes or more the one with
@@ -93,10 +95,10 @@ class ZipStore:
         self._put(struct.pack("<IHHHHIIH", _END, 0, 0, n, n, size, begin, 0))
 
 
-def zip_directory(read_at, total: int) -> dict[str, tuple[int, int]]:
-    """{member: (start of its data, size)} of the stored members. ``read_at(offset,
-    length)`` reads a range; nothing but the directories and the members'
-    headers is read."""
+def zip_directory(read_at, total: int, packed_names: list[str] | None = None) -> dict[str, tuple[int, int]]:
+    """{member: (start of its data, size)} of the stored members; the names of the others
+    go to ``packed_names``. ``read_at(offset, length)`` reads a range; nothing but the
+    directories and the members' headers is read."""
     tail_at = max(0, total - 22 - _FULL16)
     tail = read_at(tail_at, total - tail_at)
     at = tail.rfind(struct.pack("<I", _END))
@@ -132,6 +134,8 @@ def zip_directory(read_at, total: int) -> dict[str, tuple[int, int]]:
             if mark != _LOCAL:
                 raise ValueError(f"no member at the place of {name}")
             out[name] = (start + 30 + n_name_here + n_extra_here, packed)
+        elif packed_names is not None:
+            packed_names.append(name)
         at += 46 + n_name + n_extra + n_note
     return out
 
@@ -179,12 +183,48 @@ def _headers(raw: bytes) -> dict[str, str]:
     return {k.strip().lower(): v.strip() for k, _, v in lines}
 
 
+def record_places(read_at, total: int, path: str) -> list[tuple[int, int, dict]]:
+    """(start in the file, length, index line) of every record that the indexes name, each once."""
+    packed: list[str] = []
+    members = zip_directory(read_at, total, packed)
+    if lost := [m for m in packed if m.startswith(("archive/", "indexes/"))]:
+        raise ValueError(f"{path}: members are packed, not stored: {lost}")
+    data = {m: at for m, at in members.items() if m.startswith("archive/") and at[1]}
+    out: dict[tuple[str, int], tuple[int, int, dict]] = {}
+    for index, (start, size) in members.items():
+        if not index.startswith("indexes/") or index.endswith(".idx"):  # .idx: places in a packed index
+            continue
+        raw = read_at(start, size)
+        for line in (gzip.decompress(raw) if index.endswith(".gz") else raw).decode().split("\n"):
+            if not line.strip() or line.startswith("!"):
+                continue
+            p = json.loads(line if line.startswith("{") else line.split(" ", 2)[2])  # after the key and the time
+            name = p.get("filename") or (next(iter(data)) if len(data) == 1 else "")
+            name = name if name.startswith("archive/") else f"archive/{name}"
+            if name not in data:
+                raise ValueError(f"{path}: {index} names no stored member: {line}")
+            at, length = int(p["offset"]), int(p["length"])
+            if at + length > data[name][1]:
+                raise ValueError(f"{path}: a record beyond its member")
+            out[name, at] = (data[name][0] + at, length, p)
+    if lost := sorted(set(data) - {name for name, _ in out}):
+        raise ValueError(f"{path}: members with no index: {lost}")
+    return list(out.values())
+
+
 def _file(uri: str):
     from pyarrow import fs
 
     return fs.FileSystem.from_uri(uri)
 
 
+def shared_uri(folder: str) -> str:
+    """The folder as a URI that pyarrow.fs takes."""
+    if "://" not in folder and not folder.startswith("file:"):
+        return f"file://{folder}"
+    return folder.replace("file:/", "file:///", 1) if folder.startswith("file:/") and not folder.startswith("file:///") else folder
+
+
 def write_archives(pages: DataFrame, folder: str | None = None, id_col: str = "page_id", url_col: str = "url",
                    html_col: str = "html", min_revisit: int = MIN_REVISIT) -> DataFrame:
     """Write every page as a record; returns (path, records, bytes) of the archives
@@ -199,10 +239,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, id_col: str = "p
     most = (rows.where(F.col("bytes") >= min_revisit).groupBy("digest", "bytes")
             .agg(F.count("*").alias("n"), F.max(order).alias("top")).where("n > 1").select("digest", "bytes", "top"))
     most = materialize(most, "equal")
-    target = folder or f"{checkpoint_dir(spark)}/archives-{uuid.uuid4().hex}"
-    if "://" not in target and not target.startswith("file:"):
-        target = f"file://{target}"
-    target = target.replace("file:/", "file:///", 1) if target.startswith("file:/") and not target.startswith("file:///") else target
+    target = shared_uri(folder or f"{checkpoint_dir(spark)}/archives-{uuid.uuid4().hex}")
     revisit = F.col("top").isNotNull() & ~order.eqNullSafe(F.col("top"))
     dealt = rows.join(most, ["digest", "bytes"], "left").select(
         "id", "url", "html", "digest", F.coalesce(revisit, F.lit(False)).alias("revisit"), F.col("top.id").alias("to"))
@@ -214,7 +251,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, id_col: str = "p
             data, index, at = [], [], 0
             for key, raw in zip(lines, records):
                 data.append(gzip.compress(raw, 1, mtime=0))
-                index.append(json.dumps({"id": key, "offset": at, "length": len(data[-1])}) + "\n")
+                index.append(json.dumps({"id": key, "filename": DATA.rpartition("/")[2], "offset": at, "length": len(data[-1])}) + "\n")
                 at += len(data[-1])
             crc = 0
             for d in data:
@@ -263,20 +300,14 @@ def read_archives(paths: DataFrame, path_col: str = "path", with_payload: bool =
                         f.seek(offset)
                         return f.read(length)
 
-                    members = zip_directory(at, f.size())
-                    start, size = members[INDEX]
-                    places = [json.loads(x) for x in at(start, size).decode().splitlines()]
-                    start, size = members[DATA]
                     out, held = [], 0
-                    for p in places:
-                        if p["offset"] + p["length"] > size:
-                            raise ValueError(f"{path}: a record beyond its member")
-                        warc, http, payload = parse_record(gzip.decompress(at(start + p["offset"], p["length"])))
+                    for start, length, p in record_places(at, f.size(), path):
+                        warc, http, payload = parse_record(gzip.decompress(at(start, length)))
                         digest = base64.b32decode(warc["warc-payload-digest"].partition(":")[2]).hex()
                         revisit = warc["warc-type"] == "revisit"
                         if not revisit and hashlib.sha1(payload).hexdigest() != digest:
                             raise ValueError(f"{path}: payload of {warc['warc-record-id']} differs from its digest")
-                        if _page(warc["warc-record-id"]) != p["id"]:
+                        if "id" in p and _page(warc["warc-record-id"]) != p["id"]:
                             raise ValueError(f"{path}: the index names another record")
                         out.append({
                             "page_id": _page(warc["warc-record-id"]), "url": warc["warc-target-uri"],
