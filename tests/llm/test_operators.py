@@ -433,6 +433,20 @@ def test_contamination_equals_brute_force(spark, docs, monkeypatch, part_words):
         assert r["doc_id"] in hit or left[r["doc_id"], r["text"]]
 
 
+@pytest.mark.parametrize("part_words", [10**6, 40])
+def test_items_stay_out_of_the_driver(spark, docs, monkeypatch, part_words):
+    def here(*_):
+        raise AssertionError("an automaton is built in the driver")
+
+    monkeypatch.setattr(decontaminate, "PART_WORDS", part_words)
+    monkeypatch.setattr(decontaminate.SuffixAutomaton, "__init__", here)  # tasks have the class as it is
+    monkeypatch.setattr(type(docs), "toLocalIterator", here)
+    texts = [t for t in _texts() if t and len(t) > 300][:3]
+    items = spark.createDataFrame([(k, " ".join(t.split()[:20 + k])) for k, t in enumerate(texts)], "item_id long, text string")
+    got = _rows(decontaminate.contamination(docs, items))
+    assert {i for r in got for i in r["items"]} == {"0", "1", "2"}
+
+
 def test_remove_words_keeps_the_rest():
     raw = "Héllo, the (cat) sat. On\tmats!".encode()
     assert decontaminate.remove_words(raw, [(1, 3)]).decode() == "Héllo, ) sat. On\tmats!"[:7] + ") sat. On\tmats!"

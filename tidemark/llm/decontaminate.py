@@ -9,11 +9,11 @@ shorter item), its words are hit, and the items of that window are noted. A word
 holds resets the walk, so stretches of known words shorter than the shortest
 window are not walked at all: nothing in them can reach a window.
 
-Scale: documents are read once, per task, with no shuffle. The automaton goes
-to the tasks by closure, and its size is checked: items are split by a hash of
-their words into parts of about ``PART_WORDS`` words, each an automaton of its
-own, scanned one after the other over the documents; the parts' spans are merged per document. Memory and
-broadcast are bounded however many items there are.
+Scale: items are split by a hash of their words into parts of about ``PART_WORDS`` words.
+A task builds each part's automaton and writes it in the shared folder, and the tasks that
+scan load it from there; the driver sees one path per part and no item. Documents are scanned with no
+shuffle, once per part, one part after the other, so that a task holds one automaton of bounded size however
+many items there are; the parts' spans are merged per document.
 
 Cases: null and empty texts have no words and no hits; items without words
 match nothing; equal item rows count once; an item with a null id hits words
@@ -24,6 +24,8 @@ tables give empty results (no items: nothing is hit).
 from __future__ import annotations
 
 import math
+import pickle
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +33,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.relational import materialize
+from ..session import MATERIALIZED, checkpoint_dir
 from .common import only, slices
+from .warc_zip import _file, shared_uri
 
 WINDOW = 10
 PART_WORDS = 1_000_000
@@ -159,6 +163,30 @@ def _parts(items: DataFrame, id_col: str, text_col: str) -> tuple[int, DataFrame
     return parts, items.withColumn("part", F.pmod(F.xxhash64("text"), F.lit(parts)))
 
 
+def _store(table: pa.Table, target: str, window: int) -> pa.Table:
+    """Build and write the automaton of one part, under a name of its own; (part, path)."""
+    automaton = SuffixAutomaton([(i, item_words(t)) for i, t in zip(table["id"].to_pylist(), table["text"].to_pylist())], window)
+    fs, base = _file(target)
+    fs.create_dir(base, recursive=True)
+    name = f"{uuid.uuid4().hex}.pickle"
+    with fs.open_output_stream(f"{base}/{name}") as out:
+        out.write(pickle.dumps(automaton, pickle.HIGHEST_PROTOCOL))
+    return pa.table({"part": table["part"].slice(0, 1), "path": [f"{target}/{name}"]})
+
+
+def _load(path: str) -> SuffixAutomaton:
+    fs, name = _file(path)
+    with fs.open_input_file(name) as f:
+        return pickle.loads(f.read())
+
+
+def _built(items: DataFrame, window: int) -> list[str]:
+    """Paths of the parts' automata, built by tasks; parts without items have none."""
+    target = shared_uri(f"{checkpoint_dir(items.sparkSession)}/{MATERIALIZED}/automata-{uuid.uuid4().hex}")
+    made = items.groupBy("part").applyInArrow(lambda t: _store(t, target, window), "part long, path string")
+    return [r["path"] for r in materialize(made, "automata").orderBy("part").collect()]  # a row per part
+
+
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
     """Per row of ``docs``: ``id_col``, ``n_words``, ``n_hit``, ``spans`` (maximal hit
@@ -180,8 +208,9 @@ def _scanned(rows: DataFrame, items: DataFrame, text_col: str, item_id: str, ite
     schema += ", _dc_n_words long, _dc_n_hit long, _dc_spans array<struct<first:long,end:long>>, _dc_items array<string>"
     span_type = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
 
-    def scanner(automaton):
+    def scanner(path):
         def scan(batches):
+            automaton = _load(path) if path else SuffixAutomaton([], window)
             for batch in batches:
                 column = batch.column(batch.schema.get_field_index(text_col))
                 n_words, n_hit, spans, names, texts = [], [], [], [], []
@@ -210,15 +239,12 @@ def _scanned(rows: DataFrame, items: DataFrame, text_col: str, item_id: str, ite
                     names=[*kept, "_dc_n_words", "_dc_n_hit", "_dc_spans", "_dc_items"])
         return scan
 
-    def of_part(k):
-        some = items if parts == 1 else items.where(F.col("part") == k)
-        return SuffixAutomaton([(r["id"], item_words(r["text"])) for r in some.toLocalIterator()], window)
-
+    paths = _built(items, window)
     if parts == 1:
-        return rows.mapInArrow(scanner(of_part(0)), schema)
+        return rows.mapInArrow(scanner(paths[0] if paths else None), schema)
     hits = None
-    for k in range(parts):  # one automaton at a time, here and in the tasks
-        one = rows.mapInArrow(scanner(of_part(k)), schema).where("_dc_n_hit > 0").select("_dc_row", "_dc_spans", "_dc_items")
+    for path in paths:  # one automaton at a time in the tasks
+        one = rows.mapInArrow(scanner(path), schema).where("_dc_n_hit > 0").select("_dc_row", "_dc_spans", "_dc_items")
         one = materialize(one, "part")
         hits = one if hits is None else hits.unionByName(one)
     hits = hits.groupBy("_dc_row").agg(F.flatten(F.collect_list("_dc_spans")).alias("_dc_spans"), F.array_sort(
