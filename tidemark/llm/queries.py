@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, embedding, lines, packing, quality, sharding, simhash, substring, warc_zip
+from . import chat, conversation, decontaminate, embedding, lines, packing, quality, sharding, simhash, substring, warc_zip
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -71,9 +71,14 @@ def op10_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding.embedding_groups(_table(spark, sf_dir, "embeddings"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    damaged = conversation.damage(_table(spark, sf_dir, "conversations"))
+    return conversation.audits(damaged, gone_col="gone")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_substring_dedup, op2_chat_format, op3_simhash, op4_line_dedup, op5_warc, op6_quality, op7_packing,
-    op8_sharding, op9_decontaminate, op10_embedding)}
+    op8_sharding, op9_decontaminate, op10_embedding, op11_conversation_repair)}
 
 _WORD = r"[^\x20\x09-\x0D]+"
 _ITEM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -134,4 +139,42 @@ least AS (SELECT a, min(b) AS c FROM reach GROUP BY a),
 degree AS (SELECT a, count(*) AS n FROM link GROUP BY a)
 SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, c AS component_id, vec_id = c AS kept
 FROM v JOIN least ON vec_id = least.a LEFT JOIN degree ON vec_id = degree.a""",
+    "op11_conversation_repair": r"""
+WITH RECURSIVE named AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS words,
+  coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS name FROM conversations),
+hashed AS (SELECT *, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(1, len(name) + 1), lambda i: ascii(name[i])::BIGINT)),
+  lambda c, b: list_reduce(list_concat([xor(c, b)], range(8)), lambda x, k: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END)),
+  4294967295::BIGINT) % 20 AS h FROM named),
+damaged AS (SELECT conv_id, turn, CASE h WHEN 4 THEN 'user' ELSE role END AS role,
+  CASE h WHEN 1 THEN '' WHEN 2 THEN translate(words, '.!?', '') ELSE words END AS words,
+  unnest(range(CASE h WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM hashed WHERE h <> 0),
+seen AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, words ORDER BY turn NULLS FIRST) > 1 AS again FROM damaged),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, words, again) AS i,
+  rtrim(words, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body FROM seen),
+faulty AS (SELECT *, body = '' AS blank, body <> '' AND again AS dup, body <> '' AND NOT again AND right(body, 1) NOT IN ('.', '!', '?') AS cut,
+  left(role, 1) AS ini, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS ini_before FROM placed),
+ids AS (SELECT conv_id, count(f.i) AS n, coalesce(max(f.turn) - min(f.turn) + 1 - count(DISTINCT f.turn), 0)::BIGINT AS gaps,
+  count(*) FILTER (f.blank) AS blank, count(*) FILTER (f.dup) AS duplicate, count(*) FILTER (f.cut) AS truncated,
+  count(*) FILTER (f.i > 1 AND f.ini_before || f.ini NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN faulty f USING (conv_id) GROUP BY conv_id),
+rest AS (SELECT conv_id, n AS i, {'c': 0, 'a': '', 't': ''} AS f0, {'c': 4, 'a': 'II', 't': E'\nuser:\nassistant:'} AS fs,
+  {'c': 2, 'a': 'I', 't': E'\nassistant:'} AS fu, {'c': 0, 'a': '', 't': ''} AS fa FROM ids
+  UNION ALL SELECT conv_id, i, list_min([b0, uu]), list_min([bs, uu]), list_min([bu, ua]), list_min([ba, au]) FROM (
+    SELECT *, list_min([{'c': bu.c + 2, 'a': 'I' || bu.a, 't': E'\nuser:' || bu.t},
+                        {'c': ba.c + 4, 'a': 'II' || ba.a, 't': E'\nuser:\nassistant:' || ba.t}]) AS uu,
+      {'c': ba.c + 2, 'a': 'I' || ba.a, 't': E'\nassistant:' || ba.t} AS ua, {'c': bu.c + 2, 'a': 'I' || bu.a, 't': E'\nuser:' || bu.t} AS au FROM (
+      SELECT r.conv_id, r.i - 1 AS i,
+        list_min([{'c': f0.c + 3, 'a': 'D' || f0.a, 't': f0.t}, CASE WHEN NOT gone AND ini = 's' THEN {'c': fs.c + more, 'a': 'K' || fs.a, 't': own || fs.t} END,
+          CASE WHEN NOT gone AND ini = 'u' THEN {'c': fu.c + more, 'a': 'K' || fu.a, 't': own || fu.t} END,
+          CASE WHEN NOT gone THEN {'c': fu.c + more + 2, 'a': 'R' || fu.a, 't': E'\nuser:' || words || fu.t} END]) AS b0,
+        list_min([{'c': fs.c + 3, 'a': 'D' || fs.a, 't': fs.t}, CASE WHEN NOT gone AND ini = 'u' THEN {'c': fu.c + more, 'a': 'K' || fu.a, 't': own || fu.t} END,
+          CASE WHEN NOT gone THEN {'c': fu.c + more + 2, 'a': 'R' || fu.a, 't': E'\nuser:' || words || fu.t} END]) AS bs,
+        list_min([{'c': fu.c + 3, 'a': 'D' || fu.a, 't': fu.t}, CASE WHEN NOT gone AND ini = 'a' THEN {'c': fa.c + more, 'a': 'K' || fa.a, 't': own || fa.t} END,
+          CASE WHEN NOT gone THEN {'c': fa.c + more + 2, 'a': 'R' || fa.a, 't': E'\nassistant:' || words || fa.t} END]) AS bu,
+        list_min([{'c': fa.c + 3, 'a': 'D' || fa.a, 't': fa.t}, CASE WHEN NOT gone AND ini = 'u' THEN {'c': fu.c + more, 'a': 'K' || fu.a, 't': own || fu.t} END,
+          CASE WHEN NOT gone THEN {'c': fu.c + more + 2, 'a': 'R' || fu.a, 't': E'\nuser:' || words || fu.t} END]) AS ba
+      FROM rest r JOIN (SELECT conv_id, i, words, ini, blank OR dup AS gone, cut::INT AS more, E'\n' || role || ':' || words AS own FROM faulty) w
+        ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.i = w.i)))
+SELECT ids.conv_id, gaps, blank, duplicate, truncated, illegal, f0.c::BIGINT AS cost, f0.a AS audit, sha256(substr(f0.t, 2)) AS repaired_sha256
+FROM ids JOIN rest ON ids.conv_id IS NOT DISTINCT FROM rest.conv_id AND rest.i = 0""",
 }
