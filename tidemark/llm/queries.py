@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, conversation, decontaminate, embedding, lines, packing, quality, sharding, simhash, substring, warc_zip
+from . import chat, conversation, decontaminate, embedding, lines, packing, quality, sharding, simhash, substring, warc_zip, whitening
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -76,9 +76,19 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation.audits(damaged, gone_col="gone")
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    model = whitening.fit(vectors)
+    n, error, shares = (model.n, model.identity_error, model.values / model.trace) if model else (0, 0.0, [])
+    share = F.array(*map(F.lit, map(float, shares))).cast("array<double>")
+    return whitening.whiten(vectors, model).select("vec_id", "deviation", F.posexplode("whitened").alias("_at", "whitened")).select(
+        "vec_id", (F.col("_at") + 1).alias("component"), F.lit(n).cast("long").alias("n"), "deviation", "whitened",
+        F.get(share, F.col("_at")).alias("explained"), F.lit(error).alias("identity_error"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_substring_dedup, op2_chat_format, op3_simhash, op4_line_dedup, op5_warc, op6_quality, op7_packing,
-    op8_sharding, op9_decontaminate, op10_embedding, op11_conversation_repair)}
+    op8_sharding, op9_decontaminate, op10_embedding, op11_conversation_repair, op13_whitening)}
 
 _WORD = r"[^\x20\x09-\x0D]+"
 _ITEM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
