@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, conversation, decontaminate, embedding, lines, packing, quality, sharding, simhash, substring, warc_zip, whitening
+from . import chat, conversation, decontaminate, embedding, lines, packing, quality, sharding, simhash, substring, toxicity, warc_zip, whitening
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -76,6 +76,14 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation.audits(damaged, gone_col="gone")
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, _table(spark, sf_dir, "labels"))
+    scored = toxicity.score_documents(docs.select("doc_id", "text"), model, keep_text=False)
+    return scored.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score",
+                         (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), F.size("passages").alias("n_passages"))
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _table(spark, sf_dir, "embeddings")
     model = whitening.fit(vectors)
@@ -88,7 +96,7 @@ def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_substring_dedup, op2_chat_format, op3_simhash, op4_line_dedup, op5_warc, op6_quality, op7_packing,
-    op8_sharding, op9_decontaminate, op10_embedding, op11_conversation_repair, op13_whitening)}
+    op8_sharding, op9_decontaminate, op10_embedding, op11_conversation_repair, op12_toxicity, op13_whitening)}
 
 _WORD = r"[^\x20\x09-\x0D]+"
 _ITEM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
