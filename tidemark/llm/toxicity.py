@@ -12,8 +12,8 @@ mean the greatest segment of n clean tokens follows ``P(S < s) = exp(-K n exp(-L
 significant if fewer than ``EXPECTED`` such are expected by chance in a text of its length, a text's evidence is the
 sum of ``L s - log(K n)`` over its significant passages (without one, that of its best segment, 0 at least), and a logistic fit maps its logarithm (of 1 more) to the score.
 
-Training: at most ``SAMPLE`` labelled texts of each class, of smallest hash and at most ``MOST_CHARS`` characters, equal texts
-once. The calibration takes ``CALIBRATED`` of them, each scored by counts that leave its fifth of the sample out. The model keeps the ``VOCABULARY`` words and openings
+Training: at most ``SAMPLE`` labelled texts of each class, of smallest hash and at most ``MOST_CHARS`` characters, equal
+texts once, as toxic if any of them is. The calibration takes ``CALIBRATED`` of them, each scored by counts that leave its fifth of the sample out. The model keeps the ``VOCABULARY`` words and openings
 farthest from their prior. Scoring reads every whole text in one pass without a shuffle.
 
 Cases: null and empty texts and texts without tokens have the evidence 0 and that score; very long texts are scanned
@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.relational import materialize
 from .common import need, only, ship, slices, word_hashes, words_of
 
 FOLDS, HELD = 3, 1
@@ -184,16 +185,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     known = only(labels, id_col, label_col).where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull())
     known = known.where(~held_out(id_col)).groupBy(id_col).agg((F.avg(label_col) >= 0.5).cast("int").alias("_label"))
     texts = only(docs, id_col, text_col).where(F.col(text_col).isNotNull() & (F.length(text_col) <= MOST_CHARS))
-    present = texts.select(id_col).distinct().join(known, id_col)
+    texts = texts.withColumn("_at", F.xxhash64(text_col))
+    # equal texts train once, as toxic if any is; the hash is the text's whole identity here, and the order of the sample
+    present = materialize(texts.select(id_col, "_at").join(known, id_col).groupBy("_at").agg(F.max("_label").alias("_label")), "labelled")
     share = {r["_label"]: r["n"] for r in present.groupBy("_label").agg(F.count("*").alias("n")).collect()}
     if set(share) != {0, 1}:
         return Model()
-    by_hash = (F.xxhash64(id_col), F.col(id_col))
-    drawn = present.where("_label = 1").orderBy(*by_hash).limit(SAMPLE).union(present.where("_label = 0").orderBy(*by_hash).limit(SAMPLE))
-    # equal texts train once, as toxic if any is; the hash is the text's whole identity here
-    rows = (texts.join(drawn, id_col).groupBy(F.xxhash64(text_col).alias("at")).agg(F.max("_label").alias("label"), F.first(text_col).alias("text"))
-            .orderBy("at").limit(2 * SAMPLE))
-    got = rows.toArrow().sort_by("at")  # at most 2 * SAMPLE texts of MOST_CHARS characters
+    drawn = present.where("_label = 1").orderBy("_at").limit(SAMPLE).union(present.where("_label = 0").orderBy("_at").limit(SAMPLE))
+    # broadcast: at most 2 * SAMPLE hashes and labels
+    rows = texts.join(F.broadcast(drawn), "_at").groupBy("_at").agg(F.first("_label").alias("label"), F.first(text_col).alias("text"))
+    got = rows.toArrow().sort_by("_at")  # at most 2 * SAMPLE texts of MOST_CHARS characters
     label = np.asarray(got["label"]).astype(float)
     weight = np.where(label > 0, share[1] / max(label.sum(), 1), share[0] / max((1 - label).sum(), 1))
     return train(got["text"].combine_chunks(), label, weight / weight.mean())
@@ -203,24 +204,25 @@ def train(texts: pa.Array, label: np.ndarray, weight: np.ndarray) -> Model:
     """Token log-odds from all texts; the calibration takes texts whose own part was left out of the counts."""
     label = np.asarray(label, float)
     part = np.arange(len(label)) % PARTS
-    held: list[np.ndarray] = []  # of each slice: (text, place among the slice's distinct words), and those words' keys
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # of a slice: its distinct words; the text and word of each pair
     tables: list[np.ndarray] = []
-    of_text: list[np.ndarray] = []
     for lo, data, offs in slices(texts):
         keys, _, _, counts = token_keys(data, offs)
         words, first, back = np.unique(keys[-1], return_index=True, return_inverse=True)
-        pairs = np.unique((lo + np.repeat(np.arange(len(counts)), counts)) * len(words) + back) if len(words) else np.zeros(0, int)
-        of_text.append(pairs // max(len(words), 1))
-        held.append(words[pairs % max(len(words), 1)])
-        tables.append(keys[:, first])
-    if not tables or not sum(t.shape[1] for t in tables) or not label.any() or label.all():
+        if len(words):
+            pairs = np.unique((lo + np.repeat(np.arange(len(counts)), counts)) * len(words) + back)
+            found.append((words, (pairs // len(words)).astype(np.int32), (pairs % len(words)).astype(np.int32)))
+            tables.append(keys[:, first])
+    if not tables or not label.any() or label.all():
         return Model()
     table = np.concatenate(tables, 1)
+    del tables
     words, first = np.unique(table[-1], return_index=True)
     table = table[:, first]
-    text, word = np.concatenate(of_text), np.searchsorted(words, np.concatenate(held))
-    count = np.zeros((2, PARTS, len(words)))
-    np.add.at(count, (label[text].astype(int), part[text], word), 1)
+    count = np.zeros((2, PARTS, len(words)), np.int32)
+    for known, text, word in found:
+        np.add.at(count, (label[text].astype(int), part[text], np.searchsorted(words, known)[word]), 1)
+    del found
     size = np.array([[((label == y) & (part == p)).sum() for p in range(PARTS)] for y in (0, 1)])
     judged = np.arange(len(label)) < CALIBRATED
     scores: dict[int, np.ndarray] = {}
