@@ -19,7 +19,7 @@ small table and splits a large one's hot keys).
 Scale: each task writes its pages as archives of about ``ARCHIVE_BYTES`` of payload
 in the shared folder, under names of their own, so that a retried or lost task
 leaves no half archive in use: only archives in the written list of finished
-tasks are read. Reading is by archive, in record batches.
+tasks are read. Archives are dealt to tasks of their own (``READERS`` at most, then several to a task) and read in record batches.
 
 Cases: a null or empty html is an empty payload (a response); a null url is
 written as an empty target; a null page id comes back as null and never is the
@@ -42,11 +42,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.relational import materialize
-from ..session import checkpoint_dir
+from ..session import MATERIALIZED, checkpoint_dir
 from .common import only
 
 ARCHIVE_BYTES = 16 << 20
 MIN_REVISIT = 1000
+READERS = 10_000  # tasks that read archives, at most
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 
 # ZIP record signatures and sizes (fixed values of the format)
@@ -239,7 +240,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, id_col: str = "p
     most = (rows.where(F.col("bytes") >= min_revisit).groupBy("digest", "bytes")
             .agg(F.count("*").alias("n"), F.max(order).alias("top")).where("n > 1").select("digest", "bytes", "top"))
     most = materialize(most, "equal")
-    target = shared_uri(folder or f"{checkpoint_dir(spark)}/archives-{uuid.uuid4().hex}")
+    target = shared_uri(folder or f"{checkpoint_dir(spark)}/{MATERIALIZED}/archives-{uuid.uuid4().hex}")
     revisit = F.col("top").isNotNull() & ~order.eqNullSafe(F.col("top"))
     dealt = rows.join(most, ["digest", "bytes"], "left").select(
         "id", "url", "html", "digest", F.coalesce(revisit, F.lit(False)).alias("revisit"), F.col("top.id").alias("to"))
@@ -289,7 +290,8 @@ def read_archives(paths: DataFrame, path_col: str = "path", with_payload: bool =
     """Every record of the archives: page_id, url, record_type, refers_to,
     payload_bytes, payload_digest (hex SHA-1) and payload (null for a revisit, which stores none).
     A response's bytes and digest are those of the payload read, checked against its header."""
-    only(paths, path_col)
+    paths = only(paths, path_col)
+    tasks = min(READERS, max(1, paths.count()))
 
     def load(batches):
         for b in batches:
@@ -326,4 +328,5 @@ def read_archives(paths: DataFrame, path_col: str = "path", with_payload: bool =
     kind = pa.schema(fields)
     schema = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string"
     schema += ", payload binary" * with_payload
-    return paths.select(path_col).repartition(path_col).mapInArrow(load, schema)
+    # ranges of names, as many as archives: adaptive execution does not merge a stated number into one task
+    return paths.repartitionByRange(tasks, path_col).mapInArrow(load, schema)
