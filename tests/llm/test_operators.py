@@ -4,6 +4,7 @@ long texts, ties, repeated rows, clashing extra columns, and on empty tables."""
 import gzip
 import hashlib
 import io
+import itertools
 import json
 import re
 import zipfile
@@ -14,6 +15,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tidemark.llm import chat, decontaminate, embedding, lines, packing, quality, sharding, simhash, substring, warc_zip
 from tidemark.llm.common import roots
@@ -234,6 +236,15 @@ def test_warc_round_trip_and_revisits(spark, monkeypatch):
                     None if r["payload"] is None else bytes(r["payload"])) for r in got) == want
 
 
+def test_archives_are_read_by_tasks_of_their_own(spark):
+    pages = spark.createDataFrame([(i, "u", "y" * 1000 + str(i)) for i in range(24)], "page_id long, url string, html string").repartition(12)
+    archives = warc_zip.write_archives(pages)
+    n = archives.count()
+    read = warc_zip.read_archives(archives).groupBy(F.spark_partition_id().alias("task")).agg(F.count("*").alias("records"))
+    rows = read.collect()
+    assert n >= 8 and len(rows) == n and sum(r["records"] for r in rows) == 24
+
+
 def _package(path, archives, indexes):
     """A ZIP of stored members: archives {name: page ids}, indexes {name: (archives, with key and time)}."""
     places, members = {}, {}
@@ -396,6 +407,34 @@ def test_shard_laws(docs):
     assert _multiset(again, "doc_id", "text_crc32", "shard", "slot") == _multiset(got, "doc_id", "text_crc32", "shard", "slot")
 
 
+@pytest.mark.parametrize("shards", [1, 7, 16])
+def test_shard_and_slot_from_a_sorted_list(docs, shards):
+    """Rows numbered by a sort in Python; the permutation written out for single numbers."""
+    rows = sorted(((r["doc_id"], zlib.crc32((r["text"] or "").encode()), len((r["text"] or "").encode()) + 1) for r in _rows(docs)),
+                  key=lambda r: (r[0] is not None, r))
+    n, mask = len(rows), 2 ** 64 - 1
+
+    def mixed(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & mask
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & mask
+        return x ^ x >> 31
+
+    half = next(b for b in range(1, 40) if 4 ** b >= n)
+    keys = [mixed(k + sharding.SEED * 7) for k in range(1, 7)]
+
+    def place(v):
+        while True:
+            left, right = v >> half, v % 2 ** half
+            for k in keys:
+                left, right = right, left ^ mixed(right + k & mask) % 2 ** half
+            v = left * 2 ** half + right
+            if v < n:
+                return v
+
+    want = Counter((*r, place(i) % shards, place(i) // shards) for i, r in enumerate(rows))
+    assert _multiset(_rows(sharding.shard(docs, shards=shards)), "doc_id", "text_crc32", "size", "shard", "slot") == want
+
+
 def _item_words(text):
     raw = (text or "").encode()
     return re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", bytes(c + 32 if 65 <= c <= 90 else c for c in raw))
@@ -521,6 +560,51 @@ def test_viterbi_in_blocks_equals_whole_path(spark, monkeypatch):
     assert out[0] == out[1]
 
 
+def test_viterbi_equals_enumeration():
+    """Every state path of short transcripts, scored from its definition."""
+    rng = np.random.default_rng(8)
+    k = len(chat.STATES)
+    for n in (1, 2, 3, 5):
+        step = rng.uniform(0.001, 1, (k, k))
+        model = chat.Hmm(np.log(rng.dirichlet(np.ones(k))), np.log(step / step.sum(1, keepdims=True)), np.log(rng.dirichlet(np.ones(chat.N_SYMBOLS), k)))
+        symbol = rng.integers(0, chat.N_SYMBOLS, n)
+
+        def score(path, enter):
+            first = model.start[path[0]] if enter < 0 else model.step[enter, path[0]]
+            return first + sum(model.step[a, b] for a, b in zip(path, path[1:])) + sum(model.seen[s, o] for s, o in zip(path, symbol))
+
+        paths = list(itertools.product(range(k), repeat=n))
+        for enter, leave in ((-1, -1), (2, -1), (-1, 3), (4, 1)):
+            best = max((score(p, enter), p) for p in paths if leave in (-1, p[-1]))
+            got = model.path(symbol, enter, leave).tolist()
+            assert abs(score(got, enter) - best[0]) < 1e-9 and leave in (-1, got[-1])
+        whole = model.reduce(symbol)
+        for enter in (-1, 0, 5):
+            for leave in range(k):
+                assert abs(whole[enter, leave] - max(score(p, enter) for p in paths if p[-1] == leave)) < 1e-9
+
+
+def test_rows_of_one_turn_keep_their_lines(spark):
+    """Repeated rows and rows of equal turn with other texts; conversations 0 to 59 train or not, in all styles."""
+    rows = [(c, t, ("user", "assistant")[t % 2], f"say {c} {t}\nmore {c} {t}") for c in range(60) for t in range(4)]
+    for c in range(60):
+        rows += [(c, 1, "assistant", f"other {c}\nsecond {c}"), (c, 2, "user", f"say {c} 2\nmore {c} 2"), (c, None, "user", f"null {c}\nturn {c}")]
+    turns = spark.createDataFrame([(*r, "x", "y") for r in rows], "conv_id long, turn long, role string, text string, row string, tie string").repartition(6)
+    lines = chat.transcript_lines(turns)
+    style = {r["conv"]: r["s"] for r in lines.select("conv", F.pmod(F.xxhash64("conv"), F.lit(4)).alias("s")).distinct().collect()}
+    got = defaultdict(list)
+    for r in sorted(_rows(chat.format_chats(turns)), key=lambda r: (r["conv_id"], r["turn"])):
+        got[r["conv_id"]].append((r["role"], r["text"]))
+    assert set(style.values()) == {0, 1, 2, 3}
+    for c in range(60):
+        said = [(role, text) for conv, _, role, text in rows if conv == c]
+        if style[c] == 3:  # no markers: turns may be joined, but lines stay next to each other
+            flat = "\n".join(t for _, t in got[c])
+            assert all(flat.replace("\n\n", "\n").count(t) >= said.count((r, t)) for r, t in said)
+        else:
+            assert Counter(got[c]) == Counter(said) and got[c][0] == ("user", f"null {c}\nturn {c}")
+
+
 def test_chat_recovers_marked_roles_and_texts(spark):
     sf = "/root/testdata/sf0.01"
     turns = spark.read.parquet(f"{sf}/conversations.parquet")

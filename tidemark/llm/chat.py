@@ -17,8 +17,9 @@ The result is the Viterbi path of the whole conversation. Turn numbers are count
 counts of the conversation's earlier blocks.
 
 Cases: null text is one empty line; null conversation ids are one conversation; null
-order sorts first; a null or other role doesn't train; equal order keeps
-the rows' lines whole, in any order; conversations of any length; an
+order sorts first; a null or other role doesn't train; rows of one conversation and turn, equal or not, follow each
+other by a checksum of role and text, then by their place in the written input, and each keeps its lines
+together (between them no step is trained); conversations of any length; an
 empty table gives an empty result; extra columns are not read.
 """
 
@@ -108,24 +109,26 @@ class Hmm:
 
 def transcript_lines(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role",
                      text_col: str = "text") -> DataFrame:
-    """Turns as raw transcript lines (conv, turn, pos, line, role, first), each
+    """Turns as raw transcript lines (conv, turn, tie, row, pos, line, role, first), each
     conversation in one of four styles: "User: ...", a "### User" line, "[user] ..." or
-    only a blank line between turns."""
+    only a blank line between turns. ``tie`` and ``row`` tell the rows of one turn apart: a checksum, and
+    the place in the input, which is written so that it stays."""
     t = only(turns, conv_col, turn_col, role_col, text_col).select(
         F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"),
         F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    t = materialize(t.select("*", F.xxhash64("role", "text").alias("tie"), F.monotonically_increasing_id().alias("row")), "chats")
     role = F.coalesce(F.col("role"), F.lit("unknown"))
     style = F.pmod(F.xxhash64("conv"), F.lit(4))
     text = (F.when(style == 0, F.concat(F.initcap(role), F.lit(": "), F.col("text")))
             .when(style == 1, F.concat(F.lit("### "), F.initcap(role), F.lit("\n"), F.col("text")))
             .when(style == 2, F.concat(F.lit("["), role, F.lit("] "), F.col("text")))
             .otherwise(F.concat(F.lit("\n"), F.col("text"))))
-    return t.select("conv", "turn", "role", F.posexplode(F.split(text, "\n", -1)).alias("pos", "line")).withColumn(
+    return t.select("conv", "turn", "tie", "row", "role", F.posexplode(F.split(text, "\n", -1)).alias("pos", "line")).withColumn(
         "first", F.col("pos") == 0)
 
 
 def fit(lines: DataFrame) -> Hmm:
-    """Counts over labelled lines (conv, turn, pos, line, role, first)."""
+    """Counts over labelled lines (as of ``transcript_lines``)."""
     known = lines.where(F.col("role").isin(*ROLES))
     number = F.create_map(*[x for i, r in enumerate(ROLES) for x in (F.lit(r), F.lit(2 * i))])
     state = F.element_at(number, F.col("role")) + F.when(F.col("first"), 0).otherwise(1)
@@ -138,11 +141,11 @@ def fit(lines: DataFrame) -> Hmm:
     for r in (known.select(state.cast("int").alias("state"), "line").mapInArrow(symbol_rows, "state int, symbol long")
               .groupBy("state", "symbol").count().collect()):  # states x symbols at most
         seen[r["state"], r["symbol"]] += r["count"]
-    turn = known.groupBy("conv", "turn").agg(F.first("role").alias("role"), F.max("pos").alias("last"))
+    turn = known.groupBy("conv", "turn", "tie", "row").agg(F.first("role").alias("role"), F.max("pos").alias("last"))
     turn = turn.withColumn("state", F.element_at(number, F.col("role")))
     start = np.zeros(len(STATES))
     start[::2] = 1
-    for r in turn.groupBy("conv").agg(F.min_by("state", "turn").alias("state")).groupBy("state").count().collect():
+    for r in turn.groupBy("conv").agg(F.min_by("state", F.struct("turn", "tie", "row")).alias("state")).groupBy("state").count().collect():
         start[r["state"]] += r["count"]
     step = np.zeros((len(STATES), len(STATES)))
     step[:, ::2] = 1  # any state to the first line of a turn ...
@@ -152,9 +155,12 @@ def fit(lines: DataFrame) -> Hmm:
                                        F.sum(F.greatest(F.col("last") - 1, F.lit(0))).alias("more")).collect():
         step[r["state"], r["state"] + 1] += r["one"]
         step[r["state"] + 1, r["state"] + 1] += r["more"]
-    then = turn.select("conv", (F.col("turn") - 1).alias("turn"), F.col("state").alias("to"))
-    leaves = F.col("state") + F.when(F.col("last") > 0, 1).otherwise(0)
-    for r in turn.join(then, ["conv", "turn"]).groupBy(leaves.alias("from"), "to").count().collect():
+    # from the last row of a turn to the first of the next: one of each, however many rows a turn has
+    place = F.struct("tie", "row")
+    once = turn.groupBy("conv", "turn").agg(F.min_by("state", place).alias("to"), F.max_by(
+        F.col("state") + F.when(F.col("last") > 0, 1).otherwise(0), place).alias("from"))
+    then = once.select("conv", (F.col("turn") - 1).alias("turn"), "to")
+    for r in once.drop("to").join(then, ["conv", "turn"]).groupBy("from", "to").count().collect():
         step[r["from"], r["to"]] += r["count"]
     with np.errstate(divide="ignore"):
         return Hmm(np.log(start / start.sum()), np.log(step / step.sum(1, keepdims=True)), np.log(seen / seen.sum(1, keepdims=True)))
@@ -257,4 +263,4 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     roles of four fifths of the conversations train the model; none is read in parsing."""
     lines = transcript_lines(turns, conv_col, turn_col, role_col, text_col)
     model = fit(lines.where(trained_on(F.col("conv"))))
-    return render(recover(lines, model, "turn", "pos")).withColumnRenamed("conv", conv_col)
+    return render(recover(lines, model, "turn", "tie", "row", "pos")).withColumnRenamed("conv", conv_col)
