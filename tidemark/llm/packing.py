@@ -42,7 +42,7 @@ CAPACITY = 4096
 END_ID = 1
 KNOWN = 200_000  # pretokens whose ids a worker remembers, to twice as many
 TOKEN_SLICE = 1 << 18  # text bytes whose distinct words are looked up at once
-SALT_ROWS = 5_000  # pieces of one length in a numbering group, about
+SALT_ROWS = 1_000  # pieces of one length in a numbering group, about
 
 
 #: how byte-level vocabularies spell bytes: printable ones as themselves, the others from U+0100 on
