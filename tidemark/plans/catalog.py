@@ -7,6 +7,7 @@ the date ranges of the test data (see ``tidemark.plans.params``).
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +16,9 @@ from pyspark.sql import functions as F
 from tidemark.functions.text import parse_date
 from tidemark.operators import acquisition, churn, gaps, grades, lapse, ranking, sales
 from tidemark.plans import params as P
-from tidemark.sources.tables import read_table
+from tidemark.session import MATERIALIZED, checkpoint_dir
+from tidemark.sources import workbook
+from tidemark.sources.tables import SCHEMAS, read_table
 from tidemark.sources.views import events_view, orders_view, profiles_view, sales_summary, sales_view
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -334,6 +337,19 @@ def q_month_text_to_date(spark, sf_dir):
     return gaps.month_text_to_date(_rate(spark, sf_dir), ["month"], "month")
 
 
+# ---- workbooks ---------------------------------------------------------------
+
+@register("workbook_profiles")
+def q_workbook_profiles(spark, sf_dir):
+    """Suppliers, nations and regions written as workbooks of three sheets, read back by their schemas and joined."""
+    tables = {name: read_table(spark, sf_dir, name) for name in ("supplier", "nation", "region")}
+    path = f"{checkpoint_dir(spark)}/{MATERIALIZED}/workbook-{uuid.uuid4().hex}"
+    workbook.write_workbook(tables, path, files=2)
+    supplier, nation, region = (workbook.read_workbook(spark, path, name, SCHEMAS[name], rows_per_partition=10_000) for name in tables)
+    return (supplier.join(nation, supplier.s_nationkey == nation.n_nationkey).join(region, nation.n_regionkey == region.r_regionkey)
+            .select("s_suppkey", "s_name", "n_name", "r_name", "s_acctbal"))
+
+
 # ---- sales analytics -------------------------------------------------------------
 
 # Reports by month read the lines themselves: a part has fewer lines than months, so a sum by part and month reduces nothing.

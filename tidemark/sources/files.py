@@ -1,7 +1,7 @@
-"""File sources that stand in for spreadsheet sheets (SRC2-SRC5, PRJ6).
+"""Sheets as DataFrames (SRC2-SRC5, PRJ6).
 
-A workbook sheet is one CSV or Parquet dataset. Schemas are declared
-(never inferred on large data); column names are trimmed on load.
+A sheet is one of a workbook (``fmt="workbook"``, see ``workbook.py``) or a CSV or Parquet dataset. Schemas
+are declared (never inferred on large data); column names are trimmed on load.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.operators.sales import union_sources
+from tidemark.sources.workbook import FORMAT, read_workbook
 
 
 def trim_column_names(df: DataFrame) -> DataFrame:
@@ -21,14 +22,16 @@ def trim_column_names(df: DataFrame) -> DataFrame:
 
 
 def read_sheet(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
-               fmt: str = "csv", header: bool = True) -> DataFrame:
+               fmt: str = "csv", header: bool = True, sheet: str | int = 0) -> DataFrame:
     """SRC2 / SRC3: one sheet (dataset) as a DataFrame with trimmed column names.
 
     With a header, the fields of ``schema`` are found by their trimmed names, whatever the
     order of the columns; a field that the sheet lacks is an error. Without one they go by
     position. CSV cells that do not fit the declared type load as NULL,
-    like a coerced spreadsheet read.
+    like a coerced spreadsheet read. ``sheet``: which one of a workbook.
     """
+    if fmt == FORMAT:
+        return read_workbook(spark, path, sheet, schema, header)
     reader = spark.read.format(fmt)
     if fmt == "csv":
         reader = reader.option("header", header).option("mode", "PERMISSIVE")
@@ -47,9 +50,10 @@ def read_sheet(spark: SparkSession, path: str, schema: T.StructType | str | None
 def read_sheets(spark: SparkSession, paths: Mapping[str, str],
                 schema: Mapping[str, T.StructType | str] | T.StructType | str | None = None,
                 fmt: str = "csv") -> dict[str, DataFrame]:
-    """SRC4: several sheets by name, with one schema for all or a mapping of one per sheet."""
+    """SRC4: several sheets by name, with one schema for all or a mapping of one per sheet. Of a workbook the
+    names are its sheets' (several sheets may be of one workbook)."""
     own = schema if isinstance(schema, Mapping) else dict.fromkeys(paths, schema)
-    return {name: read_sheet(spark, p, own.get(name), fmt) for name, p in paths.items()}
+    return {name: read_sheet(spark, p, own.get(name), fmt, sheet=name if fmt == FORMAT else 0) for name, p in paths.items()}
 
 
 def read_sources(spark: SparkSession, specs: Mapping[str, tuple[str, str, str]], fmt: str = "csv",
