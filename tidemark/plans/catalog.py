@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import parse_date
-from tidemark.operators import acquisition, churn, gaps, grades, lapse, ranking, sales
+from tidemark.operators import acquisition, activity, churn, gaps, grades, lapse, ranking, sales
 from tidemark.plans import params as P
 from tidemark.session import MATERIALIZED, checkpoint_dir
 from tidemark.sources import workbook
@@ -219,8 +219,19 @@ def q_churn_by_grade_1_then_many(spark, sf_dir):
 
 @register("churn_curve")
 def q_churn_curve(spark, sf_dir):
-    return churn.churn_curve(events_view(spark, sf_dir), P.CURVE_SPAN, P.CURVE_ACTIVE, P.CURVE_FOLLOW,
-                             P.CURVE_GRAIN)
+    # from one row of period bits per user; equal to churn.churn_curve (tests/test_activity.py)
+    days = activity.Calendar.covering(P.CURVE_SPAN, P.CURVE_GRAIN)
+    state = activity.activity_state(events_view(spark, sf_dir), days, P.CURVE_SPAN, P.CURVE_SPAN)
+    return activity.churn_curve(state, days, P.CURVE_ACTIVE, P.CURVE_FOLLOW)
+
+
+@register("activity_state_merged")
+def q_activity_state_merged(spark, sf_dir):
+    """Each user's first and last order, orders and active months, from the merged states of two halves of the orders."""
+    o, months = orders_view(spark, sf_dir), activity.Calendar("1995-01", 84)
+    halves = [activity.activity_state(o.filter(F.pmod("order_id", F.lit(2)) == half), months) for half in (0, 1)]
+    state = activity.merge_states(*halves)
+    return state.select("user_id", "first_ts", "last_ts", "n_orders", activity.n_periods(months).cast("long").alias("active_months"))
 
 
 # ---- acquisition ---------------------------------------------------------------
@@ -279,8 +290,10 @@ def q_existing_later(spark, sf_dir):
 
 
 def _rate(spark, sf_dir):
-    return acquisition.new_customer_rate(orders_view(spark, sf_dir), P.RATE_FIRST_SPAN, P.RATE_SINCE,
-                                         P.RATE_MONTHLY_SPAN)
+    # one row of period bits per user; equal to acquisition.new_customer_rate (tests/test_activity.py)
+    months = activity.Calendar.covering(P.RATE_MONTHLY_SPAN)
+    state = activity.activity_state(orders_view(spark, sf_dir), months, P.RATE_MONTHLY_SPAN, P.RATE_FIRST_SPAN)
+    return activity.new_customer_rate(state, months, P.RATE_SINCE)
 
 
 @register("new_customer_rate")
@@ -295,14 +308,17 @@ def _purchases(spark, sf_dir):
 
 
 def _gaps_window(spark, sf_dir):
-    return gaps.first_gap_one_pass(_purchases(spark, sf_dir), P.GAP_WINDOW_FIRST_SPAN, P.GAP_WINDOW_SPAN,
-                                   P.GAP_WINDOW_TARGETS, P.GAP_GRAIN)
+    # from period bits; equal to gaps.first_gap and first_gap_one_pass (tests/test_activity.py)
+    days = activity.Calendar.covering(P.GAP_WINDOW_SPAN, P.GAP_GRAIN)
+    state = activity.activity_state(_purchases(spark, sf_dir), days, P.GAP_WINDOW_SPAN, P.GAP_WINDOW_FIRST_SPAN)
+    return activity.first_gap(state, days, P.GAP_WINDOW_TARGETS)
 
 
 @register("first_gap_cohort")
 def q_first_gap_cohort(spark, sf_dir):
-    return gaps.first_gap_one_pass(_purchases(spark, sf_dir), P.GAP_COHORT_FIRST_SPAN, P.GAP_COHORT_SPAN,
-                                   P.GAP_COHORT_TARGETS, P.GAP_GRAIN, first_period=P.GAP_COHORT_DAY)
+    days = activity.Calendar.covering(P.GAP_COHORT_SPAN, P.GAP_GRAIN)
+    state = activity.activity_state(_purchases(spark, sf_dir), days, P.GAP_COHORT_SPAN, P.GAP_COHORT_FIRST_SPAN)
+    return activity.first_gap(state, days, P.GAP_COHORT_TARGETS, first_period=P.GAP_COHORT_DAY)
 
 
 @register("first_gap_window")
@@ -328,7 +344,10 @@ def q_first_gap_graded(spark, sf_dir):
 
 @register("first_gap_spine")
 def q_first_gap_spine(spark, sf_dir):
-    spine = _gaps_window(spark, sf_dir).filter(F.col("churned_month").isNotNull())
+    # the source's own form: users times target days, anti join of their orders, the least that is left
+    p = _purchases(spark, sf_dir)
+    spine = gaps.first_gap_spine(acquisition.first_orders(p, P.GAP_WINDOW_FIRST_SPAN, P.GAP_GRAIN), p, P.GAP_WINDOW_SPAN,
+                                 P.GAP_WINDOW_TARGETS, P.GAP_GRAIN, method="spine")
     return gaps.with_grade(spine, grades.grade_by_spend(orders_view(spark, sf_dir)))
 
 
