@@ -1,3 +1,5 @@
+import pytest
+
 
 from conftest import SALES_SCHEMA, ts
 from tidemark.functions.periods import Span
@@ -141,6 +143,31 @@ def test_exact_means_and_sums(spark):
     assert of([1.0, float("inf")]).s == float("inf") and of([1e300, 1.0]).s == 1e300
     big = [9007199254740993.0, 0.25, 1e16, -1e16, 0.25]
     assert of(big) == of(big[::-1])
+    # numbers below a unit keep their digits
+    small = of([4e-7, 4e-7, 3e-7])
+    assert small.s == pytest.approx(1.1e-6, rel=1e-15) and small.m == pytest.approx(1.1e-6 / 3, rel=1e-15)
+    assert of([1e-300, 3e-300, -1e-300]).s == pytest.approx(3e-300, rel=1e-15) and of([1e-7, -1e-7]).s == 0
+    assert of([1 / 3] * 3).s == 1.0 and of([2.5, -1e-9]).s == 2.5 - 1e-9
+
+
+def test_sums_are_the_same_in_every_order(spark):
+    """Money, thirds and mixed signs over many partitionings; the money's total is the decimals' own."""
+    import random
+    from decimal import Decimal
+
+    from tidemark.functions.numbers import exact_sum
+
+    rng = random.Random(4)
+    money = [round(rng.uniform(-10_000, 90_000), 2) for _ in range(3000)]
+    thirds = [rng.uniform(-5, 5) / 3 for _ in range(3000)]
+    for xs in (money, thirds, money + thirds):
+        seen = set()
+        for i in range(4):
+            rng.shuffle(xs)
+            seen.add(spark.createDataFrame([(x,) for x in xs], "x double").repartition(i + 1).agg(exact_sum("x")).first()[0])
+        assert len(seen) == 1
+    want = float(sum(Decimal(repr(x)) for x in money))
+    assert spark.createDataFrame([(x,) for x in money], "x double").agg(exact_sum("x")).first()[0] == want
 
 
 def test_summary_reports_equal_line_reports(spark):

@@ -1,10 +1,11 @@
 """Sums and means of numbers that do not depend on how rows were partitioned.
 
-Values are added in units of ``10**-scale`` (further places are rounded), so every order
-of addition gives the same total. A value below 2**52 units is added as three limbs of a
-long (21 bits each, so that 2**42 rows cannot overflow a sum): no decimal is made
-per row. Larger ones are added as decimals, and those that no decimal holds (infinite or
-over 22 digits before the point) as doubles on top. NaN is a missing number, as NULL is.
+A value is taken apart into whole units of ``10**-scale`` and what is left of it. The units, up to 2**52 of
+them, are added as three limbs of a long (18, 17 and 17 bits, so that 2**45 rows cannot overflow a sum), which
+gives the same total in every order; no decimal is made per row. What is left, nothing for a number of
+``scale`` places, is added as doubles, so that small numbers keep their digits; so are values beyond 2**52 units (4.5e9 at six
+places) and infinite ones. Of these last two, and of numbers far below a unit, the last digit of a total can depend on the order
+of addition; of others the remainders are too small to show in the total. NaN is a missing number, as NULL is.
 """
 
 from __future__ import annotations
@@ -15,7 +16,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SCALE = 6
-_BITS = 21
+_LOW, _HIGH = 18, 35  # where the second and the third limb begin
+LIMBS = ("_low", "_mid", "_high")
 
 
 def number(c: str | Column) -> Column:
@@ -25,7 +27,7 @@ def number(c: str | Column) -> Column:
 
 
 def units(c: str | Column, scale: int = SCALE) -> Column:
-    """The value in whole units of ``10**-scale``; NULL from 2**52 units on."""
+    """The nearest whole number of units of ``10**-scale``; NULL from 2**52 units on."""
     x = number(c) * F.lit(10.0 ** scale)
     return F.when(F.abs(x) < F.lit(2.0 ** 52), F.rint(x).cast("long"))
 
@@ -35,21 +37,17 @@ def sum_parts(c: str | Column, scale: int = SCALE, n: Column | None = None) -> d
     column with the value's ``units``, where they were computed beforehand (once per row)."""
     x = number(c)
     n = units(c, scale) if n is None else n
-    low = F.lit((1 << _BITS) - 1)
-    big = F.when(n.isNull() & x.isNotNull(), x.try_cast(f"decimal(28,{scale})"))
-    return {"_low": F.sum(n.bitwiseAND(low)), "_mid": F.sum(F.shiftright(n, _BITS).bitwiseAND(low)),
-            "_high": F.sum(F.shiftright(n, 2 * _BITS)), "_big": F.sum(big),
-            "_rest": F.sum(F.when(n.isNull() & x.isNotNull() & big.isNull(), x))}
+    near = n / F.lit(10.0 ** scale)
+    left = F.when(n.isNull(), x).when(near != x, x - near)
+    return {"_low": F.sum(n.bitwiseAND(F.lit((1 << _LOW) - 1))),
+            "_mid": F.sum(F.shiftright(n, _LOW).bitwiseAND(F.lit((1 << _HIGH - _LOW) - 1))),
+            "_high": F.sum(F.shiftright(n, _HIGH)), "_rest": F.sum(left)}
 
 
 def total(parts: dict[str, Column], scale: int = SCALE) -> Column:
     """The sum as double from its parts; NULL when no row had a number."""
-    limbs = [parts[p].cast("decimal(20,0)") * F.lit(Decimal(1 << k * _BITS).scaleb(-scale))
-             for k, p in enumerate(("_low", "_mid", "_high"))]
-    small = limbs[0] + limbs[1] + limbs[2]
-    big, rest = parts["_big"], parts["_rest"]
-    exact = F.when(big.isNull(), small.cast("double")).otherwise(
-        (F.coalesce(small, F.lit(0).cast(f"decimal(36,{scale})")) + big).cast("double"))
+    low, mid, high = (parts[p].cast("decimal(20,0)") * F.lit(Decimal(1 << at).scaleb(-scale)) for p, at in zip(LIMBS, (0, _LOW, _HIGH)))
+    exact, rest = (low + mid + high).cast("double"), parts["_rest"]
     return F.when(rest.isNull(), exact).otherwise(F.coalesce(exact, F.lit(0.0)) + rest)
 
 

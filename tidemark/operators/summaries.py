@@ -13,9 +13,9 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.numbers import SCALE, number, sum_parts, total, units
+from tidemark.functions.numbers import LIMBS, SCALE, number, sum_parts, total, units
 
-_SUMS = ("_low", "_mid", "_high", "_big", "_rest")
+_SUMS = (*LIMBS, "_rest")
 PARTS = (*_SUMS, "_n", "_rows")
 
 

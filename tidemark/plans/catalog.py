@@ -476,7 +476,8 @@ def q_top_companies(spark, sf_dir):
 
 @register("top_artist_company")
 def q_top_artist_company(spark, sf_dir):
-    return sales.top_groups_by_mean(sales_summary(spark, sf_dir, ["artist", "company"]), ["artist", "company"], P.TOP_K, P.TOP_MIN_COUNT)
+    # the lines themselves: there are nearly as many pairs of part and supplier as lines
+    return sales.top_groups_by_mean(sales_view(spark, sf_dir, "artist", "company", "price"), ["artist", "company"], P.TOP_K, P.TOP_MIN_COUNT)
 
 
 @register("yearly_summary")
