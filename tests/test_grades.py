@@ -82,3 +82,38 @@ def test_range_partitions_balanced_when_a_third_of_users_tie(spark):
     ranks = {r.user_id: r.rank for r in ranking.with_rank(tagged).collect()}
     expect = sorted(rows, key=lambda r: (-r[1], r[0]))
     assert ranks == {u: i + 1 for i, (u, _) in enumerate(expect)}
+
+
+@pytest.mark.parametrize("kept,accuracy", [(1, 10), (7, 20), (50, 100), (100_000, 1000)])
+def test_selected_values_equal_a_sort(spark, kept, accuracy):
+    """Ties of a third of all rows, runs of near values, NULLs last, ranks that do not exist."""
+    rnd = random.Random(kept)
+    values = [5.0] * 130 + [round(rnd.gauss(0, 3), 3) for _ in range(250)] + [1e300, -1e300] + [None] * 17
+    rnd.shuffle(values)
+    df = spark.createDataFrame([(v,) for v in values], "m double").repartition(5).cache()
+    order = sorted((v for v in values if v is not None), reverse=True)
+    ranks = {f"r{k}": k for k in (0, 1, 2, 50, 131, 200, 201, len(order) - 1, len(order), len(order) + 1)}
+    got = ranking.values_at_ranks(df, "m", ranks, accuracy, kept)
+    assert got == {name: order[k - 1] if 1 <= k <= len(order) else None for name, k in ranks.items()}
+
+
+def test_selection_of_other_types_and_empty_tables(spark):
+    df = spark.range(1000).selectExpr("id % 37 AS m", "cast(id AS string) AS t", "cast(null AS double) AS none")
+    assert ranking.values_at_ranks(df, "m", {"a": 1, "b": 500, "c": 1000}, 20, 3) == {"a": 36, "b": 18, "c": 0}
+    assert ranking.values_at_ranks(df, "none", {"a": 1}) == {"a": None}
+    assert ranking.values_at_ranks(df.limit(0), "m", {"a": 1}) == {"a": None}
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 4, 7, 40])
+def test_selected_thresholds_equal_ranked_ones(spark, n):
+    rnd = random.Random(n)
+    o = _orders(spark, [(u, rnd.choice([10, 20, 30, rnd.randint(0, 99)])) for u in range(n)]) if n else _orders(spark, [(0, 1)]).limit(0)
+    ranked = ranking.quartile_thresholds(ranking.rank_users(o), "total_spent").collect()
+    assert ranking.thresholds_by_selection(ranking.written_totals(o)).collect() == ranked
+
+
+def test_grades_need_no_range_shuffle(spark):
+    o = _orders(spark, [(u % 50, u) for u in range(200)])
+    for df in (ranking.user_totals(o), grades.grade_by_spend(o), ranking.thresholds_by_selection(ranking.written_totals(o))):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "rangepartitioning" not in plan and "Window" not in plan

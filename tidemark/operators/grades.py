@@ -7,8 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.ranking import (quartile_thresholds, ranked_totals,
-                                        thresholds_from_histogram, user_totals, with_rank)
+from tidemark.operators.ranking import thresholds_by_selection, thresholds_from_histogram, user_totals, written_totals
 
 # Grade labels from the highest threshold down.
 GRADE_LABELS = ("VIP", "Gold", "Silver", "Bronze")
@@ -34,15 +33,14 @@ def assign_grade(totals: DataFrame, thresholds: DataFrame, measure: str, grade_c
 def grade_by_spend(orders: DataFrame, extra: Mapping[str, Column] | None = None) -> DataFrame:
     """OP03: ``user_id, total_spent, spending_grade``.
 
-    The ranks are needed only to find the three thresholds; the graded rows
-    are read straight from the materialized totals. ``extra`` per-user
+    The totals are written once; the three thresholds are selected from them without a
+    sort, and the graded rows are read straight from them. ``extra`` per-user
     aggregates (e.g. the last order time) ride along in the same pass and
     come out as extra columns.
     """
-    tagged = ranked_totals(orders, "total_spent", "sum", extra=extra)
-    thr = quartile_thresholds(with_rank(tagged, "rank", "total_count"), "total_spent")
-    return assign_grade(tagged.select("user_id", "total_spent", *(extra or {})), thr, "total_spent",
-                        "spending_grade")
+    totals = written_totals(orders, "total_spent", "sum", extra=extra)
+    return assign_grade(totals, thresholds_by_selection(totals, "total_spent"), "total_spent", "spending_grade").select(
+        "user_id", "total_spent", *(extra or {}), "spending_grade")
 
 
 def grade_by_count(orders: DataFrame) -> DataFrame:

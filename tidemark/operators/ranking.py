@@ -15,6 +15,9 @@ one task. Here the rank is computed distributed:
 
 Sort order is (measure DESC, tie-breaker ASC); with a unique tie-breaker
 the ranks are reproducible.
+
+Where only the values at a few ranks are wanted (the quartile thresholds), nothing is sorted:
+``values_at_ranks`` brackets them with a quantile sketch and counts what lies above and inside (see there).
 """
 
 from __future__ import annotations
@@ -101,6 +104,12 @@ def ranked_totals(orders: DataFrame, measure: str = "total_spent", how: str = "s
     return range_tagged(totals, [F.col(measure).desc(), F.col(key).asc()])
 
 
+def written_totals(orders: DataFrame, measure: str = "total_spent", how: str = "sum", key: str = "user_id",
+                   extra: Mapping[str, Column] | None = None) -> DataFrame:
+    """Per-user totals, written once as they come out of the aggregate."""
+    return materialize(user_totals(orders, measure, how, key=key, extra=extra), "totals")
+
+
 def rank_users(orders: DataFrame, measure: str = "total_spent", how: str = "sum",
                key: str = "user_id") -> DataFrame:
     """OP01: ``user_id, <measure>, rank, total_count``; rank 1 = largest measure.
@@ -132,6 +141,95 @@ def quartile_thresholds(ranked: DataFrame, measure: str = "total_spent") -> Data
     ])
 
 
+ACCURACY = 1000  # of the quantile sketch: it brackets a rank within about 1 / ACCURACY of the rows
+MOST_KEPT = 100_000  # rows of a bracket that are decided by a histogram in one small window; a wider one is bracketed again
+
+
+def _between(low, high) -> Column:
+    """``_m`` strictly between two values; None is no bound."""
+    out = F.lit(True)
+    if low is not None:
+        out = out & (F.col("_m") > F.lit(low))
+    if high is not None:
+        out = out & (F.col("_m") < F.lit(high))
+    return out
+
+
+def values_at_ranks(df: DataFrame, measure: str, ranks: Mapping[str, int], accuracy: int = ACCURACY,
+                    most_kept: int = MOST_KEPT) -> dict[str, object]:
+    """The exact values of ``measure`` at descending ranks (1: the largest; NULL sorts last, a rank that
+    does not exist has the value None), without a sort or a range shuffle. ``df`` is read several times, so it
+    should be a written table.
+
+    Each round is two passes over the values still in question: a quantile sketch names, for every rank, two values that it
+    should lie between by the sketch's error bound; one aggregate counts the rows above, at, between and
+    below these two. The counts say where the rank really is: at one of the two (found), or strictly inside, above or
+    below, which is the next range. A range of at most ``most_kept`` rows is decided by a running count over its
+    histogram (ties are one entry). Only the two values and their counts reach the driver.
+    """
+    rows = df.select(F.col(measure).alias("_m")).filter(F.col(measure).isNotNull())
+    n = rows.count()
+    out: dict[str, object] = dict.fromkeys(ranks)
+    # by rank: the open range it is in, the rows above the range, the rows inside
+    ranges = {name: (None, None, 0, n) for name, k in ranks.items() if 1 <= k <= n}
+    small = {}
+    while ranges:
+        small |= {name: r for name, r in ranges.items() if r[3] <= most_kept}
+        ranges = {name: r for name, r in ranges.items() if r[3] > most_kept}
+        if not ranges:
+            break
+        sketch = []
+        for name, (low, high, above, inside) in ranges.items():
+            place = (inside - (ranks[name] - above) + 0.5) / inside
+            ends = [max(0.0, place - 2 / accuracy), min(1.0, place + 2 / accuracy)]
+            sketch.append(F.percentile_approx(F.when(_between(low, high), F.col("_m")), ends, accuracy).alias(name))
+        ends = rows.agg(*sketch).first()
+        m, counts = F.col("_m"), []
+        for name, (low, high, _, _) in ranges.items():
+            a, b = ends[name]
+            for what, cond in (("over", _between(b, high)), ("high", m == F.lit(b)), ("between", _between(a, b)), ("low", m == F.lit(a)),
+                               ("under", _between(low, a))):
+                counts.append(F.count(F.when(cond, 1)).alias(f"{name}_{what}"))
+        got = rows.agg(*counts).first()
+        for name, (low, high, above, _) in list(ranges.items()):
+            a, b = ends[name]
+            for what, value, bounds in (("over", None, (b, high)), ("high", b, None), ("between", None, (a, b)), ("low", a, None), ("under", None, (low, a))):
+                if a == b and what in ("between", "low"):
+                    continue
+                here = got[f"{name}_{what}"]
+                if ranks[name] <= above + here:
+                    break
+                above += here
+            if bounds is None:
+                out[name] = value
+                del ranges[name]
+            else:
+                ranges[name] = (*bounds, above, here)
+    if small:
+        # at most three times most_kept rows, so one small window
+        wanted = F.lit(False)
+        for low, high, _, _ in small.values():
+            wanted = wanted | _between(low, high)
+        hist = rows.filter(wanted).groupBy("_m").agg(F.count(F.lit(1)).alias("_n"))
+        falling = Window.orderBy(F.col("_m").desc()).rowsBetween(Window.unboundedPreceding, 0)
+        picks = []
+        for name, (low, high, above, _) in small.items():
+            part = _between(low, high)
+            reach = F.sum(F.when(part, F.col("_n")).otherwise(0)).over(falling)
+            picks.append(F.when(part & (reach >= ranks[name] - above), F.col("_m")).alias(name))
+        out |= hist.select(*picks).agg(*[F.max(name).alias(name) for name in small]).first().asDict()
+    return out
+
+
+def thresholds_by_selection(totals: DataFrame, measure: str = "total_spent") -> DataFrame:
+    """OP02 without ranking: one row ``p75, p50, p25`` = the measure at rank floor(n * 0.25 / 0.5 / 0.75) of a
+    written table; NULL for a rank that does not exist (n < 4) or has no value."""
+    n = totals.count()
+    values = values_at_ranks(totals, measure, {name: int(n * frac) for name, frac in QUARTILE_FRACTIONS.items()})
+    kind = totals.schema[measure].dataType
+    return totals.sparkSession.range(1).select(*[F.lit(values[name]).cast(kind).alias(name) for name in QUARTILE_FRACTIONS])
+
+
 def thresholds_from_histogram(totals: DataFrame, measure: str) -> DataFrame:
     """OP02 for a low-cardinality measure (order counts) without ranking users.
 
