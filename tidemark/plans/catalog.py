@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import parse_date
-from tidemark.operators import acquisition, activity, churn, gaps, grades, lapse, ranking, sales
+from tidemark.operators import acquisition, activity, churn, distinct, gaps, grades, lapse, ranking, sales
 from tidemark.plans import params as P
 from tidemark.session import MATERIALIZED, checkpoint_dir
 from tidemark.sources import workbook
@@ -274,6 +274,30 @@ def q_monthly_totals(spark, sf_dir):
     return _monthly(spark, sf_dir)
 
 
+def _monthly_bitmaps(spark, sf_dir):
+    """Users of each month as bitmaps, united from those of its days."""
+    days = distinct.period_bitmaps(P.ACTIVITY_SPAN.apply(orders_view(spark, sf_dir), "ts"))
+    return distinct.roll_up(days, "month")
+
+
+@register("monthly_totals_bitmap")
+def q_monthly_totals_bitmap(spark, sf_dir):
+    return distinct.period_counts(_monthly_bitmaps(spark, sf_dir), "month")
+
+
+@register("quarterly_totals_bitmap")
+def q_quarterly_totals_bitmap(spark, sf_dir):
+    return distinct.period_counts(distinct.roll_up(_monthly_bitmaps(spark, sf_dir), "quarter"), "quarter", "order_quarter")
+
+
+@register("cohort_by_month")
+def q_cohort_by_month(spark, sf_dir):
+    """How many of the first month's customers order in each month."""
+    months = _monthly_bitmaps(spark, sf_dir)
+    cohort = distinct.unite(months.filter(F.col("start") == F.lit(P.ACTIVITY_SPAN.start).cast("date")), [])
+    return distinct.in_set(months, cohort).select(F.col("start").alias("month"), "customers")
+
+
 @register("acquisition_report")
 def q_acquisition_report(spark, sf_dir):
     return acquisition.acquisition_report_one_pass(orders_view(spark, sf_dir), P.FIRST_SPAN, P.NEW_SINCE, P.ACTIVITY_SPAN)
