@@ -1,3 +1,5 @@
+import pytest
+
 from conftest import ORDERS_SCHEMA, SF01, ts
 from tidemark.functions.periods import Span
 from tidemark.operators import churn
@@ -67,3 +69,39 @@ def test_aliases(spark):
     a = spark.createDataFrame([(ts("2020-01-05"), 1.0), (ts("2021-01-05"), 3.0)], "d timestamp_ntz, p double")
     ys = sales.yearly_summary_multi({"A": (a, "d", "p")}, Span("2019-01-01", "2024-12-31"))
     assert sorted((r.year, r.avg_price_change_pct) for r in ys.collect()) == [(2020, None), (2021, 200.0)]
+
+
+def test_next_at_or_after_equals_brute_force(spark):
+    import datetime as dt
+    import random
+
+    from tidemark.operators.relational import next_at_or_after
+
+    rng = random.Random(2)
+    day = lambda i: dt.date(2024, 1, 1) + dt.timedelta(days=i)
+    events = [(rng.choice([None, 1, 1, 1, 2, 3]), rng.choice([None, day(rng.randint(0, 40))])) for _ in range(300)]
+    probes = [(rng.choice([None, 1, 2, 3, 4]), rng.choice([None, day(rng.randint(-5, 50))]), i) for i in range(120)]
+    got = next_at_or_after(spark.createDataFrame(events, "k long, at date").repartition(4), spark.createDataFrame(probes, "k long, at date, tag int"), "k", "at")
+    want = {i: (k, a, min((e for u, e in events if e and a and u == k and k is not None and e >= a), default=None)) for k, a, i in probes}
+    assert {r["tag"]: (r["k"], r["at"], r["next_at"]) for r in got.collect()} == want
+    assert got.columns == ["k", "at", "tag", "next_at"] and len(want) == 120
+
+
+@pytest.mark.parametrize("grain,gap,quiet_after", [("month", 3, None), ("month", 2, 2), ("quarter", 1, 2)])
+def test_churners_as_of_a_date_inside_the_data(spark, grain, gap, quiet_after):
+    import random
+
+    rng = random.Random(gap)
+    rows = [(rng.choice([None, 1, 1, *range(2, 60)]), i, 1.0, ts(f"202{rng.randint(2, 4)}-{rng.randint(1, 12):02d}-{rng.randint(1, 28):02d}")) for i in range(220)]
+    o = spark.createDataFrame(rows, ORDERS_SCHEMA)
+    size = 3 if grain == "quarter" else 1
+    number = lambda t: (t.year * 12 + t.month - 1) // size
+    want = {}
+    for u in {r[0] for r in rows} - {None}:
+        before = [number(r[3]) for r in rows if r[0] == u and r[3] < ts("2023-07-01")]
+        if before:
+            last, seen = max(before), {number(r[3]) for r in rows if r[0] == u}
+            quiet = not any(last + gap <= p < last + 2 * gap for p in seen)
+            want[u] = quiet and not any(last < p < last + quiet_after for p in seen) if quiet_after else quiet
+    got = {r["user_id"]: r["quiet"] for r in churn.churners_as_of(o, "2023-07-01", gap, grain, quiet_after).collect()}
+    assert got == want and set(got.values()) == {True, False}

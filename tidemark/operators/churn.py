@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.periods import (Span, in_period, label_of_start, period_key, period_start,
                                         period_trunc, shift_period)
+from tidemark.operators.relational import next_at_or_after
 
 # Fixed value: label of a user with no zero period in the follow-up.
 STILL_ACTIVE = "Still Active"
@@ -68,6 +69,28 @@ def potential_churners(orders: DataFrame, gap: int = 3, cut: str | None = None,
     return out
 
 
+def churners_as_of(orders: DataFrame, as_of: str, gap: int = 3, grain: str = "month", quiet_after_last: int | None = None,
+                   key: str = "user_id") -> DataFrame:
+    """OP21 / OP22 as of a date inside the data: ``user_id, last_order_month, churn_start_month, quiet``.
+
+    The last period is that of the orders before ``as_of``; ``quiet`` says that no order of any time, later ones included,
+    lies in [churn_start, churn_start + gap) nor, with ``quiet_after_last``, strictly between the last period and so many
+    periods after it. Here both tests can fail. Each test is one as-of pass over the users' periods
+    (``next_at_or_after``), so nobody's orders are joined by range.
+    """
+    periods = orders.select(key, period_trunc("ts", grain).alias("_at"))
+    last = _before(orders, as_of).filter(F.col(key).isNotNull()).groupBy(key).agg(F.max("ts").alias("_hi"))
+    start = period_trunc("_hi", grain)
+    out = last.select(key, start.alias("_last"), shift_period(start, gap, grain).alias("_at"))
+    out = next_at_or_after(periods, out, key, "_at", "_next").withColumnRenamed("_at", "churn_start_month")
+    quiet = F.col("_next").isNull() | (F.col("_next") >= shift_period(F.col("churn_start_month"), gap, grain))
+    if quiet_after_last is not None:
+        out = out.withColumn("_at", shift_period(F.col("_last"), 1, grain))
+        out = next_at_or_after(periods, out, key, "_at", "_soon").drop("_at")
+        quiet = quiet & (F.col("_soon").isNull() | (F.col("_soon") >= shift_period(F.col("_last"), quiet_after_last, grain)))
+    return out.select(key, label_of_start("_last", grain).alias("last_order_month"), "churn_start_month", quiet.alias("quiet"))
+
+
 def user_period_counts(orders: DataFrame, span: Span, grain: str = "month", key: str = "user_id") -> DataFrame:
     """OP23: ``user_id, order_month, order_count`` (orders per user and period in ``span``)."""
     per = (span.apply(orders, "ts")

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.periods import Span, label_of_start, period_trunc
@@ -79,6 +79,24 @@ def period_activity(orders: DataFrame, grain: str = "month", period_col: str = "
                            period_col, users_col, orders_col, key)
 
 
+def next_at_or_after(events: DataFrame, probes: DataFrame, key: str, at: str, name: str = "next_at") -> DataFrame:
+    """As-of pass: the rows of ``probes`` (``key``, ``at``, ...) with the first event of the same key at or after ``at``,
+    NULL if none follows.
+
+    Events and probes are one tagged union, sorted within the key; a running minimum from the end answers
+    each probe, with no range join. Events are reduced to distinct (key, at) pairs first, so a hot key has as many rows as it has
+    different times; ``at`` should therefore be a period rather than a moment. NULL keys match nothing, as in a join.
+    """
+    more = [c for c in probes.columns if c not in (key, at)]
+    own = probes.select(F.col(key), F.col(at), F.struct(F.lit(0).alias("_"), *[F.col(c) for c in more]).alias("_more"), F.lit(True).alias("_probe"))
+    seen = events.select(F.col(key), F.col(at).cast(probes.schema[at].dataType).alias(at)).filter(F.col(key).isNotNull()).distinct()
+    both = own.unionByName(seen.withColumn("_probe", F.lit(False)), allowMissingColumns=True)
+    after = Window.partitionBy(key).orderBy(F.col(at).asc_nulls_first()).rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    found = F.min(F.when(~F.col("_probe"), F.col(at))).over(after)
+    return (both.withColumn(name, F.when(F.col(key).isNotNull() & F.col(at).isNotNull(), found)).filter("_probe")
+            .select(key, at, *[F.col("_more")[c].alias(c) for c in more], name))
+
+
 def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write ``df`` as Parquet under the shared checkpoint folder and read it back.
 

@@ -1,7 +1,9 @@
 """Registered queries: each binds an operator to the test tables and its parameters.
 
-Every callable takes ``(spark, sf_dir)`` and returns a lazy DataFrame over
-the whole input tables. Parameters mirror the source analyses, moved onto
+Every callable takes ``(spark, sf_dir)`` and returns a DataFrame over the whole input tables. Most are lazy;
+those that need written rows (ranks, selected thresholds, grades, flags, tables, workbooks) run the jobs that write
+them when they are called, under ``spark.checkpoint.dir`` or in the session warehouse, where they stay until
+``session.clean_materialized`` or a drop. Parameters mirror the source analyses, moved onto
 the date ranges of the test data (see ``tidemark.plans.params``).
 """
 
@@ -13,11 +15,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import parse_date
+from tidemark.functions.text import clean_missing_text, parse_date
 from tidemark.operators import acquisition, activity, churn, distinct, gaps, grades, lapse, ranking, sales
 from tidemark.plans import params as P
 from tidemark.session import MATERIALIZED, checkpoint_dir
-from tidemark.sources import workbook
+from tidemark.sources import files, sinks, updates, workbook
 from tidemark.sources.tables import SCHEMAS, read_table
 from tidemark.sources.views import events_view, orders_view, profiles_view, sales_summary, sales_view
 
@@ -193,6 +195,16 @@ def q_potential_churners_2m(spark, sf_dir):
                                     quiet_after_last=P.CHURN_QUIET)
 
 
+@register("churners_as_of")
+def q_churners_as_of(spark, sf_dir):
+    return churn.churners_as_of(orders_view(spark, sf_dir), P.AS_OF, P.CHURN_GAP)
+
+
+@register("churners_as_of_2m")
+def q_churners_as_of_2m(spark, sf_dir):
+    return churn.churners_as_of(orders_view(spark, sf_dir), P.AS_OF, P.CHURN_GAP, quiet_after_last=P.AS_OF_QUIET)
+
+
 @register("user_period_counts")
 def q_user_period_counts(spark, sf_dir):
     return churn.user_period_counts(orders_view(spark, sf_dir), P.PIVOT_SPAN, "month")
@@ -380,6 +392,84 @@ def q_month_text_to_date(spark, sf_dir):
     return gaps.month_text_to_date(_rate(spark, sf_dir), ["month"], "month")
 
 
+# ---- tables of the session warehouse -------------------------------------------
+
+def _table(name: str) -> str:
+    """A table name of its own for each call; the result reads the table, so it stays until it is dropped."""
+    return f"tidemark_{name}_{uuid.uuid4().hex[:12]}"
+
+
+@register("table_create_append")
+def q_table_create_append(spark, sf_dir):
+    """Orders up to a date as a table, the later ones inserted with a column list in another order."""
+    o, t = orders_view(spark, sf_dir), _table("orders")
+    sinks.drop_table(spark, t)
+    sinks.persist_table(P.TABLE_SPAN.apply(o, "ts"), t)
+    later = o.filter(~P.TABLE_SPAN.predicate(o, "ts"))
+    sinks.insert_into(spark, t, later.select("ts", "user_id", "order_id"), ["ts", "user_id", "order_id"])
+    return spark.table(t)
+
+
+@register("table_add_and_update")
+def q_table_add_and_update(spark, sf_dir):
+    """Totals as a table, a column added to it and filled from each user's orders of one span."""
+    o, t = orders_view(spark, sf_dir), _table("totals")
+    sinks.persist_table(ranking.user_totals(o), t)
+    sinks.add_column(spark, t, "last_order", "timestamp_ntz")
+    sinks.update_from(spark, t, P.LAPSE_ACTIVE.apply(o, "ts").groupBy("user_id").agg(F.max("ts").alias("last")), "user_id", {"last_order": "last"})
+    return spark.table(t)
+
+
+@register("table_update_and_retype")
+def q_table_update_and_retype(spark, sf_dir):
+    """First order months as a table: the text made a date text in place, then the column's type changed."""
+    t = _table("first")
+    sinks.persist_table(_first(spark, sf_dir), t)
+    sinks.update_column(spark, t, "first_order_month", F.concat("first_order_month", F.lit("-01")))
+    sinks.retype_column(spark, t, "first_order_month", "date")
+    return spark.table(t)
+
+
+@register("table_staged_copy")
+def q_table_staged_copy(spark, sf_dir):
+    """A staged view saved as a table and copied; the first one is dropped, and sheet-like names are trimmed."""
+    t, copy = _table("staged"), _table("copy")
+    raw = read_table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias(" id"), F.col("s_name").alias("name "))
+    staged = sinks.stage(files.trim_column_names(raw), _table("view"))
+    sinks.persist_table(staged, t)
+    staged.unpersist()
+    sinks.copy_table(spark, t, copy)
+    sinks.drop_table(spark, t)
+    return spark.table(copy)
+
+
+@register("activity_status_two_writes")
+def q_activity_status_two_writes(spark, sf_dir):
+    g = grades.grade_by_spend(orders_view(spark, sf_dir))
+    flags = _flags(spark, sf_dir)
+    return sinks.activity_status_two_writes(spark, _table("status"), _churned(spark, sf_dir, g, flags), lapse.recent_from_flags(flags), g)
+
+
+@register("table_update_partitions")
+def q_table_update_partitions(spark, sf_dir):
+    """Orders partitioned by year: those of the largest customers get a note from a join, one year's small ones a zero."""
+    o, t = orders_view(spark, sf_dir), _table("by_year")
+    sinks.persist_table(o.select("order_id", "user_id", "amount", F.lit(None).cast("string").alias("note"), F.year("ts").alias("year")), t, partition_by=["year"])
+    big = o.filter(F.col("amount") >= P.BIG_ORDER).groupBy("order_id").agg(F.concat(F.lit("big "), F.floor(F.max("amount") / 1000).cast("string")).alias("note"))
+    updates.update_partitions_from(spark, t, big, "order_id", {"note": "note"})
+    updates.update_partitions_where(spark, t, {"amount": F.lit(0.0)}, (F.col("year") == P.SMALL_YEAR) & (F.col("amount") < P.SMALL_ORDER))
+    return spark.table(t)
+
+
+@register("table_append_batches")
+def q_table_append_batches(spark, sf_dir):
+    """Orders appended by year of order, one year twice: it counts once."""
+    o, t = orders_view(spark, sf_dir), _table("batches")
+    for year in (*P.BATCH_YEARS, P.BATCH_YEARS[0]):
+        updates.append_batch(spark, t, o.filter(F.year("ts") == year), str(year))
+    return spark.table(t).groupBy("batch_id").agg(F.count(F.lit(1)).alias("orders"), F.max("order_id").alias("last_order"))
+
+
 # ---- workbooks ---------------------------------------------------------------
 
 @register("workbook_profiles")
@@ -500,8 +590,7 @@ def q_top_companies(spark, sf_dir):
 
 @register("top_artist_company")
 def q_top_artist_company(spark, sf_dir):
-    # the lines themselves: there are nearly as many pairs of part and supplier as lines
-    return sales.top_groups_by_mean(sales_view(spark, sf_dir, "artist", "company", "price"), ["artist", "company"], P.TOP_K, P.TOP_MIN_COUNT)
+    return sales.top_groups_by_mean(sales_summary(spark, sf_dir, ["artist", "company"]), ["artist", "company"], P.TOP_K, P.TOP_MIN_COUNT)
 
 
 @register("yearly_summary")
@@ -547,6 +636,16 @@ def q_profile_of_top(spark, sf_dir):
     return _profile_of_top(spark, sf_dir)
 
 
+@register("clean_missing_names")
+def q_clean_missing_names(spark, sf_dir):
+    """Country names as they come from sheets: padded with blanks and tabs, '-', blank or missing."""
+    supplier, nation = read_table(spark, sf_dir, "supplier"), read_table(spark, sf_dir, "nation")
+    way, n = F.pmod("s_suppkey", F.lit(8)), F.col("n_name")
+    dirty = (F.when(way == 0, F.concat(F.lit("\t "), n, F.lit("  "))).when(way == 1, F.lit("-")).when(way == 2, F.lit("")).when(way == 3, F.lit(" \t "))
+             .when(way == 4, F.lit(" - ")).when(way == 5, F.concat(n, F.lit("\n"))).when(way == 6, n))
+    return supplier.join(nation, supplier.s_nationkey == nation.n_nationkey).select("s_suppkey", clean_missing_text(dirty).alias("country"))
+
+
 @register("mean_by_birth")
 def q_mean_by_birth(spark, sf_dir):
     return sales.mean_by(_profile_of_top(spark, sf_dir), ["country_birth"])

@@ -30,6 +30,15 @@ CHURN_GAP = 3
 CHURN_CUT = "1998-01-01"
 CHURN_QUIET = 2
 
+# Churners as of a date inside the data.
+AS_OF = "1998-01-01"
+AS_OF_QUIET = 3
+
+# Tables: rows created and appended, large and small orders, years appended.
+TABLE_SPAN = Span(None, "1998-01-01", closed=False)
+BIG_ORDER, SMALL_ORDER, SMALL_YEAR = 400_000, 20_000, 1997
+BATCH_YEARS = (1996, 1997, 1998)
+
 # Orders per user and period, pivot (OP23-OP24): four months.
 PIVOT_SPAN = Span("1997-01-01", "1997-05-01", closed=False)
 PIVOT_PERIODS = ["1997-01", "1997-02", "1997-03", "1997-04"]
