@@ -127,3 +127,16 @@ def test_sales_lines_are_summed_before_they_move(spark, name):
                 above.append(line)
         first = next(x for x in above if any(w in x for w in ("Aggregate", "Exchange", "Join")))
         assert "Aggregate" in first, "\n".join(plan)
+
+
+def test_bucketed_tables_need_no_shuffle_on_the_user(spark):
+    """Broadcasting off: aggregates and joins by user over bucketed orders and grades move nothing."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = QUERIES["status_bucketed"](spark, SF01)
+        df.collect()
+        plan = _plan(df)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert "hashpartitioning" not in plan and "SortMergeJoin" in plan, plan

@@ -231,3 +231,31 @@ def test_distinct_values_and_first_rows(spark):
     df = spark.createDataFrame([(2, "b"), (1, "b"), (1, "a"), (None, None)], "n int, s string")
     assert [r[0] for r in sales.distinct_values(df, "s").collect()] == [None, "a", "b"]
     assert [tuple(r) for r in sales.first_rows(df, 3, "n").collect()] == [(None, None), (1, "a"), (1, "b")]
+
+
+def test_profile_of_all_columns(spark):
+    """A value of a third of all rows, near ties, ties, flat columns, NULLs, an empty column; exact whatever the sketch holds."""
+    import random
+    from collections import Counter
+
+    from tidemark.operators.profiling import profile_table
+
+    rng = random.Random(5)
+    rows = [("hot" if i % 3 == 0 else rng.choice("abcdefgh"), None if i % 10 == 0 else i % 40, float(i), i % 2 == 0, None,
+             ts(f"2024-01-{1 + min(i % 29, 27):02d}"), {"m": 1}) for i in range(3000)]
+    schema = "s string, near int, flat double, flag boolean, none string, at timestamp_ntz, m map<string,int>"
+    df = spark.createDataFrame(rows, schema).repartition(4)
+    for tracked in (20, 64, 10_000):
+        got = {}
+        for r in profile_table(df, 3, tracked=tracked).collect():
+            got.setdefault(r["column_name"], []).append(r)
+        assert set(got) == {"s", "near", "flat", "flag", "none", "at"}
+        for at, name in enumerate(("s", "near", "flat", "flag", "none", "at")):
+            values = [r[at] for r in rows if r[at] is not None]
+            want = sorted(Counter(values).items(), key=lambda x: (-x[1], x[0]))[:3]
+            text = lambda v: str(v).lower() if isinstance(v, bool) else str(v)
+            assert [(r["value"], r["value_count"]) for r in got[name]] == ([(text(v), n) for v, n in want] or [(None, None)]), (name, tracked)
+            assert {(r["row_count"], r["non_null"]) for r in got[name]} == {(3000, len(values))}
+            if values:
+                assert got[name][0]["min_value"] == text(min(values)) and got[name][0]["max_value"] == text(max(values))
+    assert profile_table(df.limit(0)).count() == 6 and profile_table(df.select("m")).count() == 0

@@ -173,6 +173,16 @@ def activity_status(churned: DataFrame, recent: DataFrame, grades: DataFrame) ->
     return inactive.unionByName(active)
 
 
+def status_with_last_order(churned: DataFrame, recent: DataFrame, grades: DataFrame, orders: DataFrame) -> DataFrame:
+    """OP13 -> OP15 with the last orders joined on each side of the union, where the user still has its partitioning:
+    over tables bucketed by the user nothing is shuffled. Equal to ``with_last_order(activity_status(...), orders)``."""
+    last = last_order(orders)
+    inactive = churned.select("user_id", "spending_grade", F.lit(INACTIVE).alias("activity_status"))
+    active = (recent.select("user_id").join(grades.select("user_id", "spending_grade"), "user_id")
+              .select("user_id", "spending_grade", F.lit(ACTIVE).alias("activity_status")))
+    return inactive.join(last, "user_id", "left").unionByName(active.join(last, "user_id", "left"))
+
+
 def to_second(ts: Column | str) -> Column:
     """A timestamp truncated to the second (the source formats it as text and back)."""
     return F.to_timestamp_ntz(F.date_format(ts, "yyyy-MM-dd HH:mm:ss"))

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import clean_missing_text, parse_date
-from tidemark.operators import acquisition, activity, churn, distinct, gaps, grades, lapse, ranking, sales
+from tidemark.operators import acquisition, activity, churn, distinct, gaps, grades, lapse, profiling, ranking, sales
 from tidemark.plans import params as P
 from tidemark.session import MATERIALIZED, checkpoint_dir
 from tidemark.sources import files, sinks, updates, workbook
@@ -461,6 +461,21 @@ def q_table_update_partitions(spark, sf_dir):
     return spark.table(t)
 
 
+@register("status_bucketed")
+def q_status_bucketed(spark, sf_dir):
+    """Activity status with last orders over orders and grades that are bucketed by user: no shuffle after the tables are written."""
+    o = orders_view(spark, sf_dir)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    names = _table("orders_by_user"), _table("grades_by_user")
+    sinks.persist_bucketed(o, names[0], "user_id", n)
+    sinks.persist_bucketed(grades.grade_by_spend(o), names[1], "user_id", n)
+    o, g = (spark.table(t) for t in names)
+    lapsed = lapse.lapsed(o, P.LAPSE_ACTIVE, P.LAPSE_SILENT)
+    steady = lapse.consistent_buyers(lapse.active_periods(o, P.PATTERN_SPAN, lapsed, P.PATTERN_GRAIN), P.PATTERN_K)
+    recent = lapse.recent_buyers(o, P.RECENT_SPAN)
+    return lapse.status_with_last_order(lapse.churned_consistent(steady, recent, g), recent, g, o)
+
+
 @register("table_append_batches")
 def q_table_append_batches(spark, sf_dir):
     """Orders appended by year of order, one year twice: it counts once."""
@@ -543,6 +558,11 @@ def q_profile(spark, sf_dir):
     return sales.profile(sales_view(spark, sf_dir, "price"), "price")
 
 
+@register("profile_lineitem")
+def q_profile_lineitem(spark, sf_dir):
+    return profiling.profile_table(read_table(spark, sf_dir, "lineitem"), P.PROFILE_TOP)
+
+
 @register("volume_before_after")
 def q_volume_before_after(spark, sf_dir):
     return sales.volume_before_after(sales_view(spark, sf_dir, "price", "date"), P.SALES_CUT)

@@ -85,6 +85,7 @@ SALES_SINCE = "1999-01-01"
 PADDED_YEARS = (1997, 1998)  # their amounts are blanked, so that a mean must be padded
 DATE_TEXTS = ("yyyy-MM-dd", "yyyy/MM/dd", "MM/dd/yyyy", "MMMM d, yyyy")
 TOP_K = 10
+PROFILE_TOP = 3
 TOP_MIN_COUNT = 10
 YEARLY_SPAN = Span("1995-06-01", "2000-12-31")
 MULTI_SPAN = Span("1995-06-01", "2024-12-31")

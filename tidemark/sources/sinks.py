@@ -37,6 +37,13 @@ def persist_table(df: DataFrame, name: str, mode: str = "errorifexists", fmt: st
     writer.saveAsTable(name)
 
 
+def persist_bucketed(df: DataFrame, name: str, key: str, buckets: int, mode: str = "errorifexists") -> None:
+    """SRC6 / SRC7 as a bucketed layout: rows are dealt by ``key`` once, when they are written (a file per
+    bucket, sorted by the key). Aggregates by the key and joins on it, also between tables of
+    the same number of buckets, then need no shuffle. A hot key makes its bucket as large as it is."""
+    df.repartition(buckets, key).write.mode(mode).bucketBy(buckets, key).sortBy(key).saveAsTable(name)
+
+
 def drop_table(spark: SparkSession, name: str, temporary: bool = False) -> None:
     """SRC8: ``DROP [TEMPORARY] TABLE IF EXISTS``."""
     if temporary:
