@@ -9,8 +9,8 @@ shorter item), its words are hit, and the items of that window are noted. A word
 holds resets the walk, so stretches of known words shorter than the shortest
 window are not walked at all: nothing in them can reach a window.
 
-Scale: items are split by a hash of their words into parts of about ``PART_WORDS`` words.
-A task builds each part's automaton and writes it in the shared folder, and the tasks that
+Scale: equal item texts are one text with a list of ids; texts are split by a hash into parts of about ``PART_WORDS`` words.
+The automaton of a part is kept in arrays, about 60 bytes a word. A task builds each part's automaton and writes it in the shared folder, and the tasks that
 scan load it from there; the driver sees one path per part and no item. Documents are scanned with no
 shuffle, once per part, one part after the other, so that a task holds one automaton of bounded size however
 many items there are; the parts' spans are merged per document.
@@ -26,6 +26,8 @@ from __future__ import annotations
 import math
 import pickle
 import uuid
+from array import array
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +40,7 @@ from .common import only, slices
 from .warc_zip import _file, shared_uri
 
 WINDOW = 10
-PART_WORDS = 1_000_000
+PART_WORDS = 500_000
 
 #: every byte outside words becomes a space, A-Z become a-z
 _FOLD = bytes(b if b > 127 or 48 <= b <= 57 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
@@ -51,45 +53,90 @@ def item_words(text: str | bytes | None) -> list[bytes]:
 
 
 class SuffixAutomaton:
-    """All word sequences that occur in some item, and which items hold a window."""
+    """All word sequences that occur in some text, and which texts hold a window.
 
-    def __init__(self, items: list[tuple[str | None, list[bytes]]], window: int):
+    While it is built, states have a dictionary of edges. ``_freeze`` keeps arrays only: the edges of all states
+    one after the other, sorted by word, a link and a length per state, and per state the number of a set of texts; equal sets are one
+    set. ``ids`` are the item ids of each distinct text."""
+
+    def __init__(self, texts: list[tuple[list[str], list[bytes]]], window: int):
         self.window = window
         self.word: dict[bytes, int] = {}
         self.next: list[dict[int, int]] = [{}]
-        self.link, self.len = [-1], [0]
-        short: dict[tuple[int, int], set[str]] = {}
-        numbered = [(i, [self.word.setdefault(w, len(self.word)) for w in ws]) for i, ws in items if ws]
+        self.link, self.len = array("i", [-1]), array("i", [0])
+        self.ids = [ids for ids, _ in texts]
+        numbered = [(t, [self.word.setdefault(w, len(self.word)) for w in ws]) for t, (_, ws) in enumerate(texts) if ws]
         for _, ws in numbered:
             at = 0
             for w in ws:
                 at = self._extend(at, w)
-        holds = [set() for _ in self.next]
-        for i, ws in numbered:
-            name = set() if i is None else {i}
-            at = 0
+        self.sets: list[frozenset] = [frozenset()]  # of text numbers
+        known, joined = {self.sets[0]: 0}, {}
+
+        def number(one: frozenset) -> int:
+            if one not in known:
+                known[one] = len(self.sets)
+                self.sets.append(one)
+            return known[one]
+
+        def union(x: int, y: int) -> int:
+            if x == y or not y:
+                return x
+            if not x:
+                return y
+            if (x, y) not in joined:
+                joined[x, y] = number(self.sets[x] | self.sets[y])
+            return joined[x, y]
+
+        holds = array("i", bytes(4 * len(self.len)))
+        short: dict[int, dict[int, int]] = {}  # state: {length of a short text: set of such texts}
+        for t, ws in numbered:
+            own, at = number(frozenset([t])), 0
             for w in ws:
                 at = self.next[at][w]
-                holds[at] |= name
+                if self.len[at] >= window:  # shorter states are never asked for their texts
+                    holds[at] = union(holds[at], own)
             if len(ws) < window:
-                # the state on the link path that stands for exactly the whole item
+                # the state on the link path that stands for exactly the whole text
                 while self.len[self.link[at]] >= len(ws):
                     at = self.link[at]
-                short.setdefault((at, len(ws)), set()).update(name)
-        for v in sorted(range(1, len(self.len)), key=self.len.__getitem__, reverse=True):
-            holds[self.link[v]] |= holds[v]  # a suffix occurs wherever the longer text does
-        #: per state: items of its window-long suffix; and [(length, items)] of the short items it ends with
-        self.items: list[frozenset] = [frozenset()] * len(self.len)
-        self.ends: list[tuple] = [()] * len(self.len)
-        by_state: dict[int, list] = {}
-        for (v, n), ids in short.items():
-            by_state.setdefault(v, []).append((n, frozenset(ids)))
-        for v in sorted(range(1, len(self.len)), key=self.len.__getitem__):
+                here = short.setdefault(at, {})
+                here[len(ws)] = union(here.get(len(ws), 0), own)
+        order = np.argsort(np.frombuffer(self.len, np.int32), kind="stable")[1:].tolist()
+        for v in reversed(order):
+            if self.len[self.link[v]] >= window:
+                holds[self.link[v]] = union(holds[self.link[v]], holds[v])  # a suffix occurs wherever the longer text does
+        #: per state: the set of its window-long suffix; and which list of (length, set) of the short texts it ends with
+        self.held, self.ends = array("i", bytes(4 * len(self.len))), array("i", bytes(4 * len(self.len)))
+        self.endings: list[tuple] = [()]
+        for v in order:
             up = self.link[v]
             if self.len[v] >= window:
-                self.items[v] = self.items[up] if self.len[up] >= window else frozenset(holds[v])
-            self.ends[v] = (*self.ends[up], *sorted(by_state.get(v, ())))
-        self.shortest = min([window] + [n for _, n in short])
+                self.held[v] = self.held[up] if self.len[up] >= window else holds[v]
+            self.ends[v] = self.ends[up]
+            if v in short:
+                self.ends[v] = len(self.endings)
+                self.endings.append((*self.endings[self.ends[up]], *sorted(short[v].items())))
+        self.shortest = min([window] + [n for x in short.values() for n in x])
+        used = sorted({0, *self.held, *(x for e in self.endings for _, x in e)})  # sets on the way to others go
+        at = {x: i for i, x in enumerate(used)}
+        self.sets = [self.sets[x] for x in used]
+        self.held = array("i", [at[x] for x in self.held])
+        self.endings = [tuple((n, at[x]) for n, x in e) for e in self.endings]
+        self._freeze()
+
+    def _freeze(self) -> None:
+        self.root = array("i", [0]) * len(self.word)
+        for w, to in self.next[0].items():
+            self.root[w] = to
+        self.first, self.by, self.to = array("i", [0]), array("i"), array("i")
+        for v, edges in enumerate(self.next):
+            for w in sorted(edges) if v else ():  # those of the root are by word
+                self.by.append(w)
+                self.to.append(edges[w])
+            self.first.append(len(self.by))
+            self.next[v] = None
+        self.next = None
 
     def _extend(self, last: int, c: int) -> int:
         """The state of the sequence of ``last`` followed by ``c``, adding what is missing."""
@@ -126,37 +173,44 @@ class SuffixAutomaton:
         known = np.fromiter(map(self.word.get, words, [-1] * len(words)), np.int64, len(words))
         edge = np.flatnonzero(np.diff(np.concatenate([[0], (known >= 0).view(np.int8), [0]])))
         spans: list[tuple[int, int]] = []
-        found: set[str] = set()
-        window, nexts, links, lens = self.window, self.next, self.link, self.len
+        found: set[int] = set()
+        window, links, lens, root, first, by, to = self.window, self.link, self.len, self.root, self.first, self.by, self.to
         for a, b in zip(edge[::2].tolist(), edge[1::2].tolist()):
             if b - a < self.shortest:
                 continue
             v = n = 0
             for i, c in enumerate(known[a:b].tolist(), a + 1):
-                while v and c not in nexts[v]:
+                while v:
+                    lo, hi = first[v], first[v + 1]
+                    at = lo if hi - lo == 1 else bisect_left(by, c, lo, hi)
+                    if at < hi and by[at] == c:
+                        v, n = to[at], n + 1
+                        break
                     v = links[v]
                     n = lens[v]
-                if c in nexts[v]:
-                    v, n = nexts[v][c], n + 1
+                else:
+                    v, n = root[c], 1  # every known word follows the root
                 reach = n if n >= window else 0
                 if reach:
-                    found |= self.items[v]
-                for size, ids in self.ends[v]:
+                    found.add(self.held[v])
+                for size, texts in self.endings[self.ends[v]]:
                     if size <= n:
                         reach = max(reach, size)
-                        found |= ids
+                        found.add(texts)
                 if reach:
-                    first = i - reach
-                    while spans and spans[-1][1] >= first:
-                        first = min(first, spans.pop()[0])
-                    spans.append((first, i))
-        return spans, found
+                    begin = i - reach
+                    while spans and spans[-1][1] >= begin:
+                        begin = min(begin, spans.pop()[0])
+                    spans.append((begin, i))
+        texts = set().union(*(self.sets[x] for x in found))
+        return spans, {i for t in texts for i in self.ids[t]}
 
 
 def _parts(items: DataFrame, id_col: str, text_col: str) -> tuple[int, DataFrame]:
-    """(number of parts of bounded size, distinct items with their part): equal texts share a part."""
+    """(number of parts of bounded size, distinct texts with their ids and part)."""
     items = only(items, id_col, text_col).select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
-    items = items.where("text is not null").distinct()
+    # a row per distinct text, with its ids apart; those that are null hit but have no name
+    items = items.where("text is not null").groupBy("text").agg(F.collect_set("id").alias("ids"))
     size = F.length("text") - F.length(F.translate("text", " \n\t\r.,;:!?-", "")) + 1
     total = items.agg(F.sum(F.least(size, F.length("text")))).first()[0] or 0
     parts = max(1, math.ceil(total / PART_WORDS))
@@ -165,7 +219,7 @@ def _parts(items: DataFrame, id_col: str, text_col: str) -> tuple[int, DataFrame
 
 def _store(table: pa.Table, target: str, window: int) -> pa.Table:
     """Build and write the automaton of one part, under a name of its own; (part, path)."""
-    automaton = SuffixAutomaton([(i, item_words(t)) for i, t in zip(table["id"].to_pylist(), table["text"].to_pylist())], window)
+    automaton = SuffixAutomaton([(i, item_words(t)) for i, t in zip(table["ids"].to_pylist(), table["text"].to_pylist())], window)
     fs, base = _file(target)
     fs.create_dir(base, recursive=True)
     name = f"{uuid.uuid4().hex}.pickle"
