@@ -320,6 +320,33 @@ def test_unary_equals_features_times_weights():
     assert np.allclose(model.unary(own, counts), quality.chain_features(own, counts) @ model.weight, atol=1e-5)
 
 
+def test_feature_sums_equal_features_times_weights():
+    rng = np.random.default_rng(1)
+    counts = np.array([1, 5, 1, 9, 2])
+    own = (rng.random((18, quality.N_LINE)) < 0.3).astype(np.uint8)
+    weight = rng.normal(size=18)
+    assert np.allclose(quality.feature_sums(own, counts, weight), quality.chain_features(own, counts).T @ weight, atol=1e-5)
+
+
+def test_training_rows_and_lines_are_bounded(spark, monkeypatch):
+    """A repeated id with other texts, equal rows and long documents stay within the sample's bounds."""
+    seen = []
+
+    def train(own, size, lines, label, rounds=200):
+        seen.append((len(label), int(lines.sum()), len(own)))
+        return quality.Model(np.zeros(quality.N_FEATURES), np.zeros((2, 2)))
+
+    monkeypatch.setattr(quality, "train", train)
+    monkeypatch.setattr(quality, "SAMPLE", 50)
+    rows = [(1, f"text {i}\nof id 1") for i in range(400)] + [(1, "same")] * 300 + [(i, "a\n" * 99 + str(i)) for i in range(2, 300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 300)], "doc_id long, quality int")
+    quality.fit(docs, labels)
+    monkeypatch.setattr(quality, "SAMPLE_LINES", 500)
+    quality.fit(docs, labels)
+    assert seen[0][0] == 50 and seen[1][0] < 50 and seen[1][1] <= 500 and all(n == m for _, n, m in seen)
+
+
 def test_quality_on_held_out_documents(spark):
     sf = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
@@ -486,6 +513,31 @@ def test_items_stay_out_of_the_driver(spark, docs, monkeypatch, part_words):
     assert {i for r in got for i in r["items"]} == {"0", "1", "2"}
 
 
+def test_an_item_text_of_very_many_ids_comes_back_whole(spark):
+    text = " ".join(f"word{i}" for i in range(30))
+    items = spark.range(20_000).select(F.col("id").alias("item_id"), F.lit(text).alias("text")).unionByName(
+        spark.createDataFrame([(-1, "word3 word4 other"), (None, text)], "item_id long, text string"))
+    docs = spark.createDataFrame([(1, f"before {text} after"), (2, "word3 word4 other"), (3, "clean")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in decontaminate.contamination(docs, items).collect()}
+    assert got[1]["items"] == sorted(str(i) for i in range(20_000)) and got[1]["n_hit"] == 30
+    assert got[2]["items"] == ["-1"] and got[3]["items"] == []
+
+
+def test_a_large_automaton_stays_small():
+    import pickle
+    import tracemalloc
+
+    rng = np.random.default_rng(0)
+    vocabulary = [f"w{i}".encode() for i in range(20_000)]
+    texts = [([str(k)], [vocabulary[i] for i in rng.zipf(1.3, 100) % 20_000]) for k in range(1000)]
+    raw = pickle.dumps(decontaminate.SuffixAutomaton(texts, 10), pickle.HIGHEST_PROTOCOL)
+    tracemalloc.start()
+    automaton = pickle.loads(raw)
+    size = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert size < 80 * 100_000 and automaton.scan(texts[7][1])[1] >= {"7"}  # bytes a word
+
+
 def test_remove_words_keeps_the_rest():
     raw = "Héllo, the (cat) sat. On\tmats!".encode()
     assert decontaminate.remove_words(raw, [(1, 3)]).decode() == "Héllo, ) sat. On\tmats!"[:7] + ") sat. On\tmats!"

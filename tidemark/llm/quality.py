@@ -9,8 +9,9 @@ fit maps that to the share of good documents.
 
 Training: a line of a labelled document carries the document's label; the
 conditional likelihood (of the whole chain) is maximised by Adam with L2. The
-sample is bounded: ``SAMPLE`` training documents of smallest hash, of at most
-``MOST_LINES`` lines each; only their feature bytes reach the driver. Scoring reads
+sample is bounded: ``SAMPLE`` distinct training rows of smallest hash, of at most
+``MOST_LINES`` lines each and ``SAMPLE_LINES`` in all; only their feature bytes reach the driver, and the
+gradient is added up in blocks of lines. Scoring reads
 every whole text, in one pass without a shuffle.
 
 Cases: null and empty texts are one empty line and get that line's score; very
@@ -33,6 +34,7 @@ from .common import SPACE, only, slices, word_hashes, words_of
 
 SAMPLE = 6000
 MOST_LINES = 500
+SAMPLE_LINES = 500_000  # lines of all training documents
 FOLDS = 5
 THRESHOLD = 0.3
 
@@ -123,6 +125,19 @@ def chain_features(own: np.ndarray, lines: np.ndarray) -> np.ndarray:
     return out
 
 
+def feature_sums(own: np.ndarray, lines: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """``chain_features(own, lines).T @ weight`` in blocks of lines."""
+    first, last = np.cumsum(lines) - lines, np.cumsum(lines) - 1
+    # a line's weight meets its own features, those of the line before and of the line after
+    before, after = weight.copy(), weight.copy()
+    before[first], after[last] = 0, 0
+    each = np.stack([weight, np.append(before[1:], 0), np.append(0, after[:-1])], 1)
+    total = np.zeros((own.shape[1], 3))
+    for i in range(0, len(own), 65536):
+        total += own[i:i + 65536].T.astype(np.float64) @ each[i:i + 65536]
+    return np.concatenate([total.T.ravel(), [weight[first].sum(), weight[last].sum(), weight.sum()]])
+
+
 def forward_backward(unary: np.ndarray, step: np.ndarray, lines: np.ndarray):
     """Chains of two states (bad, good) with score ``unary`` for good and ``step[i, j]``
     from state i to j. Returns (marginal of good per line, expected transitions, log-partition)."""
@@ -187,7 +202,6 @@ class Model:
 
 def train(own: np.ndarray, size: np.ndarray, lines: np.ndarray, label: np.ndarray, rounds: int = 200) -> Model:
     """Fit the chain, then the map to scores, on texts' lines with one label per text."""
-    x = chain_features(own, lines).astype(np.float64)
     y = np.repeat(label, lines).astype(float)
     inside = np.ones(len(y), bool)
     inside[np.cumsum(lines) - lines] = False  # lines with one before them
@@ -197,8 +211,9 @@ def train(own: np.ndarray, size: np.ndarray, lines: np.ndarray, label: np.ndarra
     model = Model(np.zeros(N_FEATURES), np.zeros((2, 2)))
     theta, m, v = np.zeros(N_FEATURES + 4), np.zeros(N_FEATURES + 4), np.zeros(N_FEATURES + 4)
     for r in range(1, rounds + 1):
-        good, expected, _ = forward_backward(x @ theta[:-4], theta[-4:].reshape(2, 2), lines)
-        grad = np.concatenate([x.T @ (y - good), (seen - expected).ravel()]) / len(lines) - 1e-3 * theta
+        model.weight = theta[:-4]
+        good, expected, _ = forward_backward(model.unary(own, lines), theta[-4:].reshape(2, 2), lines)
+        grad = np.concatenate([feature_sums(own, lines, y - good), (seen - expected).ravel()]) / len(lines) - 1e-3 * theta
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad * grad
         theta += 0.1 * (m / (1 - 0.9 ** r)) / (np.sqrt(v / (1 - 0.99 ** r)) + 1e-8)
     model.weight, model.step = theta[:-4].copy(), theta[-4:].reshape(2, 2).copy()
@@ -227,9 +242,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     known = known.where(~held_out(id_col)).groupBy(id_col).agg((F.avg(label_col) >= 0.5).cast("int").alias("_label"))
     texts = only(docs, id_col, text_col).where(
         F.coalesce(F.length(text_col) - F.length(F.translate(text_col, "\n", "")), F.lit(0)) < MOST_LINES)
-    # drawn among the documents present: joined by id first, the sample by hash
-    present = texts.select(id_col).distinct().join(known, id_col)
-    drawn = present.orderBy(F.xxhash64(id_col), id_col).limit(SAMPLE)
+    # drawn by hash among the rows present, not the ids: a repeated id has no more than its share, equal rows count once
+    texts = texts.withColumn("_at", F.xxhash64(id_col, text_col))
+    drawn = texts.select(id_col, "_at").join(known, id_col).groupBy("_at").agg(F.max("_label").alias("_label")).orderBy("_at").limit(SAMPLE)
 
     def lines_of(batches):
         for b in batches:
@@ -242,8 +257,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                     pa.array([size[a:z].astype(np.int64).tobytes() for a, z in zip(first, first[1:])], pa.binary())],
                     names=["label", "at", "own", "size"])
 
-    rows = (texts.join(drawn, id_col).select(text_col, "_label", F.xxhash64(id_col, text_col).alias("at"))
-            .mapInArrow(lines_of, "label int, at long, own binary, size binary"))
+    # broadcast: at most SAMPLE rows
+    rows = (texts.join(F.broadcast(drawn), "_at").groupBy("_at").agg(F.first(text_col).alias("text"), F.first("_label").alias("label"))
+            .select("text", "label", F.col("_at").alias("at")).mapInArrow(lines_of, "label int, at long, own binary, size binary"))
     got = rows.toArrow()
     order = np.argsort(np.asarray(got["at"].combine_chunks()) if got.num_rows else np.zeros(0), kind="stable")
     label = np.array(got["label"].to_pylist(), float)[order]
@@ -252,7 +268,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     own_parts, size_parts = got["own"].to_pylist(), got["size"].to_pylist()
     own = [np.frombuffer(own_parts[i], np.uint8).reshape(-1, N_LINE) for i in order]
     size = [np.frombuffer(size_parts[i], np.int64) for i in order]
-    return train(np.concatenate(own), np.concatenate(size), np.array([len(s) for s in size]), label)
+    lines = np.array([len(s) for s in size])
+    use = np.cumsum(lines) <= max(SAMPLE_LINES, lines[0])  # in the order of the hash
+    own, size = [o for o, u in zip(own, use) if u], [s for s, u in zip(size, use) if u]
+    return train(np.concatenate(own), np.concatenate(size), lines[use], label[use])
 
 
 def score_documents(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score",
