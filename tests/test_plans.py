@@ -140,3 +140,38 @@ def test_bucketed_tables_need_no_shuffle_on_the_user(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
     assert "hashpartitioning" not in plan and "SortMergeJoin" in plan, plan
+
+
+def test_a_written_cohort_filters_the_scan(spark):
+    """Broadcasting off: a Bloom filter of a 1 % cohort stands under the partial aggregate, and few rows are shuffled."""
+    import re
+
+    from pyspark.sql import functions as F
+
+    from tidemark.operators import lapse
+    from tidemark.operators.relational import filtering, materialize
+    from tidemark.sources.views import orders_view
+
+    o = orders_view(spark, SF01)
+    cohort = materialize(o.filter(F.pmod(F.hash("user_id"), F.lit(100)) == 0).select("user_id").distinct(), "cohort")
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "1"}
+    old = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        seen = {}
+        for name, side in (("plain", cohort), ("filtered", filtering(cohort))):
+            df = lapse.cohort_trend(o, side, "1997-01-01")
+            rows = sorted(map(tuple, df.collect()))
+            text = df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+            moved = max(float(x) for x in re.findall(r"rowCount=([0-9.E+]+)", text.split("Initial Plan")[0]))
+            seen[name] = rows, moved, _plan(df).split("Initial Plan")[0]
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert seen["plain"][0] == seen["filtered"][0] and seen["plain"][0]
+    assert "might_contain" not in seen["plain"][2]
+    plan = seen["filtered"][2].splitlines()
+    at = next(i for i, line in enumerate(plan) if "might_contain" in line)
+    assert any("partial_count(order_id" in line for line in plan[:at]) and "FileScan" in "".join(plan[at:])
+    assert seen["filtered"][1] < 0.1 * seen["plain"][1], (seen["filtered"][1], seen["plain"][1])

@@ -93,6 +93,13 @@ def first_gap_fanout(first: DataFrame, orders: DataFrame, span: Span, targets: S
                     _copies(targets).alias("copies")))
 
 
+def fanout_rows(fanout: DataFrame) -> DataFrame:
+    """JN7: the rows of the source's one-left-join-per-target form: each row of ``first_gap_fanout`` as
+    often as its ``copies`` say. They are made one by one where they are read, never collected."""
+    rest = [c for c in fanout.columns if c != "copies"]
+    return fanout.select(*rest, F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("_copy")).drop("_copy")
+
+
 def gap_counts(gaps: DataFrame) -> DataFrame:
     """OP36: ``month, churned_customers`` = users per first gap; users without a gap are not counted."""
     return (gaps.filter(F.col("churned_month").isNotNull())

@@ -79,6 +79,17 @@ def period_activity(orders: DataFrame, grain: str = "month", period_col: str = "
                            period_col, users_col, orders_col, key)
 
 
+def filtering(cohort: DataFrame, key: str = "user_id") -> DataFrame:
+    """The cohort's non-NULL keys in a form from which Spark builds a run-time Bloom filter.
+
+    Where a semi or inner join by ``key`` is too large to broadcast, the optimizer can build such a filter from one side and
+    apply it at the scan of the other, under its partial aggregate and before its shuffle. It does so for a side that
+    it takes for selective (by a comparison) and a scan beyond ``spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold``
+    (10 GB). A written cohort has lost the comparisons it came from; this one holds for every key.
+    """
+    return cohort.filter(F.col(key).isNotNull() & (F.xxhash64(key) >= F.lit(-(1 << 63))))
+
+
 def next_at_or_after(events: DataFrame, probes: DataFrame, key: str, at: str, name: str = "next_at") -> DataFrame:
     """As-of pass: the rows of ``probes`` (``key``, ``at``, ...) with the first event of the same key at or after ``at``,
     NULL if none follows.

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.text import clean_missing_text, parse_date
 from tidemark.operators import acquisition, activity, churn, distinct, gaps, grades, lapse, profiling, ranking, sales
+from tidemark.operators.relational import filtering, materialize
 from tidemark.plans import params as P
 from tidemark.session import MATERIALIZED, checkpoint_dir
 from tidemark.sources import files, sinks, updates, workbook
@@ -161,6 +162,14 @@ def q_cohort_trend(spark, sf_dir):
                                        P.CONSISTENT_K, P.TREND_SINCE)
 
 
+@register("written_cohort_trend")
+def q_written_cohort_trend(spark, sf_dir):
+    """Monthly activity of a cohort that was written before; beyond a broadcast its Bloom filter meets the orders' scan."""
+    o = orders_view(spark, sf_dir)
+    cohort = materialize(lapse.recent_buyers(o, P.RECENT_SPAN), "cohort")
+    return lapse.cohort_trend(o, filtering(cohort), P.TREND_SINCE)
+
+
 @register("ts_format_audit")
 def q_ts_format_audit(spark, sf_dir):
     ev = read_table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
@@ -368,6 +377,11 @@ def q_first_gap_fanout(spark, sf_dir):
                                           P.GAP_WINDOW_TARGETS, P.GAP_GRAIN)
 
 
+@register("first_gap_fanout_rows")
+def q_first_gap_fanout_rows(spark, sf_dir):
+    return gaps.fanout_rows(q_first_gap_fanout(spark, sf_dir))
+
+
 @register("gap_counts")
 def q_gap_counts(spark, sf_dir):
     return gaps.gap_counts(_gaps_window(spark, sf_dir))
