@@ -99,23 +99,27 @@ def mean_before_after(sales: DataFrame, value: str, cut: str, date_col: str = "d
     )).alias("r")).select("r.*")
 
 
-def trim_extremes(sales: DataFrame, value: str = "price") -> DataFrame:
+def trim_extremes(sales: DataFrame, value: str = "price", extremes: tuple | None = None) -> DataFrame:
     """OP44: drop every row tied at the column max or min; NULL and NaN values stay.
 
     Max and min, of the values that are numbers, come from one global aggregate read as a
-    scalar subquery (left joins under it that give only other columns are not run).
+    scalar subquery (left joins under it that give only other columns are not run). ``extremes`` (least,
+    greatest), where they are known, for example from ``statistics.column_extremes``, save that scan.
     """
     m = F.col("_mm")
     v = F.nullif(F.col(value), F.lit(float("nan"))) if isinstance(sales.schema[value].dataType, T.FractionalType) else F.col(value)
+    if extremes is not None:
+        ends = [F.lit(x).cast(sales.schema[value].dataType) for x in extremes]
+        return sales.filter(v.isNull() | (~v.eqNullSafe(ends[0]) & ~v.eqNullSafe(ends[1])))
     mm = sales.select(F.struct(F.max(v).alias("hi"), F.min(v).alias("lo")).alias("m")).scalar()
     return (sales.withColumn("_mm", mm)
             .filter(v.isNull() | (~v.eqNullSafe(m.hi) & ~v.eqNullSafe(m.lo)))
             .drop("_mm"))
 
 
-def size_price_points(sales: DataFrame) -> DataFrame:
+def size_price_points(sales: DataFrame, extremes: tuple | None = None) -> DataFrame:
     """OP45: ``size, price, category_size`` of the trimmed sales (the data behind the scatter)."""
-    return trim_extremes(sales, "price").select("size", "price", "category_size")
+    return trim_extremes(sales, "price", extremes).select("size", "price", "category_size")
 
 
 def monthly_mean_by_category(sales: DataFrame, scale: int = SCALE) -> DataFrame:

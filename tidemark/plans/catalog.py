@@ -20,8 +20,8 @@ from tidemark.operators import acquisition, activity, churn, distinct, gaps, gra
 from tidemark.operators.relational import filtering, materialize
 from tidemark.plans import params as P
 from tidemark.session import MATERIALIZED, checkpoint_dir
-from tidemark.sources import files, sinks, updates, workbook
-from tidemark.sources.tables import SCHEMAS, read_table
+from tidemark.sources import files, sinks, statistics, updates, workbook
+from tidemark.sources.tables import SCHEMAS, read_table, table_path
 from tidemark.sources.views import events_view, orders_view, profiles_view, sales_summary, sales_view
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -587,14 +587,19 @@ def q_mean_before_after(spark, sf_dir):
     return sales.mean_before_after(sales_view(spark, sf_dir, "price", "date"), "price", P.SALES_CUT)
 
 
+def _price_extremes(spark, sf_dir):
+    """Of the lines' prices, from the files' footers; left joins with parts and suppliers leave them as they are."""
+    return statistics.column_extremes(spark, table_path(sf_dir, "lineitem"), "l_extendedprice", SCHEMAS["lineitem"])[:2]
+
+
 @register("trim_extremes")
 def q_trim_extremes(spark, sf_dir):
-    return sales.trim_extremes(sales_view(spark, sf_dir), "price")
+    return sales.trim_extremes(sales_view(spark, sf_dir), "price", _price_extremes(spark, sf_dir))
 
 
 @register("size_price_points")
 def q_size_price_points(spark, sf_dir):
-    return sales.size_price_points(sales_view(spark, sf_dir, "size", "price", "category_size"))
+    return sales.size_price_points(sales_view(spark, sf_dir, "size", "price", "category_size"), _price_extremes(spark, sf_dir))
 
 
 @register("monthly_mean_by_category")
