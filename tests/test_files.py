@@ -31,3 +31,17 @@ def test_schema_is_found_by_name_and_per_sheet(spark):
     assert [r.name for r in got["b"].collect()] == ["Kim"]
     with pytest.raises(ValueError, match="no column"):
         files.read_sheet(spark, b, "name string, age int")
+
+
+def test_missing_columns_of_a_table(spark, tmp_path):
+    import pytest
+
+    from tidemark.sources.tables import SCHEMAS, read_table
+
+    path = str(tmp_path / "nation.parquet")
+    spark.createDataFrame([(1, "A")], "n_nationkey int, n_name string").write.parquet(path)
+    assert [tuple(r) for r in read_table(spark, str(tmp_path), "nation").collect()] == [(1, "A", None)]
+    with pytest.raises(ValueError, match="n_regionkey"):
+        read_table(spark, str(tmp_path), "nation", strict=True)
+    spark.createDataFrame([(1, "A", 2)], SCHEMAS["nation"]).write.mode("overwrite").parquet(path)
+    assert [tuple(r) for r in read_table(spark, str(tmp_path), "nation", strict=True).collect()] == [(1, "A", 2)]

@@ -40,9 +40,18 @@ def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Read one input table with its declared schema (parquet)."""
-    reader = spark.read
+def read_table(spark: SparkSession, sf_dir: str, name: str, strict: bool = False) -> DataFrame:
+    """Read one input table with its declared schema (parquet).
+
+    A declared column that the files lack loads as NULL; with ``strict`` the footers are read first
+    and a missing column is an error.
+    """
+    reader, path = spark.read, table_path(sf_dir, name)
     if name in SCHEMAS:
+        if strict:
+            found = {c.lower() for c in spark.read.parquet(path).columns}
+            missing = [c for c in SCHEMAS[name].names if c.lower() not in found]
+            if missing:
+                raise ValueError(f"{path} has no column(s) {missing}")
         reader = reader.schema(SCHEMAS[name])
-    return reader.parquet(table_path(sf_dir, name))
+    return reader.parquet(path)
