@@ -597,6 +597,52 @@ def test_embedding_links_along_few_directions(spark):
     assert {r["vec_id"]: r["component_id"] for r in got} == dict(enumerate(root.tolist()))
 
 
+@pytest.fixture
+def dealt(spark, monkeypatch):
+    """The rows that embedding_groups deals to blocks of lists, once per call."""
+    frames, kind = [], type(spark.range(0))
+    grouped = kind.groupBy
+
+    def kept(self, *cols):
+        if "block" in cols:
+            frames.append(self)
+        return grouped(self, *cols)
+
+    monkeypatch.setattr(kind, "groupBy", kept)
+    return frames
+
+
+def test_embedding_rows_dealt_follow_the_vectors(spark, dealt):
+    rng = np.random.default_rng(14)
+    per = []
+    for n in (1000, 4000):  # vectors without clusters: planes prune little, and lists are as many as the root of n
+        rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(n, 32)))]
+        embedding.embedding_groups(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+        per.append(dealt[-1].count() / n)
+    assert per[1] < 1.4 * per[0] and per[1] < 10
+
+
+def test_embedding_links_of_split_groups_of_lists(spark, monkeypatch, dealt):
+    monkeypatch.setattr(embedding, "INDEX_BLOCK", 60)
+    monkeypatch.setattr(embedding, "QUERY_BLOCK", 50)
+    rng = np.random.default_rng(15)
+    unit = np.concatenate([rng.normal(size=(300, 6)), rng.normal(size=(300, 6)) * 0.4 + [2, 1, 0, 0, 0, 0]])
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    side = rng.normal(size=(100, 6))
+    side -= (side * unit[:100]).sum(1)[:, None] * unit[:100]
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    at = 0.95 + np.where(np.arange(100) % 2, 1e-9, -1e-9)[:, None]  # just above and just below the limit
+    unit = np.concatenate([unit, at * unit[:100] + np.sqrt(1 - at * at) * side])
+    close = unit @ unit.T >= 0.95
+    assert (close[np.arange(100), np.arange(600, 700)] == (np.arange(100) % 2 == 1)).all()
+    rows = [(i, v.tolist()) for i, v in enumerate(unit)]
+    got = _rows(embedding.embedding_groups(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), lists=40))
+    assert {r["vec_id"]: r["n_links"] for r in got} == dict(enumerate((close.sum(1) - 1).tolist()))
+    root = roots(700, [np.nonzero(close)])
+    assert {r["vec_id"]: r["component_id"] for r in got} == dict(enumerate(root.tolist()))
+    assert dealt[-1].where("block > 0 AND NOT indexed").groupBy("group", "part").agg(F.countDistinct("own").alias("k")).where("k > 1").count()
+
+
 def test_viterbi_in_blocks_equals_whole_path(spark, monkeypatch):
     rng = np.random.default_rng(6)
     rows = []

@@ -10,14 +10,20 @@ missed. ``spread`` = s is an opt-in that looks at fewer lists: of a difference o
 in a *random* direction, the part across a given plane has the standard deviation
 r / sqrt(dim), and only planes within s such deviations are crossed. Where differences
 have a few strong directions it loses links. In a
-list, distances to the codes come from per-subspace lookup tables; a candidate
-is one whose table distance is at most r plus its code's error, which by the
+list, the distance to a code (the sum of its subspaces' table entries) is that to the
+decoded vector, so a block's distances are one matrix product; a candidate
+is one whose code is at most r plus the code's error away, which by the
 triangle inequality misses no vector within r. Exact double cosines rerank the
 candidates. Centroids and codebooks are fitted on at most ``SAMPLE`` vectors,
 those of smallest hash; every vector is indexed.
 
-Scale: a pair is looked at from its lower list only. Lists (and the queries of
-a list) beyond a block size are split, so a hot list is many groups. Tasks
+Scale: neighbouring lists form groups. A vector goes once to each group that holds a
+list it probes, with a bit for each of the group's lists, so the rows dealt per vector
+follow the number of groups (``GROUPS``; more only where groups would pass
+``INDEX_BLOCK`` vectors) and of the parts of a group's queries, not that of the lists. The pairs compared still grow
+nearly with the square where planes prune little, as with vectors without clusters.
+A pair is looked at from its lower list only. Groups (and the queries of
+a group) beyond a block size are split, so a hot list is many blocks. Tasks
 return link counts and a spanning forest, never the pairs; components come
 from star contraction. The driver sees the sample and one row per list.
 
@@ -44,7 +50,9 @@ COSINE = 0.95
 SAMPLE = 20_000
 MOST_LISTS = 4096
 SUBSPACES, CODES = 8, 256
-INDEX_BLOCK, QUERY_BLOCK = 4096, 16384
+GROUPS = 16  # of neighbouring lists, at least
+INDEX_BLOCK, QUERY_BLOCK = 16384, 16384
+PRODUCT = 1 << 18  # entries of a product of queries and codes
 NEAREST = 6  # centroids whose bisecting planes are tried
 
 
@@ -82,77 +90,113 @@ def _kmeans(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
 class Index:
     """Centroids and residual codebooks; small, sent to tasks by closure."""
 
-    def __init__(self, sample: np.ndarray, lists: int):
-        self.centroids = _kmeans(sample, lists, 8, 1)
+    def __init__(self, sample: np.ndarray, lists: int, share: float = 1.0):
+        """``share``: of the vectors, about how many one group of lists may hold."""
+        centroids = _kmeans(sample, lists, 8, 1)
+        coarse = _kmeans(centroids, math.ceil(1 / share), 8, 1)
+        self.centroids = centroids[_squares(centroids, coarse).argmin(1).argsort(kind="stable")]  # neighbours side by side
         self.gaps = np.sqrt(_squares(self.centroids, self.centroids))
+        near = _squares(sample, self.centroids).argmin(1)
+        held = np.bincount(near, minlength=len(self.centroids)) / len(sample)
+        self.group = np.unique(((np.cumsum(held) - held) / share).astype(np.int64), return_inverse=True)[1]
+        self.first = np.searchsorted(self.group, np.arange(self.group[-1] + 2))  # a group's lists: first[g] to first[g + 1]
         self.cuts = np.array_split(np.arange(sample.shape[1]), min(SUBSPACES, sample.shape[1]))
-        residual = sample - self.centroids[_squares(sample, self.centroids).argmin(1)]
+        residual = sample - self.centroids[near]
         self.books = [_kmeans(residual[:, c], CODES, 6, 2 + i) for i, c in enumerate(self.cuts)]
 
     def assign(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         d = _squares(x, self.centroids)
         return d.argmin(1), d
 
-    def encode(self, residual: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(codes, length of what they leave)."""
-        codes = np.empty((len(residual), len(self.cuts)), np.int64)
-        rest = residual.copy()
-        for s, c in enumerate(self.cuts):
-            codes[:, s] = _squares(residual[:, c], self.books[s]).argmin(1)
-            rest[:, c] -= self.books[s][codes[:, s]]
-        return codes, np.sqrt((rest * rest).sum(1))
+    def encode(self, residual: np.ndarray) -> np.ndarray:
+        """The code of each subspace."""
+        return np.stack([((b * b).sum(1) - 2 * residual[:, c] @ b.T).argmin(1) for c, b in zip(self.cuts, self.books)], axis=1)
 
-    def tables(self, residual: np.ndarray) -> list[np.ndarray]:
-        """Per subspace the squared distances of each query's residual to each code."""
-        return [_squares(residual[:, c], b).astype(np.float32) for c, b in zip(self.cuts, self.books)]
+    def decode(self, codes: np.ndarray) -> np.ndarray:
+        out = np.empty((len(codes), sum(map(len, self.cuts))))
+        for s, c in enumerate(self.cuts):
+            out[:, c] = self.books[s][codes[:, s]]
+        return out
 
-    def probes(self, x: np.ndarray, margin: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(own list, rows, lists to probe beyond the own one, each with a higher number)."""
+    def probes(self, x: np.ndarray, margin: float) -> tuple[np.ndarray, np.ndarray]:
+        """(own list, for each list: can it hold a vector within the margin)."""
         own, d = self.assign(x)
-        reach = np.arange(len(self.centroids))[None, :] > own[:, None]
+        reach = np.ones(d.shape, bool)
         near = np.argpartition(d, min(NEAREST, d.shape[1]) - 1, axis=1)[:, :NEAREST]
         for j in range(near.shape[1]):
             a = near[:, j]
             gap = self.gaps[a]
             reach &= (d - d[np.arange(len(x)), a][:, None] <= 2 * margin * gap + 1e-9) | (gap == 0)
-        rows, lists = np.nonzero(reach)
-        return own, rows, lists
+        reach[np.arange(len(x)), own] = True
+        return own, reach
+
+    def asked(self, own: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rows, groups beyond the own one with a list to probe; each has higher numbers)."""
+        some = np.logical_or.reduceat(reach, self.first[:-1], axis=1)
+        return np.nonzero(some & (np.arange(some.shape[1])[None, :] > self.group[own][:, None]))
+
+    def bits(self, reach: np.ndarray, groups: np.ndarray) -> np.ndarray:
+        """Of each row, the packed bits of the lists of the group beside it."""
+        width = int(np.diff(self.first).max())
+        at = self.first[groups][:, None] + np.arange(width)[None, :]
+        inside = at < self.first[groups + 1][:, None]
+        return np.packbits(np.take_along_axis(reach, np.where(inside, at, 0), 1) & inside, axis=1)
+
+
+def _block(dim: int) -> int:
+    """Vectors that a block indexes: fewer of long ones, for the memory of a task."""
+    return min(INDEX_BLOCK, max(4096, INDEX_BLOCK * 256 // dim))
 
 
 def _matrix(batch, name: str, dim: int) -> np.ndarray:
     return np.asarray(batch.column(batch.schema.get_field_index(name)).flatten()).reshape(-1, dim)
 
 
+def _binary(rows: np.ndarray) -> pa.Array:
+    """Each row's bytes."""
+    rows = np.ascontiguousarray(rows)
+    kind = pa.binary(rows.shape[1] * rows.itemsize)
+    return pa.FixedSizeBinaryArray.from_buffers(kind, len(rows), [None, pa.py_buffer(rows)]).cast(pa.binary())
+
+
 def _search(table: pa.Table, index: Index, dim: int, number, limit: float, radius: float) -> pa.Table:
-    """One block of one list against one block of its queries."""
+    """One block of one group of lists against one block of its queries."""
     table = table.combine_chunks()
-    at = table["list"][0].as_py()
+    lo, hi = index.first[table["group"][0].as_py():][:2]
     vec = np.frombuffer(b"".join(table["vec"].to_pylist()), number).reshape(-1, dim)
-    cid, n = (np.asarray(table[c].combine_chunks()) for c in ("cid", "n"))
+    cid, n, own = (np.asarray(table[c].combine_chunks()) for c in ("cid", "n", "own"))
     indexed = np.asarray(table["indexed"].combine_chunks().cast(pa.int8())).astype(bool)
-    first = table["part"][0].as_py() == 0
+    asks = np.frombuffer(b"".join(table["asks"].to_pylist()), np.uint8).reshape(len(cid), -1)
+    asks = np.unpackbits(asks, axis=1)[:, :hi - lo].astype(bool)
+    if table["part"][0].as_py():  # the first part compares the members
+        asks[indexed] = False
     unit = _unit(vec)
     members = np.flatnonzero(indexed)
-    asks = np.concatenate([members if first else members[:0], np.flatnonzero(~indexed)])
+    members = members[own[members].argsort(kind="stable")]
+    ends = np.searchsorted(own[members], np.arange(lo, hi + 1))
     links = np.zeros(len(cid), np.int64)
     pairs = []
-    if len(members) and len(asks):
-        centre = index.centroids[at]
-        codes, error = index.encode(unit[members] - centre)
-        bound = (radius + error + 1e-6).astype(np.float32) ** 2
-        step = max(16, (4 << 20) // (4 * len(members)))
-        for lo in range(0, len(asks), step):
-            q = asks[lo:lo + step]
-            tables = index.tables(unit[q] - centre)
-            far = np.zeros((len(q), len(members)), np.float32)
-            for s, t in enumerate(tables):
-                far += t[:, codes[:, s]]
-            i, j = np.nonzero(far <= bound[None, :])
-            a, b = q[i], members[j]
-            keep = ~indexed[a] | (a < b)
+    if len(members):
+        centre = index.centroids[own[members]]
+        known = centre + index.decode(index.encode(unit[members] - centre))
+        error = np.sqrt(((unit[members] - known) ** 2).sum(1))
+        # |q - known| <= radius + error, as a bound on their product, lowered by the rounding of single precision
+        least = (1 + (known * known).sum(1) - (radius + error + 1e-6) ** 2) / 2 - (dim + 16) * 2.0 ** -22
+        known = np.concatenate([known, -least[:, None]], axis=1).astype(np.float32)
+        query = np.ones((len(unit), dim + 1), np.float32)
+        query[:, :-1] = unit
+    for at in range(hi - lo) if len(members) else ():
+        held, code = members[ends[at]:ends[at + 1]], known[ends[at]:ends[at + 1]]
+        asking = np.flatnonzero(asks[:, at]) if len(held) else held
+        step = max(16, PRODUCT // max(1, len(held)))
+        for k in range(0, len(asking), step):
+            q = asking[k:k + step]
+            i, j = np.divmod(np.flatnonzero(query[q] @ code.T >= 0), len(held))
+            a, b = q[i], held[j]
+            keep = ~indexed[a] | (own[a] != own[b]) | (a < b)
             a, b = a[keep], b[keep]
-            for k in range(0, len(a), 1 << 15):
-                u, v = a[k:k + (1 << 15)], b[k:k + (1 << 15)]
+            for m in range(0, len(a), 1 << 15):
+                u, v = a[m:m + (1 << 15)], b[m:m + (1 << 15)]
                 close = (unit[u] * unit[v]).sum(1) >= limit
                 u, v = u[close], v[close]
                 np.add.at(links, u, n[v])
@@ -168,68 +212,78 @@ def _search(table: pa.Table, index: Index, dim: int, number, limit: float, radiu
     return pa.table({"cid": cid[out], "links": links[out], "root": cid[root[out]]})
 
 
-def _linked_classes(classes: DataFrame, dim: int, cosine: float, lists: int | None,
-                    spread: float | None) -> tuple[DataFrame, DataFrame]:
-    """Of classes of one length: (cid, links to other classes' vectors) and (node, root)."""
-    count = classes.count()
-    radius = math.sqrt(max(0.0, 2 - 2 * cosine)) + 1e-9
-    margin = radius * (1 if spread is None else min(1, spread / math.sqrt(dim)))
-    number = np.float32 if "float" in dict(classes.dtypes)["vec"] else np.float64
-    sample = classes.select("vec").orderBy(F.xxhash64("vec"), "vec").limit(SAMPLE).toArrow()["vec"]
-    sample = _unit(np.concatenate([np.asarray(c.flatten()).reshape(-1, dim) for c in sample.chunks if len(c)]))
-    index = Index(sample, lists or max(1, min(MOST_LISTS, math.isqrt(count))))
-
+def _dealt(classes: DataFrame, index: Index, dim: int, margin: float) -> DataFrame:
+    """Each class once to each part of its own block, and as a query to the blocks that it asks."""
     def blocks(batch):
         for lo in range(0, batch.num_rows, 1024):
             part = batch.slice(lo, 1024)
             raw = _matrix(part, "vec", dim)
             yield raw, np.asarray(part.column(0)), np.asarray(part.column(1)), *index.probes(_unit(raw), margin)
 
+    groups, block = len(index.first) - 1, _block(dim)
+
     def counted(batches):
-        members, asked = (np.zeros(len(index.centroids), np.int64) for _ in range(2))
+        members, asked = (np.zeros(groups, np.int64) for _ in range(2))
         for batch in batches:
-            for _, _, _, own, _, to in blocks(batch):
-                members += np.bincount(own, minlength=len(members))
-                asked += np.bincount(to, minlength=len(asked))
-        yield pa.RecordBatch.from_pydict({"list": np.arange(len(members), dtype=np.int32), "members": members, "asked": asked})
+            for _, _, _, own, reach in blocks(batch):
+                members += np.bincount(index.group[own], minlength=groups)
+                asked += np.bincount(index.asked(own, reach)[1], minlength=groups)
+        yield pa.RecordBatch.from_pydict({"group": np.arange(groups, dtype=np.int32), "members": members, "asked": asked})
 
     rows = classes.select("cid", "n", "vec")
-    sizes = (rows.mapInArrow(counted, "list int, members long, asked long").groupBy("list")
-             .agg(F.sum("members").alias("members"), F.sum("asked").alias("asked")).collect())  # a row per list
-    cut = np.ones(len(index.centroids), np.int64)
+    sizes = (rows.mapInArrow(counted, "group int, members long, asked long").groupBy("group")
+             .agg(F.sum("members").alias("members"), F.sum("asked").alias("asked")).collect())  # a row per group
+    cut = np.ones(groups, np.int64)
     parts = cut.copy()
     for r in sizes:
-        cut[r["list"]] = max(1, math.ceil(r["members"] / INDEX_BLOCK))
-        inner = r["members"] if r["members"] > INDEX_BLOCK else 0  # a split list also asks itself
-        parts[r["list"]] = max(1, math.ceil((r["asked"] + inner) / QUERY_BLOCK))
+        cut[r["group"]] = max(1, math.ceil(r["members"] / block))
+        inner = r["members"] if r["members"] > block else 0  # a split group also asks itself
+        parts[r["group"]] = max(1, math.ceil((r["asked"] + inner) / QUERY_BLOCK))
 
     def dealt(batches):
         for batch in batches:
-            for raw, cid, n, own, asking, to in blocks(batch):
-                mine = np.mod(cid, cut[own])
-                where = []  # (row, list, block, part, indexed)
-                copies = np.repeat(np.arange(len(cid)), parts[own])
-                nth = np.arange(len(copies)) - np.repeat(np.cumsum(parts[own]) - parts[own], parts[own])
-                where.append((copies, own[copies], mine[copies], nth, True))
-                for rows_, lists_, low in ((asking, to, None), (np.flatnonzero(cut[own] > 1), None, True)):
-                    lists_ = own[rows_] if low else lists_
-                    r = np.repeat(np.arange(len(rows_)), cut[lists_])
-                    b = np.arange(len(r)) - np.repeat(np.cumsum(cut[lists_]) - cut[lists_], cut[lists_])
-                    if low:  # other blocks of the own list, each pair of blocks once
+            for raw, cid, n, own, reach in blocks(batch):
+                home = index.group[own]
+                mine = np.mod(cid, cut[home])
+                above = reach & (np.arange(reach.shape[1])[None, :] >= own[:, None])
+                where = []  # (row, group, block, part, indexed, bits)
+                copies = np.repeat(np.arange(len(cid)), parts[home])
+                nth = np.arange(len(copies)) - np.repeat(np.cumsum(parts[home]) - parts[home], parts[home])
+                where.append((copies, home[copies], mine[copies], nth, True, index.bits(above, home)[copies]))
+                split = np.flatnonzero(cut[home] > 1)
+                for rows_, groups_, low in ((*index.asked(own, reach), None), (split, home[split], True)):
+                    r = np.repeat(np.arange(len(rows_)), cut[groups_])
+                    b = np.arange(len(r)) - np.repeat(np.cumsum(cut[groups_]) - cut[groups_], cut[groups_])
+                    if low:  # other blocks of the own group, each pair of blocks once, so with lists of lower number too
                         r, b = r[b > mine[rows_][r]], b[b > mine[rows_][r]]
-                    where.append((rows_[r], lists_[r], b, np.mod(cid[rows_[r]] // 7, parts[lists_[r]]), False))
-                data = [v.tobytes() for v in raw]
+                    asks = index.bits(reach[rows_], groups_)
+                    where.append((rows_[r], groups_[r], b, np.mod(cid[rows_[r]] // 7, parts[groups_[r]]), False, asks[r]))
                 row = np.concatenate([w[0] for w in where])
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(np.concatenate([w[1] for w in where]).astype(np.int32)),
-                    pa.array(np.concatenate([w[2] for w in where]).astype(np.int32)),
-                    pa.array(np.concatenate([w[3] for w in where]).astype(np.int32)),
-                    pa.array(np.concatenate([np.full(len(w[0]), w[4]) for w in where])),
-                    pa.array(cid[row]), pa.array(n[row]), pa.array([data[i] for i in row], pa.binary())],
-                    names=["list", "block", "part", "indexed", "cid", "n", "vec"])
-
-    spread = rows.mapInArrow(dealt, "list int, block int, part int, indexed boolean, cid long, n long, vec binary")
-    found = (spread.groupBy("list", "block", "part")
+                    *(pa.array(np.concatenate([w[i] for w in where]).astype(np.int32)) for i in (1, 2, 3)),
+                    pa.array(np.concatenate([np.full(len(w[0]), w[4]) for w in where])), pa.array(own[row].astype(np.int32)),
+                    _binary(np.concatenate([w[5] for w in where])), pa.array(cid[row]), pa.array(n[row]), _binary(raw[row])],
+                    names=["group", "block", "part", "indexed", "own", "asks", "cid", "n", "vec"])
+
+    return rows.mapInArrow(dealt, "group int, block int, part int, indexed boolean, own int, asks binary, cid long, n long, vec binary")
+
+
+def _index(classes: DataFrame, count: int, dim: int, lists: int | None) -> Index:
+    sample = classes.select("vec").orderBy(F.xxhash64("vec"), "vec").limit(SAMPLE).toArrow()["vec"]
+    sample = _unit(np.concatenate([np.asarray(c.flatten()).reshape(-1, dim) for c in sample.chunks if len(c)]))
+    held = min(_block(dim), max(1, count // GROUPS))
+    return Index(sample, lists or max(1, min(MOST_LISTS, math.isqrt(count))), held / count)
+
+
+def _linked_classes(classes: DataFrame, dim: int, cosine: float, lists: int | None,
+                    spread: float | None) -> tuple[DataFrame, DataFrame]:
+    """Of classes of one length: (cid, links to other classes' vectors) and (node, root)."""
+    radius = math.sqrt(max(0.0, 2 - 2 * cosine)) + 1e-9
+    margin = radius * (1 if spread is None else min(1, spread / math.sqrt(dim)))
+    number = np.float32 if "float" in dict(classes.dtypes)["vec"] else np.float64
+    index = _index(classes, classes.count(), dim, lists)
+    dealt = _dealt(classes, index, dim, margin)
+    found = (dealt.groupBy("group", "block", "part")
              .applyInArrow(lambda t: _search(t, index, dim, number, cosine, radius), "cid long, links long, root long"))
     found = materialize(found, "found")
     return (found.groupBy("cid").agg(F.sum("links").alias("links")),
